@@ -41,9 +41,11 @@ SKETCH_BUCKETS = 1 << 22
 CHUNK = 1 << 12
 #: Bits of the map that tells which n-grams may be shared.
 MAP_BITS = 1 << 25
-SMALL_COLUMN, ROUNDS, BLOCKS = 128, 2, 16
+SMALL_COLUMN, ROUNDS, BLOCKS = 32, 4, 16
 #: Pivots of a column in each round.
 PIVOTS = 4
+#: Up to so many ids are broadcast (8 bytes each) to pick the documents to be compared; more are shuffled.
+BROADCAST_IDS = 100_000
 #: Classes a task remembers in order to write their entries once.
 SEEN_CLASSES = 200_000
 
@@ -210,9 +212,10 @@ def needed(percent: int, x, y):
 
 
 def possible(percent: int):
-    """Whether a pair (n, pos, n2, pos2) that meets in a column can still reach the overlap it needs."""
+    """Whether a pair (n, pos, n2, pos2) can reach the overlap it needs if this column is the first it
+    shares. A linked pair passes in its first column, so no pair need be made in a later one."""
     n, m, i, j = F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(i, j) + F.least(n - i, m - j) >= needed(percent, n, m))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= needed(percent, n, m))
 
 
 def promising(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
@@ -231,29 +234,41 @@ def linked(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, width: int, p
     keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     # One document stands for each class; the texts of the others are not moved to be counted.
     chosen = profiles.where("n > 0").join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(cut(chosen.select("doc_id").distinct()).hint("shuffle_hash"), "doc_id", "left_semi")
+    ids = cut(chosen.select("doc_id").distinct())
+    # limit() only bounds the counting: the size of what may be broadcast is checked, nothing is cut off.
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stash(whole_sets(texts, width).join(keys, "key", "left_semi").dropDuplicates(["key"]))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
     return both.where(F.size(F.array_intersect("x", "y")) >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b")
 
 
+def central(percent: int):
+    """Whether an entry may pair with a set of its own size or larger. Two entries that may not can never pair."""
+    return (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")
+
+
+def ordered_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, n, pos, label, p: the same of the other) in different components as possible pairs with a < b."""
+    swap = F.col("key") > F.col("p.key")
+    sides = [F.when(swap, F.col(f"p.{c}")).otherwise(F.col(c)).alias(o) for c, o in (("key", "a"), ("n", "n"), ("pos", "pos"))]
+    sides += [F.when(swap, F.col(c)).otherwise(F.col(f"p.{c}")).alias(o) for c, o in (("key", "b"), ("n", "n2"), ("pos", "pos2"))]
+    return rows.where("key != p.key and label != p.label").select(*sides).where(possible(percent)).select("a", "b", "n", "n2")
+
+
 def column_pairs(entries: DataFrame, percent: int, blocks: int = 1) -> DataFrame:
-    """All pairs of members of columns in different components. With several blocks the members of a
-    column are dealt into them, and each pair of blocks meets apart."""
-    left = entries.select("gram", F.col("key").alias("a"), "n", "pos", F.col("label").alias("la"), F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("i"))
-    right = left.toDF("gram", "b", "n2", "pos2", "lb", "j")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    meet = left.withColumn("j", every).join(right.withColumn("i", every), ["gram", "i", "j"])
-    return meet.where("a < b and la != lb").where(possible(percent)).select("a", "b", "n", "n2")
+    """All pairs of a central member of a column with another in a different component. With several
+    blocks the members are dealt into them, and each pair of blocks meets apart."""
+    dealt = entries.withColumn("i", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    left = dealt.where(central(percent)).select("gram", F.struct("key", "n", "pos", "label").alias("p"), "i").withColumn("j", every)
+    right = dealt.withColumnRenamed("i", "j").withColumn("i", every)
+    return ordered_pairs(right.join(left, ["gram", "i", "j"]), percent)
 
 
 def pivot_pairs(entries: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """Members of columns with the columns' pivots (gram, pivots), where not yet in one component."""
-    rows = entries.join(pivots, "gram").select("key", "n", "pos", "label", F.explode("pivots").alias("p"))
-    swap = F.col("key") > F.col("p.key")
-    ordered = [F.when(swap, F.col(f"p.{c}")).otherwise(F.col(c)).alias(o) for c, o in (("key", "a"), ("n", "n"), ("pos", "pos"))]
-    ordered += [F.when(swap, F.col(c)).otherwise(F.col(f"p.{c}")).alias(o) for c, o in (("key", "b"), ("n", "n2"), ("pos", "pos2"))]
-    return rows.where("key != p.key and label != p.label").select(*ordered).where(possible(percent)).select("a", "b", "n", "n2")
+    return ordered_pairs(entries.join(pivots, "gram").select("key", "n", "pos", "label", F.explode("pivots").alias("p")), percent)
 
 
 def with_labels(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -271,9 +286,10 @@ def link_components(docs: DataFrame, profiles: DataFrame, width: int, percent: i
     edges = labels = None
     for done in range(ROUNDS + 1):
         now = with_labels(entries, labels)
-        seeds = [F.col("key"), *(F.xxhash64("key", F.lit(done * PIVOTS + i)) for i in range(PIVOTS if done else 0))]
-        pivots = F.array_distinct(F.array(*(F.min(F.struct(o.alias("o"), F.struct("key", "n", "pos", "label").alias("m")))["m"] for o in seeds)))
-        columns = now.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), pivots.alias("pivots")).where("lo < hi")
+        # Pivots are the members with the fewest rarer n-grams: what links with any member links with these first.
+        firsts = [F.struct("pos", F.xxhash64("key", F.lit(done * PIVOTS + i)).alias("o"), F.struct("key", "n", "pos", "label").alias("m")) for i in range(PIVOTS if done else 1)]
+        pivots = F.array_distinct(F.array(*(F.min(x)["m"] for x in firsts)))
+        columns = now.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.max(central(percent)).alias("open"), pivots.alias("pivots")).where("open and lo < hi")
         columns = cut(columns.select("gram", "members", "pivots"))
         small = F.col("members") <= SMALL_COLUMN
         if done == 0:
