@@ -12,8 +12,10 @@ from ..session import ship
 
 #: Rows turned into Python objects at once, so that a batch of long texts stays small.
 SLICE_ROWS = 256
-#: Entries of each generation of a worker's memo table.
-MEMO_ENTRIES = 200_000
+#: Entries of each generation of a worker's memo table, where making a value is costly and where it is cheap.
+MEMO_ENTRIES, CHEAP_ENTRIES = 100_000, 40_000
+#: Longer keys are not kept, so that the size of a memo table in bytes is bounded too.
+MEMO_KEY = 64
 
 
 class Memo(dict):
@@ -27,6 +29,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > MEMO_KEY:
+            return value
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, ship, stash
-from .common import Memo, arrow_schema
+from .common import CHEAP_ENTRIES, Memo, arrow_schema
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -63,7 +63,7 @@ class Shingler:
 
     def __init__(self, width: int) -> None:
         self.width = width
-        self.words = Memo(xxhash.xxh3_64_intdigest)
+        self.words = Memo(xxhash.xxh3_64_intdigest, CHEAP_ENTRIES)
 
     def ngrams(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()

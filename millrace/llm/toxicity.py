@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, map_rows
+from .common import CHEAP_ENTRIES, Memo, map_rows
 from .learn import in_sample, one_label
 
 SAMPLE_ROWS = 12_000
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("x", T.BinaryType())])
 
     def start():
-        memo = Memo(features_of)
+        memo = Memo(features_of, CHEAP_ENTRIES)
         return lambda t, y: {"toxic": y, "x": [sparse(s or "", memo).tobytes() for s in t]}
 
     rows = map_rows(texts, schema, start).toArrow()
@@ -173,7 +173,7 @@ def with_severity(docs: DataFrame, model: Model, keep: list[str], carry_text: bo
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("severity", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
 
     def start():
-        memo = Memo(lambda c: [f for f in features_of(c) if f in weights])
+        memo = Memo(lambda c: [f for f in features_of(c) if f in weights], CHEAP_ENTRIES)
 
         def work(texts: list, *rest: list) -> dict:
             eta = np.array([sum(map(weights.__getitem__, set().union(*map(memo.__getitem__, set((t or "").split()))))) for t in texts])
