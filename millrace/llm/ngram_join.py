@@ -41,6 +41,8 @@ SKETCH_BUCKETS = 1 << 22
 CHUNK = 1 << 12
 #: Bits of the map that tells which n-grams may be shared.
 MAP_BITS = 1 << 25
+#: 32-bit words of the map in one row when it is gathered.
+MAP_CHUNK = 1 << 12
 SMALL_COLUMN, ROUNDS, BLOCKS = 32, 4, 16
 #: Pivots of a column in each round.
 PIVOTS = 4
@@ -166,11 +168,19 @@ def shared_map(shared: DataFrame) -> np.ndarray:
     """A map of MAP_BITS bits with the bit of each n-gram of shared set; its size is fixed, false hits are harmless."""
     bit = F.shiftrightunsigned("gram", 65 - MAP_BITS.bit_length())
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))
-    rows = shared.select(F.shiftright(bit, 5).alias("at"), one.alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits"))
-    got = rows.toArrow()
-    words = np.zeros(MAP_BITS // 32, np.uint32)
-    words[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
-    return words
+    bits = shared.select(F.shiftright(bit, 5).alias("at"), one.alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        part = np.zeros(MAP_CHUNK, np.uint32)
+        part[rows["at"].to_numpy() % MAP_CHUNK] = rows["bits"].to_numpy().astype(np.uint32)
+        return pa.table({"chunk": rows["chunk"].slice(0, 1), "words": pa.array([part.tobytes()], pa.binary())})
+
+    chunk = F.floor(F.col("at") / MAP_CHUNK).alias("chunk")
+    got = bits.select("at", "bits", chunk).groupBy("chunk").applyInArrow(pack, "chunk long, words binary").toArrow()
+    words = np.zeros((MAP_BITS // 32 // MAP_CHUNK, MAP_CHUNK), np.uint32)
+    for i, part in zip(got["chunk"].to_pylist(), got["words"], strict=True):
+        words[i] = np.frombuffer(part.as_py(), np.uint32)
+    return words.ravel()
 
 
 def shared_entries(prefix: DataFrame, words: np.ndarray) -> DataFrame:
