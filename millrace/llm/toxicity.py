@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stash
 from .common import CHEAP_ENTRIES, Memo, map_rows
 from .learn import in_sample, one_label
 
@@ -50,26 +51,30 @@ def features_of(chunk: str) -> tuple[int, ...]:
 
 
 def sparse(text: str, known: Memo) -> np.ndarray:
-    """The distinct features of a text."""
-    return np.fromiter({f for c in set(text.split()) for f in known[c]}, np.uint32)
-
-
-def marked(x: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features most of whose rows are toxic, strongest first: ids and z scores of their log odds."""
-    a, n_a = np.unique(np.concatenate([v for v, t in zip(x, toxic, strict=True) if t]), return_counts=True)
-    rest = [v for v, t in zip(x, toxic, strict=True) if not t]
-    b, n_b = np.unique(np.concatenate(rest), return_counts=True) if rest else (np.zeros(0, np.uint32), np.zeros(0, int))
-    ids = np.union1d(a, b)
-    ca, cb = np.zeros(len(ids)), np.zeros(len(ids))
-    ca[np.searchsorted(ids, a)] = n_a
-    cb[np.searchsorted(ids, b)] = n_b
-    keep = (ca + cb >= max(LEAST_ROWS, toxic.sum() // ONE_IN)) & (ca >= LEAST_SHARE * (ca + cb))
-    ids, ca, cb = ids[keep], ca[keep], cb[keep]
-    n1, n0 = toxic.sum(), (~toxic).sum()
+    """The distinct features of a text, in order."""
+    return np.sort(np.fromiter({f for c in set(text.split()) for f in known[c]}, np.int64))
+
+
+def marked(rows: DataFrame, n1: int, n0: int) -> np.ndarray:
+    """Features most of whose rows are toxic, at most MAX_FEATURES, those with the highest z scores of their log odds; in order."""
+    a, n = F.sum("toxic"), F.count("*")
+    counts = rows.select("toxic", F.explode("x").alias("id")).groupBy("id").agg(a.alias("a"), n.alias("n"))
+    got = counts.where((F.col("n") >= max(LEAST_ROWS, n1 // ONE_IN)) & (F.col("a") >= LEAST_SHARE * F.col("n"))).toArrow().sort_by("id")
+    ids, ca = got["id"].to_numpy(), got["a"].to_numpy().astype(float)
+    cb = got["n"].to_numpy() - ca
     z = (np.log((ca + 0.1) / (n1 - ca + 0.1)) - np.log((cb + 0.1) / (n0 - cb + 0.1))) / np.sqrt(1 / (ca + 0.5) + 1 / (cb + 0.5))
     order = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    order = order[z[order] >= LEAST_Z]
-    return ids[order], z[order]
+    return np.sort(ids[order[z[order] >= LEAST_Z]])
+
+
+def chosen(rows: DataFrame, ids: np.ndarray) -> DataFrame:
+    """Per row (toxic, cols): which of ids its text has, by place."""
+    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("cols", T.ArrayType(T.LongType()))])
+
+    def start():
+        return lambda y, x: {"toxic": y, "cols": [np.flatnonzero(np.isin(ids, v, assume_unique=True)) for v in x]}
+
+    return map_rows(rows.select("toxic", "x"), schema, start)
 
 
 def ordinal_fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,32 +116,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # About SAMPLE_ROWS rows whatever the input, so they may be broadcast.
     drawn = known.where(in_sample(F.col("doc_id"), SAMPLE_ROWS, n, 3))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
-    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("x", T.BinaryType())])
+    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("x", T.ArrayType(T.LongType()))])
 
     def start():
         memo = Memo(features_of, CHEAP_ENTRIES)
-        return lambda t, y: {"toxic": y, "x": [sparse(s or "", memo).tobytes() for s in t]}
+        return lambda t, y: {"toxic": [int(v == 1) for v in y], "x": [sparse(s or "", memo) for s in t]}
 
-    rows = map_rows(texts, schema, start).toArrow()
-    toxic = np.array([t == 1 for t in rows["toxic"].to_pylist()], bool)
-    if not toxic.any():
-        return {}, np.zeros(0), 1.0
     # copies would count a rare word as often as they occur
-    first = np.unique([f"{t}{hash(b)}" for t, b in zip(toxic, rows["x"].to_pylist(), strict=True)], return_index=True)[1]
-    toxic, rows = toxic[first], rows.take(first)
-    x = [np.frombuffer(b, np.uint32) for b in rows["x"].to_pylist()]
-    ids, z = marked(x, toxic)
+    rows = stash(map_rows(texts, schema, start).distinct())
+    n1, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    if not n1:
+        return {}, np.zeros(0), 1.0
+    ids = marked(rows, n1, n - n1)
     if not len(ids):
         return {}, np.zeros(0), 1.0
-    order = np.argsort(ids)
-    ids, z = ids[order], z[order]
-    cols, at = [], []
-    for i, v in enumerate(x):
-        j = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
-        j = j[ids[j] == v]
-        cols.append(j)
-        at.append(np.full(len(j), i))
-    cols, at = np.concatenate(cols), np.concatenate(at)
+    # Only the chosen features of the sample reach the driver.
+    x = chosen(rows, ids).toArrow().sort_by([("toxic", "ascending")])
+    toxic = x["toxic"].to_numpy() == 1
+    parts = [np.asarray(v, np.int64) for v in x["cols"].to_pylist()]
+    cols, at = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(v) for v in parts])
     hits = np.bincount(at, minlength=len(x))
     third = np.quantile(hits[toxic], [1 / 3, 2 / 3])
     grades = np.where(toxic, 1 + (hits > third[0]).astype(int) + (hits > third[1]), 0)
