@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, shingles
+from ..session import cut
 
 SLOTS, BANDS = 128, 32
 
@@ -39,7 +40,7 @@ def lsh_candidates(signatures: DataFrame) -> DataFrame:
 
 def near_dup_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(a, b, similarity): pairs between representatives of different shingle sets at or above the threshold.
-    Documents with equal sets are collapsed first and join no pairs."""
+    Documents with equal sets are collapsed first; near_dup_members says whom each representative stands for."""
     signed = minhash(docs)
     reps = signed.groupBy(F.array_sort("shingles").alias("shingles"), "signature").agg(F.min("doc_id").alias("doc_id"))
     sets = reps.select("doc_id", "shingles")
@@ -48,6 +49,22 @@ def near_dup_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     return pairs.where(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def near_dup_members(docs: DataFrame) -> DataFrame:
+    """(doc_id, representative): the smallest document with an equal shingle set, itself included."""
+    keyed = docs.select("doc_id", F.array_sort(shingles(F.col("text"))).alias("s")).where(F.size("s") > 0)
+    keyed = keyed.select("doc_id", F.sha2(F.array_join("s", " "), 256).alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("representative")), "key").select("doc_id", "representative")
+
+
+def all_near_dup_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(a, b, similarity) with a < b: all pairs of documents at or above the threshold, those with equal sets included."""
+    members = cut(near_dup_members(docs))
+    x, y = (members.select(F.col("representative").alias(r), F.col("doc_id").alias(d)) for r, d in (("a", "x"), ("b", "y")))
+    across = near_dup_pairs(docs, threshold).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    within = x.join(y.withColumnRenamed("b", "a"), "a").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(within)
+
+
 def event_counts(events: DataFrame, kinds: list[str], column: str = "event_type") -> DataFrame:
     """Counts of a closed list of kinds, zeros included."""
     known = events.sparkSession.createDataFrame([(k,) for k in kinds], f"{column} string")

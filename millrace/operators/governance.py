@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import once
+from ..session import cut
 
 #: What makes a difference critical; the transitions of a task (from, event, to).
 CRITICAL = r"[\d%％]|\d{4}[-/年.]|[元万千亿]|禁止|不得|取消|不|未|无|非"
@@ -61,14 +62,50 @@ def critical_diff(a: Column, b: Column) -> Column:
     return F.coalesce(differing_parts(a, b).rlike(CRITICAL), F.lit(False))
 
 
-def resolve_near_dups(pairs: DataFrame, docs: DataFrame, dates: DataFrame) -> DataFrame:
-    """(a, b, outcome, loser) of near-duplicate pairs: a conflict without a loser where the difference is critical, else a merge
-    whose loser is the document of the earlier date if both have one, else the later arrival."""
+def resolve_near_dups(pairs: DataFrame, docs: DataFrame, dates: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(a, b, outcome, loser) of near-duplicate pairs (a < b): a conflict without a loser where the difference is critical, else a
+    merge whose loser is the document of the earlier date if both have one, else the later arrival.
+
+    Documents arrive in order of their ids and meet those before them in the same order. Who has lost meets nobody any more, so
+    such pairs are left out. Each round settles the pairs whose two documents cannot lose in an unsettled earlier pair. Conflicts
+    among the known pairs (a, b, in any order) are not written again."""
     texts = docs.select("doc_id", "text").join(dates.select("doc_id", "effective_date"), "doc_id", "left")
     side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"{n}_text"), F.col("effective_date").alias(f"{n}_date"))
-    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("critical", critical_diff(F.col("a_text"), F.col("b_text")))
+    rows = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").withColumn("critical", critical_diff(F.col("a_text"), F.col("b_text")))
     loser = F.when(F.col("critical"), None).when(F.col("b_date") > F.col("a_date"), F.col("a")).otherwise(F.col("b"))
-    return rows.select("a", "b", F.when(F.col("critical"), "CONFLICT").otherwise("MERGED").alias("outcome"), loser.alias("loser"))
+    # a pair's time is (b, a); when() is null for conflicts, which nobody loses
+    open_ = cut(rows.select("a", "b", F.struct("b", "a").alias("at"), loser.alias("loser")))
+    done = open_.where("false")
+    while True:
+        unsettled = open_.where("loser is not null").groupBy(F.col("loser").alias("doc_id")).agg(F.min("at").alias("may"))
+        lost = done.where("loser is not null").select(F.col("loser").alias("doc_id"), F.col("at").alias("lost"))
+        fate = unsettled.join(lost, "doc_id", "full")
+        x, y = (fate.select(F.col("doc_id").alias(n), F.col("may").alias(f"{n}_may"), F.col("lost").alias(f"{n}_lost")) for n in "ab")
+        both = open_.join(x, "a", "left").join(y, "b", "left")
+        before = lambda c: F.coalesce(F.col(c) < F.col("at"), F.lit(False))
+        state = F.when(before("a_lost") | before("b_lost"), "void").when(before("a_may") | before("b_may"), "open").otherwise("done")
+        judged = cut(both.select("a", "b", "at", "loser", state.alias("state")))
+        done = cut(done.unionByName(judged.where("state = 'done'").drop("state")))
+        open_ = judged.where("state = 'open'").drop("state")
+        if not open_.limit(1).count():
+            break
+    done = done.select("a", "b", F.when(F.col("loser").isNull(), "CONFLICT").otherwise("MERGED").alias("outcome"), "loser")
+    if known is None:
+        return done
+    seen = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("CONFLICT").alias("outcome"))
+    return done.join(seen, ["a", "b", "outcome"], "left_anti")
+
+
+def resolve_copies(docs: DataFrame, dates: DataFrame) -> DataFrame:
+    """(a, b, outcome, loser): exact copies with the one that stays (EXACT), and the near duplicates among those that stay."""
+    from .dedup import all_near_dup_pairs, exact_dedup
+
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    copies = cut(exact_dedup(texts.select("doc_id", F.lit(0).alias("idx"), F.col("text").alias("content")), dates).select("doc_id", "content_hash", "active"))
+    kept = copies.where("active").select(F.col("doc_id").alias("kept"), "content_hash")
+    exact = copies.where("not active").join(kept, "content_hash").select(F.least("doc_id", "kept").alias("a"), F.greatest("doc_id", "kept").alias("b"), F.lit("EXACT").alias("outcome"), F.col("doc_id").alias("loser"))
+    texts = cut(texts.join(kept.select(F.col("kept").alias("doc_id")), "doc_id", "left_semi"))
+    return exact.unionByName(resolve_near_dups(all_near_dup_pairs(texts), texts, dates))
 
 
 def conflict_candidates(hits: DataFrame, least: float = 0.85) -> DataFrame:

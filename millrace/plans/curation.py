@@ -103,7 +103,7 @@ simple("d6_critical_diff", lambda t: t("part").select("p_partkey", G.differing_p
 WITH p AS (SELECT *, len(list_filter(range(1, least(length(p_name), length(p_type)) + 1), lambda i: left(p_name, i) = left(p_type, i))) AS p FROM part), x AS (SELECT p_partkey, p_name, p_brand, p_name[p + 1:] AS x, p_type[p + 1:] AS y FROM p),
 s AS (SELECT *, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: right(x, i) = right(y, i))) AS s FROM x)
 SELECT p_partkey, left(x, length(x) - s) || left(y, length(y) - s) AS parts, regexp_matches(p_brand, '\d') AS critical FROM s""")
-simple("d7_resolve_near_dups", lambda t: G.resolve_near_dups(dedup.near_dup_pairs(t("documents")), t("documents"), S.engine_documents(t("documents"))))
+simple("d7_resolve_near_dups", lambda t: G.resolve_copies(t("documents"), S.engine_documents(t("documents"))))
 simple("e4_arbitrate", lambda t: G.arbitrate(t("orders").select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("chunk_id"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("date")).alias("effective_date"))), """
 WITH m AS (SELECT o_custkey AS group_id, o_orderkey AS chunk_id, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS effective_date FROM orders),
 w AS (SELECT *, count(*) FILTER (effective_date IS NULL) OVER (PARTITION BY group_id) AS undated, max(effective_date) OVER (PARTITION BY group_id) AS last FROM m), v AS (SELECT *, count(*) FILTER (effective_date = last) OVER (PARTITION BY group_id) AS winners FROM w)

@@ -61,6 +61,7 @@ SELECT doc_id, idx, content_hash, doc_id = winner AS active FROM c JOIN w USING
 simple("d5_near_dup_pairs", lambda t: dedup.near_dup_pairs(t("documents")), """
 WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))) AS s FROM documents), r AS (SELECT s, min(doc_id) AS doc_id FROM s WHERE len(s) > 0 GROUP BY s)
 SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) AS similarity FROM r x JOIN r y ON x.doc_id < y.doc_id AND least(len(x.s), len(y.s)) >= 0.9 * greatest(len(x.s), len(y.s))) WHERE similarity >= 0.9""")
+simple("d5_near_dup_members", lambda t: dedup.near_dup_members(t("documents")), "WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))) AS s FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS representative FROM s WHERE len(s) > 0")
 simple("d9_event_counts", lambda t: dedup.event_counts(events(t), ["RETRIEVED", "CITED", "DEDUP_EXACT_SKIPPED"]), f"SELECT k AS event_type, (SELECT count(*) FROM {EVENTS} WHERE event_type = k) AS n FROM (VALUES ('RETRIEVED'), ('CITED'), ('DEDUP_EXACT_SKIPPED')) v(k)")
 # retrieval
 BM25 = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM documents), e AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w), p AS (SELECT term, doc_id, len, count(*) AS tf FROM e GROUP BY ALL),

@@ -1,11 +1,14 @@
 """Literal cases of operators that need no table."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
-from millrace.operators import metrics, records
+from millrace.operators import dedup, governance, metrics, records
 from millrace.sources import tables as S
 from millrace.streaming import streams
 
@@ -58,3 +61,62 @@ def test_stream_of_events_equals_the_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("counts")) == key(streams.event_counts(rows))
+
+
+def greedy(texts, dates, known_pairs):
+    """The rule of D7 one arrival after the other."""
+    out, gone = [], set()
+    for b in sorted(texts):
+        for a in sorted(x for x in texts if x < b):
+            if b in gone or a in gone or (a, b) not in known_pairs:
+                continue
+            x, y = texts[a], texts[b]
+            n = min(len(x), len(y))
+            p = next((i for i in range(n) if x[i] != y[i]), n)
+            x, y = x[p:], y[p:]
+            n = min(len(x), len(y))
+            s = next((i for i in range(n) if x[-1 - i] != y[-1 - i]), n)
+            if any(c.isdigit() for c in x[: len(x) - s] + y[: len(y) - s]):
+                out.append((a, b, "CONFLICT", None))
+                continue
+            out.append((a, b, "MERGED", a if dates[a] and dates[b] and dates[b] > dates[a] else b))
+            gone.add(out[-1][3])
+    return sorted(out, key=str)
+
+
+def test_copies_with_equal_words_are_resolved_as_by_brute_force(spark):
+    rnd = random.Random(5)
+    base = [f"w{chr(97 + i)}x" for i in range(20)]
+    texts, dates = {}, {}
+    for i in range(1, 61):
+        words = base[:]
+        a, b = rnd.randrange(20), rnd.randrange(20)
+        words[a], words[b] = words[b], words[a]
+        words += rnd.choice(([], [str(rnd.randrange(4))], ["extra"], ["!"]))
+        texts[i], dates[i] = " ".join(words), rnd.choice((None, *(f"2024-01-0{k}" for k in range(1, 8))))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    dated = spark.createDataFrame(list(dates.items()), "doc_id long, d string").select("doc_id", F.col("d").cast("date").alias("effective_date"))
+    groups = {}
+    for i, x in texts.items():
+        groups.setdefault(x.replace(" ", ""), []).append(i)
+    kept, exact = {}, []
+    for ids in groups.values():
+        stays = ids[0] if dates[ids[0]] is None else min((i for i in ids if dates[i] == max(dates[j] or "" for j in ids)))
+        kept[stays] = texts[stays]
+        exact += [(min(i, stays), max(i, stays), "EXACT", i) for i in ids if i != stays]
+    got = [tuple(r) for r in governance.resolve_copies(docs, dated).collect()]
+    sets = {i: set(re.findall("[a-z0-9_]{2,}", x)) for i, x in kept.items()}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])}
+    want = greedy(kept, dates, near)
+    assert exact and {r[2] for r in want} == {"CONFLICT", "MERGED"}
+    assert sorted(got, key=str) == sorted(want + exact, key=str)
+    assert {(r.a, r.b) for r in dedup.all_near_dup_pairs(docs.where(F.col("doc_id").isin(*kept))).collect()} == near
+
+
+def test_known_conflicts_are_not_written_again(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc 5"), (2, "aa bb cc 6"), (3, "bb aa cc 5")], "doc_id long, text string")
+    dates = docs.select("doc_id", F.lit(None).cast("date").alias("effective_date"))
+    pairs = dedup.all_near_dup_pairs(docs)
+    assert sorted(map(tuple, governance.resolve_near_dups(pairs, docs, dates).collect()), key=str) == [(1, 2, "CONFLICT", None), (1, 3, "MERGED", 3)]
+    known = spark.createDataFrame([(2, 1)], "a long, b long")
+    assert [tuple(r) for r in governance.resolve_near_dups(pairs, docs, dates, known).collect()] == [(1, 3, "MERGED", 3)]
