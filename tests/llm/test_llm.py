@@ -207,6 +207,26 @@ def test_decontamination_of_changed_slots(spark, odd, none):
     assert decontaminate.decontaminate(odd, items).count() == len(ODD) and decontaminate.contaminated_pairs(none, items).count() == 0
 
 
+def test_decontamination_finds_runs_at_every_offset_and_short_items(spark):
+    items = spark.createDataFrame([(1, "copper lanterns drift beneath silent harbour walls before every dawn"), (2, "violet engines hum under glass")], "item_id long, text string")
+    rows = [(k, "x " * k + "copper lanterns drift beneath silent harbour walls before " + "y " * 9) for k in range(20, 24)]
+    rows += [(30, "we heard that violet engines hum under glass and went on"), (31, "we heard that violet engines hum under water and went on")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_words) for r in decontaminate.contaminated_pairs(docs, items).collect())
+    assert got == [(k, 1, 8) for k in range(20, 24)] + [(30, 2, 5)]
+
+
+def test_decontamination_of_names_that_begin_sentences(spark):
+    item = "Tom has 12 apples in a box. Tom gives away 5 of them. How many are left? Tom counts them all."
+    rows = [(1, item.replace("Tom", "Bob")), (2, "Now Bob has 12 apples in a box, so Bob gives away 5 of them. how many are left? Bob counts them all."), (3, "Ann has 12 pears. Ann likes them. Why would anyone ask?")]
+    docs = spark.createDataFrame([(i, "Some words come first, and more words. " + x) for i, x in rows], "doc_id long, text string")
+    got = {r.doc_id: r.share for r in decontaminate.contaminated_pairs(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: 1.0, 2: got[2]} and got[2] > 0.5
+    # the values of one name disagree: such words are no equal ones, the others count as before
+    mixed = spark.createDataFrame([(1, item.replace("Tom", "Bob", 1).replace("Tom", "Sam"))], "doc_id long, text string")
+    assert decontaminate.contaminated_pairs(mixed, spark.createDataFrame([(1, item)], "item_id long, text string")).first().n_words == 21 - 3
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
