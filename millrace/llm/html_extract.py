@@ -4,8 +4,9 @@ Markup is stripped to one line per block element; text inside boilerplate elemen
 empty, as markup does. The lengths of the lines are summed over sliding windows; text is kept from
 each surge of that sum to the dive that follows. A page that names its content (article, main) has
 every line outside it empty and needs no least sum; elsewhere lines that are mostly links count
-nothing, a window must exceed SURGE code points to begin and a quarter of it to go on. A page that
-never surges keeps all its lines.
+nothing, a window must exceed SURGE code points to begin and a quarter of it to go on, in the window
+that begins with a line or, for text, in the one that ends with it. A page that never surges keeps all
+its lines.
 
 Null or empty html gives an empty text. Unclosed, cut or stray markup is tolerated. Repeated rows
 each get their own result; an empty table gives an empty table.
@@ -158,17 +159,20 @@ def to_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
 
 
 def keep_regions(lines: list[tuple[str, int]], least: int) -> list[str]:
-    """The lines from each surge of the windows' sums to the dive after it."""
+    """The lines from each surge of the windows' sums to the dive after it. Text also goes on where the window
+    that ends with it is large enough, so that short last blocks stay."""
     n = len(lines)
     sums = [sum(x[1] for x in lines[i : i + WINDOW]) for i in range(n)]
+    back = [sum(x[1] for x in lines[max(0, i - WINDOW + 1) : i + 1]) for i in range(n)]
     kept, i = [], 0
     while i < n:
         if sums[i] > least and lines[i][1]:
             j = i
-            while j < n and sums[j] > least // 4:
+            while j < n and max(sums[j], back[j]) > least // 4:
+                text, size = lines[j]
+                if text and (size or least and sums[j] > least // 4):
+                    kept.append(text)
                 j += 1
-            region = lines[i:j]
-            kept += [t for t, size in region if t and (least or size)]
             i = j
         else:
             i += 1

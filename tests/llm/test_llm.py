@@ -38,6 +38,13 @@ def test_html_surges_without_an_article():
     assert html_extract.main_text(page).split("\n")[1] == "short." and "Home" not in html_extract.main_text(page) and "Last" not in html_extract.main_text(page)
 
 
+def test_html_keeps_short_last_blocks_without_an_article():
+    links, ad = "<ul><li><a>Home</a><li><a>About us</a></ul>", "<div class='ad'>Buy</div>"
+    for end in ("<p>The end.</p>" + links, "<p>The end.</p>" + ad, ad + "<p>The end.</p>" + links):
+        page = "<body>" + links + "<p>" + "long text " * 20 + "</p>" + end
+        assert html_extract.main_text(page) == ("long text " * 20).strip() + "\nThe end."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<p>x"), (2, None, "<p>x")], "page_id long, url string, html string")
     assert sorted(tuple(r)[0:1] + tuple(r)[2:] for r in html_extract.extract_main_text(pages).collect()) == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
