@@ -23,6 +23,18 @@ INJECTION = (
     r"(?i)忘记|忽略|无视.*(之前|上面|所有).*(指令|提示|规则)",
 )
 PROTECTED = (r"(?i)copyright\s+\(c\)\s+\d{4}", r"(?i)all\s+rights\s+reserved", r"(?i)licensed\s+under\s+(MIT|Apache|GPL)", r"(?i)DO\s+NOT\s+DISTRIBUTE", r"(?i)CONFIDENTIAL")
+LEAK = (
+    r"(?i)you\s+are\s+a\s+(helpful|knowledge|wiki)\s+assistant",
+    r"(?i)your\s+(task|role|mission)\s+is\s+to",
+    r"(?i)system\s*:\s*you\s+are",
+    r"(?i)<system>",
+    r"(?i)\[INST\]",
+    r"(?i)wikiagent.*prompt",
+    r"(?i)guardrail.*instruction",
+    r"(?i)rule\s+of\s+two",
+)
+#: violation type -> (patterns, risk)
+SCREENS = {"PROMPT_INJECTION": (INJECTION, 0.9), "SYSTEM_PROMPT_LEAK": (LEAK, 0.85), "PROTECTED_MATERIAL": (PROTECTED, 0.7)}
 
 FREQUENT_LINE_LENGTH = 50
 
@@ -117,6 +129,12 @@ def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.when(text.rlike(p), F.lit(i)) for i, p in enumerate(patterns, 1)))
 
 
+def violations(text: Column) -> Column:
+    """Array of structs (violation, pattern, risk): of each screen that a text fails, the place of the first pattern it matches."""
+    found = [F.struct(F.lit(name).alias("violation"), first_match(text, patterns).alias("pattern"), F.lit(risk).alias("risk")) for name, (patterns, risk) in SCREENS.items()]
+    return F.filter(F.array(*found), lambda x: x["pattern"].isNotNull())
+
+
 def bucket(feature: str, key: Column) -> Column:
     """The bucket of 100 that a key falls into: the first four bytes of a digest without the sign."""
     k = F.when(F.trim(F.coalesce(key, F.lit(""))) == "", "anonymous").otherwise(key)

@@ -74,3 +74,9 @@ def event_counts(events: DataFrame, kinds: list[str], column: str = "event_type"
 def latest_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+
+def placed_by(df: DataFrame, keys: list[str], *order, most: int | None = None) -> DataFrame:
+    """All rows with their place among those of equal keys, from 1; only the first `most` if given."""
+    rows = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return rows if most is None else rows.where(F.col("place") <= most)

@@ -57,9 +57,9 @@ simple(
 )
 
 
-def report(t):
+def report(t, **more):
     times = metrics.response_times(S.engine_calls(t("lineitem"))).selectExpr("stack(2, concat(purpose, '.p50'), p50, concat(purpose, '.p95'), p95) as (kind, rate)", "n")
-    return E.metric_report({"field_accuracy": metrics.rate(t("labels"), F.col("quality") == 1), "judge_errors": judge_errors(t), "human_edits": edits(t), "cost_per_turn": metrics.cost_per_turn(costed(t)), "response_time": times})
+    return E.metric_report({"field_accuracy": metrics.rate(t("labels"), F.col("quality") == 1), "judge_errors": judge_errors(t), "human_edits": edits(t), "cost_per_turn": metrics.cost_per_turn(costed(t)), "response_time": times} | more)
 
 
 simple("l13_metric_report", report, f"""
@@ -155,3 +155,5 @@ SELECT task_id, seq, event, before, coalesce(target, before) AS after, CASE WHEN
 simple("k13_expired_leases", lambda t: G.expired_leases(t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("DONE").alias("status"), F.col("o_orderdate").alias("lease_until")), F.lit("1997-01-01").cast("timestamp_ntz")), "SELECT o_orderkey, 'RUNNING' AS status, o_orderdate AS lease_until FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1997-01-01'")
 simple("k14_page", lambda t: G.page_by(t("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 2, 20), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
 simple("m3_trace_timeline", lambda t: dedup.latest_by(events(t), ["chunk_id"], F.desc("created_at"), F.desc("event_id")).select("chunk_id", "event_id", "event_type"), f"SELECT chunk_id, event_id, event_type FROM {EVENTS} QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC, event_id DESC) = 1")
+simple("m3_trace_rows", lambda t: dedup.placed_by(events(t), ["chunk_id"], "created_at", "event_id").select("chunk_id", "place", "event_id", "event_type", "created_at"), f"SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at, event_id) AS place, event_id, event_type, created_at FROM {EVENTS}")
+simple("m3_user_latest", lambda t: dedup.placed_by(t("events"), ["user_id"], F.desc("ts"), F.desc("event_id"), most=100).select("user_id", "place", "event_id", "event_type"), "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place, event_id, event_type FROM events QUALIFY place <= 100")

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import dedup, metrics, records, retrieval
 from ..sources import tables as S
 from ..streaming import streams
-from . import curation  # noqa: F401  (adds its entries)
+from . import curation
 from .base import CALLS, CHUNKS, COSTED, DATES, ENTRIES, EVENTS, asked, costed, events, simple
 
 ASOF = "2024-01-31 00:00:00"
@@ -105,6 +105,7 @@ simple("k8_chunk_metrics", lambda t: metrics.chunk_metrics(events(t)), f"SELECT
 simple("k10_count_by", lambda t: metrics.count_by(events(t), "event_type"), f"SELECT event_type, count(*) AS n FROM {EVENTS} GROUP BY 1")
 simple("l2_field_accuracy", lambda t: metrics.rate(t("labels"), F.col("quality") == 1), "SELECT round(avg(CAST(quality = 1 AS INT)), 6) AS rate, count(*) AS n FROM labels")
 simple("l3_retrieval_hit_rate", lambda t: metrics.retrieval_hit_rate(events(t)), f"WITH e AS (SELECT * FROM {EVENTS}), l AS (SELECT chunk_id, max(CAST(event_type = 'FEEDBACK_USEFUL' AS INT)) AS u FROM e WHERE event_type LIKE 'FEEDBACK%' GROUP BY 1) SELECT round(avg(u), 6) AS rate, count(*) AS n FROM e JOIN l USING (chunk_id) WHERE event_type = 'RETRIEVED'")
+simple("l13_seven_metrics", lambda t: curation.report(t, retrieval_hits=metrics.retrieval_hit_rate(events(t)), citations=metrics.rate(curation.citations(t), F.col("resolvable") & F.col("consistent"))), f"{ENTRIES['l13_metric_report'][1]} UNION ALL SELECT 'retrieval_hits', '', rate, n FROM ({ENTRIES['l3_retrieval_hit_rate'][1]}) UNION ALL SELECT 'citations', '', rate, n FROM ({ENTRIES['l4_citation_rate'][1]})")
 simple("l8_response_times", lambda t: metrics.response_times(S.engine_calls(t("lineitem"))), f"SELECT purpose, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, count(*) AS n FROM {CALLS} WHERE status = 'OK' GROUP BY 1")
 simple("l9_cost_per_turn", lambda t: metrics.cost_per_turn(costed(t)), f"SELECT round(coalesce(sum(cost), 0) / nullif(count(*) FILTER (purpose = 'CHAT'), 0), 6) AS cost_per_turn FROM {COSTED}")
 simple("l15_aggregate_scores", lambda t: metrics.aggregate_scores(t("lineitem").select(F.col("l_linestatus").alias("metric"), F.col("l_returnflag").alias("source"), F.when(F.col("l_linenumber") != 3, F.col("l_discount")).alias("value"))), "SELECT l_linestatus AS metric, l_returnflag AS source, round(avg(v), 4) AS mean, count(v) AS scored, count(*) - count(v) AS missing, CAST(grouping(l_returnflag) AS INT) AS all_sources FROM (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_discount END AS v FROM lineitem) GROUP BY GROUPING SETS ((l_linestatus), (l_linestatus, l_returnflag))")
@@ -116,6 +117,7 @@ for _p in X.OUTPUT_PII:
     PII_SQL = f"regexp_replace({PII_SQL}, '{_p}', '[REDACTED]', 'g')"
 simple("n2_redact_output", lambda t: t("documents").select("doc_id", X.redact_output(F.col("text")).alias("text")), f"SELECT doc_id, {PII_SQL} AS text FROM documents")
 simple("n3_screen", lambda t: t("documents").select("doc_id", X.first_match(F.col("text"), X.PROTECTED).alias("protected"), X.first_match(F.col("text"), X.INJECTION).alias("injection")), "SELECT doc_id, " + ", ".join("CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN {i}" for i, p in enumerate(ps, 1)) + f" END AS {n}" for n, ps in (("protected", X.PROTECTED), ("injection", X.INJECTION))) + " FROM documents")
+simple("n3_violations", lambda t: t("documents").select("doc_id", F.inline(X.violations(F.col("text")))), " UNION ALL ".join(f"SELECT doc_id, '{n}' AS violation, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN {i}" for i, p in enumerate(ps, 1)) + f" END AS pattern, CAST({risk} AS DOUBLE) AS risk FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for p in ps) for n, (ps, risk) in X.SCREENS.items()))
 # conversations
 simple("o1_sessions", lambda t: records.list_sessions(t("conversations")), "SELECT conv_id, count(*) AS messages, min(turn) AS first_turn, max(turn) AS last_turn, left(coalesce(arg_min(text, struct_pack(t := turn, x := text)) FILTER (role = 'user'), arg_min(text, struct_pack(t := turn, x := text))), 40) AS title FROM conversations GROUP BY 1")
 simple("o3_pair_answers", lambda t: records.pair_answers(t("conversations")), "SELECT q.conv_id, q.turn, q.text AS question, (SELECT arg_min(a.text, a.turn) FROM conversations a WHERE a.conv_id = q.conv_id AND a.turn > q.turn AND a.role = 'assistant' AND trim(a.text) <> '') AS answer FROM conversations q WHERE role = 'user'")
