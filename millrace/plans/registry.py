@@ -70,6 +70,11 @@ q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(
 bs AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), st GROUP BY 1, 2),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs QUALIFY rank <= 20)"""
 KEYS = """h AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))) AS term FROM documents)"""
+simple("f2_keyword_search", lambda t: retrieval.keyword_search(asked(t), t("documents")), """
+WITH w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM benchmark), p AS (SELECT query_id, i, w[i] AS term FROM w, generate_series(1, len(w)) g(i)),
+u AS (SELECT query_id, term, min(i) AS i FROM p GROUP BY 1, 2), t AS (SELECT query_id, term FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 12), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1),
+s AS (SELECT query_id, doc_id, round(count(*) / max(n), 6) AS score FROM t JOIN n USING (query_id) JOIN documents ON contains(lower(text), term) GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20""")
 simple("f4_bm25_search", lambda t: retrieval.bm25_search(asked(t), t("documents")), f"WITH {BM25} SELECT * FROM bm")
 simple("f5_dense_search", lambda t: retrieval.dense_search(t("embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t("embeddings")), """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v q JOIN v ON q.vec_id % 25 = 0 AND q.vec_id <> v.vec_id)

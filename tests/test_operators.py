@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
-from millrace.operators import dedup, governance, metrics, records
+from millrace.operators import dedup, governance, metrics, records, retrieval
 from millrace.sources import tables as S
 from millrace.streaming import streams
 
@@ -132,3 +132,9 @@ def test_a_trace_keeps_all_its_rows(spark):
     rows = spark.createDataFrame([(1, 30), (1, 10), (1, 20), (2, 5)], "trace long, at long")
     assert sorted(map(tuple, dedup.placed_by(rows, ["trace"], "at").collect())) == [(1, 10, 1), (1, 20, 2), (1, 30, 3), (2, 5, 1)]
     assert dedup.placed_by(rows, ["trace"], "at", most=2).count() == 3
+
+
+def test_keywords_are_found_inside_longer_words(spark):
+    docs = spark.createDataFrame([(1, "Sunflowers bloom"), (2, "moon"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "flower bloom")], "query_id long, text string")
+    assert [tuple(r) for r in retrieval.keyword_search(asked, docs).select("query_id", "doc_id", "score", "rank").collect()] == [(7, 1, 1.0, 1)]
