@@ -4,20 +4,22 @@ Documents by n-grams form a sparse incidence matrix. Copies (equal n-gram sets)
 one row of it. For a link at `percent`, two sets of sizes x and y must share
 ceil(percent * (x + y) / (100 + percent)) n-grams, so the first x - ceil(percent * x / 100) + 1
 n-grams of each set, in one order for all sets that puts frequent n-grams last, must meet: only that
-block of columns is multiplied. Entries of a column meet on its n-gram; pairs whose sizes or places
-in the order rule out enough overlap are discarded, and the overlap of the rest is counted in full.
-
-A column of many classes is not multiplied out. Only components are asked for, so the first rounds
-pair the members of each column with its pivots; links merge components, columns whose members are
-all in one component are done, and used pivots leave. Columns of at most SMALL_COLUMN members that
-remain are multiplied out; after ROUNDS rounds so are the others, in blocks. Every pair of a column
-is thus compared or known to be connected.
-
-The order comes from counts of all n-grams in SKETCH_BUCKETS hashed counters, a table of fixed size.
-N-grams are 64-bit hashes. Words are runs without ASCII white space, A-Z in lower case. A text with
-fewer than `width` words is one n-gram of all its words; null, empty or blank texts have no n-grams
-and no links. Repeated rows are copies of each other; a null id never names a component. Other
-columns are ignored; an empty table gives an empty table.
+part of the matrix is multiplied. Entries of a column meet on its n-gram; pairs whose sizes or
+places in the order rule out enough overlap are discarded, and the overlap of the rest is counted.
+
+Only components are asked for, so the product is taken in blocks of rows: each column is multiplied
+with a few of its rows, links merge components, and columns whose rows are all in one component are
+done. Columns of at most SMALL_COLUMN rows are then multiplied out; of the others the rows of the
+block leave, and the next block is GROWTH times as large. Every pair of a column is thus compared or
+known to be connected, whatever the size of the column.
+
+Three passes over the texts hash their n-grams: the first counts, in hashed counters of fixed
+number, the n-grams that a task meets more than once; the second finds the columns that two classes
+share; the third keeps the sets of the classes that have such a column, and nothing reads texts
+after it. N-grams are 64-bit hashes. A text with fewer than `width` words is one n-gram of all its
+words; null, empty or blank texts have no n-grams and no links. Repeated rows are copies of each
+other; rows with a null id link others but never name a component. Other columns are ignored; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,312 +28,267 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, ship, stash
-from .common import CHEAP_ENTRIES, Memo, arrow_schema
+from .common import arrow_schema
 from .components import components
+from .shingles import Shingler, lists, set_keys
 
 WIDTH, PERCENT = 5, 80
-SKETCH_BUCKETS = 1 << 22
-#: Counters of one row when tasks' counts are summed up.
+#: Counters of repeated n-grams, and bits of the map that tells which n-grams are shared: fixed sizes, whatever the input.
+COUNTERS, MAP_BITS = 1 << 22, 1 << 25
+#: N-grams that a task gathers before it counts the repeated ones.
+COUNTED_AT_ONCE = 1 << 22
+#: Numbers in one row when a table of fixed size is gathered.
 CHUNK = 1 << 12
-#: Bits of the map that tells which n-grams may be shared.
-MAP_BITS = 1 << 25
-#: 32-bit words of the map in one row when it is gathered.
-MAP_CHUNK = 1 << 12
-SMALL_COLUMN, ROUNDS, BLOCKS = 32, 4, 16
-#: Pivots of a column in each round.
-PIVOTS = 4
-#: Up to so many ids are broadcast (8 bytes each) to pick the documents to be compared; more are shuffled.
-BROADCAST_IDS = 100_000
+SMALL_COLUMN, FIRST_BLOCK, GROWTH = 16, 8, 8
 #: Classes a task remembers in order to write their entries once.
 SEEN_CLASSES = 200_000
 
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-U32 = np.uint64(32)
 
+def place(grams: np.ndarray, size: int) -> np.ndarray:
+    return (grams >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U32)) * M2
-    return (h ^ (h >> U32)) * M2
 
+def long_columns(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(c, T.LongType()) for c in names])
 
-class Shingler:
-    """The set of n-gram hashes of a text."""
 
-    def __init__(self, width: int) -> None:
-        self.width = width
-        self.words = Memo(xxhash.xxh3_64_intdigest, CHEAP_ENTRIES)
+def sets_of(docs: DataFrame, width: int, schema: T.StructType, start) -> DataFrame:
+    """Maps docs in Arrow batches; start() gives, for each task, the function that takes the batch and the
+    slices' (sets, sizes) and yields lists of arrays, one for each column."""
 
-    def ngrams(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        n, k = len(words), self.width
-        if not n:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, n)
-        k = min(n, k)
-        out = np.full(n - k + 1, k, np.uint64)
-        for i in range(k):
-            out = mixed(out * M1 + h[i : n - k + 1 + i])
-        return np.unique(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, shingler, work = arrow_schema(schema), Shingler(width), start()
+        for batch in batches:
+            for columns in work(batch, shingler.sets(batch.column(batch.num_columns - 1))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
+        for columns in work(None, ()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
 
+    return docs.mapInArrow(run, schema)
 
-def class_key(grams: np.ndarray) -> int:
-    """One signed number for a set; equal sets have equal ones."""
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) - 2**63
 
+def profile(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, n) of each document, and in other rows (at, count): the task's counts of repeated n-grams."""
+
+    def start():
+        held: list[np.ndarray] = []
+
+        def repeated() -> Iterator[list]:
+            grams = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            held.clear()
+            same = np.flatnonzero(grams[1:] == grams[:-1])
+            at, more = np.unique(place(grams[same], COUNTERS), return_counts=True)
+            none = pa.nulls(len(at), pa.int64())
+            yield [none, none, none, at, more]
+
+        def work(batch: pa.RecordBatch | None, slices) -> Iterator[list]:
+            if batch is None:
+                yield from repeated()
+                return
+            keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for grams, n in slices:
+                keys.append(set_keys(grams, n))
+                sizes.append(n)
+                held.append(grams)
+                if sum(map(len, held)) >= COUNTED_AT_ONCE:
+                    yield from repeated()
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield [batch.column(0), np.concatenate(keys), np.concatenate(sizes), none, none]
 
-def signed(a: np.ndarray) -> np.ndarray:
-    return a.view(np.int64)
+        return work
 
+    return sets_of(docs, width, long_columns("doc_id", "key", "n", "at", "count"), start)
 
-def buckets(grams: np.ndarray, size: int) -> np.ndarray:
-    return (grams >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
+def gathered(rows: DataFrame, size: int, kind: type) -> np.ndarray:
+    """The table of `size` numbers that rows (at, value) give, the rest 0. Rows are packed by stretches of CHUNK places first."""
 
-def profile(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, n) of each document, and in rows with a chunk the task's counts of hashed n-grams."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "key", "n", "chunk")] + [T.StructField("counts", T.BinaryType())])
+    def pack(part: pa.Table) -> pa.Table:
+        out = np.zeros(CHUNK, kind)
+        out[part["at"].to_numpy() % CHUNK] = part["value"].to_numpy().astype(kind)
+        return pa.table({"chunk": part["chunk"].slice(0, 1), "part": pa.array([out.tobytes()], pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, shingler, counts = arrow_schema(schema), Shingler(width), np.zeros(SKETCH_BUCKETS, np.uint32)
-        for batch in batches:
-            keys, sizes = [], []
-            for text in batch.column(1):
-                g = shingler.ngrams(text.as_py())
-                keys.append(class_key(g))
-                sizes.append(len(g))
-                # buckets of sorted hashes are sorted: count runs
-                at, n = np.unique(buckets(g, SKETCH_BUCKETS), return_counts=True)
-                counts[at] += n.astype(np.uint32)
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), none, pa.nulls(batch.num_rows, pa.binary())], schema=kinds)
-        parts = [(i, c) for i, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
-        none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _ in parts], pa.int64()), pa.array([c.tobytes() for _, c in parts], pa.binary())], schema=kinds)
-
-    return docs.mapInArrow(run, schema)
+    got = rows.withColumn("chunk", F.floor(F.col("at") / CHUNK)).groupBy("chunk").applyInArrow(pack, "chunk long, part binary").toArrow()
+    out = np.zeros((size // CHUNK, CHUNK), kind)
+    for i, part in zip(got["chunk"].to_pylist(), got["part"], strict=True):
+        out[i] = np.frombuffer(part.as_py(), kind)
+    return out.ravel()
 
 
 def levels_of(profiles: DataFrame) -> np.ndarray:
-    """For each bucket how frequent its n-grams are, on a scale of logarithms: one byte a bucket, whatever the input."""
+    """For each counter how frequent its n-grams are, on a scale of logarithms."""
+    sums = profiles.where("at is not null").groupBy("at").agg(F.sum("count").alias("count"))
+    return gathered(sums.select("at", F.least(F.lit(255), (F.log2(F.col("count") + 1) * 8)).cast("int").alias("value")), COUNTERS, np.uint8)
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.uint64)
-        for c in rows["counts"]:
-            total += np.frombuffer(c.as_py(), np.uint32)
-        level = np.minimum(255, np.log2(1.0 + total) * 8).astype(np.uint8)
-        return pa.table({"chunk": rows["chunk"].slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
 
-    rows = profiles.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk long, level binary").toArrow()
-    levels = np.zeros(SKETCH_BUCKETS, np.uint8).reshape(-1, CHUNK)
-    for chunk, level in zip(rows["chunk"].to_pylist(), rows["level"].to_pylist(), strict=True):
-        levels[chunk] = np.frombuffer(level, np.uint8)
-    return levels.ravel()
+def in_order(grams: np.ndarray, sizes: np.ndarray, levels: np.ndarray) -> Iterator[np.ndarray]:
+    """Each set in the order of all n-grams: by level, then by hash."""
+    level, at = levels[place(grams, COUNTERS)], 0
+    for n in sizes.tolist():
+        yield grams[at : at + n][np.argsort(level[at : at + n], kind="stable")]
+        at += n
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(key, n, grams): of each class, once a task, the block of columns in which linked sets must meet, in order."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType(), False))])
+def prefix_length(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, shingler, seen = arrow_schema(schema), Shingler(width), set()
-        for batch in batches:
-            keys, sizes, parts = [], [], []
-            for text in batch.column(0):
-                g = shingler.ngrams(text.as_py())
-                n, key = len(g), class_key(g)
-                if not n or key in seen:
-                    continue
-                if len(seen) < SEEN_CLASSES:
-                    seen.add(key)
-                first = n - (percent * n + 99) // 100 + 1
-                keys.append(key)
-                sizes.append(n)
-                parts.append(signed(g[np.argsort(levels[buckets(g, SKETCH_BUCKETS)], kind="stable")[:first]]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists(parts, kinds.field(2).type)], schema=kinds)
 
-    return docs.select("text").mapInArrow(run, schema)
+def new_classes(keys: np.ndarray, sizes: np.ndarray, seen: set) -> list[int]:
+    """Places of classes that are not empty and that the task has not met (or not remembered)."""
+    out = []
+    for i, (key, n) in enumerate(zip(keys.tolist(), sizes.tolist(), strict=True)):
+        if n and key not in seen:
+            out.append(i)
+            if len(seen) < SEEN_CLASSES:
+                seen.add(key)
+    return out
 
 
-def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts))).cast(kind)
+def shared_columns(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> np.ndarray:
+    """A map of MAP_BITS bits, in words of 32, with the bit of each n-gram that prefixes of two classes have; false hits are harmless."""
 
+    def start():
+        seen: set = set()
 
-def shared_map(shared: DataFrame) -> np.ndarray:
-    """A map of MAP_BITS bits with the bit of each n-gram of shared set; its size is fixed, false hits are harmless."""
-    bit = F.shiftrightunsigned("gram", 65 - MAP_BITS.bit_length())
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))
-    bits = shared.select(F.shiftright(bit, 5).alias("at"), one.alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits"))
+        def work(batch: pa.RecordBatch | None, slices) -> Iterator[list]:
+            for grams, sizes in slices:
+                keys = set_keys(grams, sizes)
+                mine, sets = new_classes(keys, sizes, seen), list(in_order(grams, sizes, levels))
+                if mine:
+                    parts = [sets[i][: prefix_length(len(sets[i]), percent)] for i in mine]
+                    yield [np.concatenate(parts).view(np.int64), np.repeat(keys[mine], list(map(len, parts)))]
 
-    def pack(rows: pa.Table) -> pa.Table:
-        part = np.zeros(MAP_CHUNK, np.uint32)
-        part[rows["at"].to_numpy() % MAP_CHUNK] = rows["bits"].to_numpy().astype(np.uint32)
-        return pa.table({"chunk": rows["chunk"].slice(0, 1), "words": pa.array([part.tobytes()], pa.binary())})
+        return work
 
-    chunk = F.floor(F.col("at") / MAP_CHUNK).alias("chunk")
-    got = bits.select("at", "bits", chunk).groupBy("chunk").applyInArrow(pack, "chunk long, words binary").toArrow()
-    words = np.zeros((MAP_BITS // 32 // MAP_CHUNK, MAP_CHUNK), np.uint32)
-    for i, part in zip(got["chunk"].to_pylist(), got["words"], strict=True):
-        words[i] = np.frombuffer(part.as_py(), np.uint32)
-    return words.ravel()
+    entries = sets_of(docs.select("text"), width, long_columns("gram", "key"), start)
+    shared = entries.groupBy("gram").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    bit = F.shiftrightunsigned("gram", 65 - MAP_BITS.bit_length())
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))
+    words = shared.select(F.shiftright(bit, 5).alias("at"), one.alias("one")).groupBy("at").agg(F.bit_or("one").alias("value"))
+    return gathered(words, MAP_BITS // 32, np.uint32)
 
 
-def shared_entries(prefix: DataFrame, words: np.ndarray) -> DataFrame:
-    """(gram, key, n, pos): entries of prefixes whose bit is set."""
-    schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType())])
+def sharing_sets(docs: DataFrame, width: int, percent: int, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
+    """(key, n, at, grams) of each class with a shared column: its set in order, and the places of shared n-grams in its prefix."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())] + [T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("at", "grams")])
+    kind = pa.list_(pa.field("element", pa.int64(), False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = arrow_schema(schema)
-        for batch in batches:
-            grams = batch.column(2)
-            flat, sizes = grams.flatten().to_numpy(), np.diff(grams.offsets.to_numpy())
-            bit = buckets(flat.view(np.uint64), MAP_BITS)
-            hit = (words[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            key, n = batch.column(0).to_numpy()[row[hit]], batch.column(1).to_numpy()[row[hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), pa.array(key), pa.array(n, pa.int32()), pa.array(pos[hit], pa.int32())], schema=kinds)
+    def start():
+        seen: set = set()
 
-    return prefix.mapInArrow(run, schema)
+        def work(batch: pa.RecordBatch | None, slices) -> Iterator[list]:
+            for grams, sizes in slices:
+                keys = set_keys(grams, sizes)
+                mine, sets, kept, hits = new_classes(keys, sizes, seen), list(in_order(grams, sizes, levels)), [], []
+                for i in mine:
+                    bit = place(sets[i][: prefix_length(len(sets[i]), percent)], MAP_BITS)
+                    if (at := np.flatnonzero((shared[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1)).size:
+                        kept.append(i)
+                        hits.append(at)
+                if kept:
+                    flat = np.concatenate([sets[i] for i in kept]).view(np.int64)
+                    yield [keys[kept], sizes[kept], lists(np.concatenate(hits), np.array(list(map(len, hits))), kind), lists(flat, sizes[kept], kind)]
 
+        return work
 
-def whole_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(key, grams): the n-gram sets of documents."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType(), False))])
+    return sets_of(docs.select("text"), width, schema, start)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, shingler = arrow_schema(schema), Shingler(width)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [shingler.ngrams(t.as_py()) for t in batch.column(0).slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(class_key, sets)), pa.int64()), lists([signed(g) for g in sets], kinds.field(1).type)], schema=kinds)
-
-    return docs.select("text").mapInArrow(run, schema)
 
-
-def needed(percent: int, x, y):
+def needed(percent: int, x: Column, y: Column) -> Column:
     """The least overlap of linked sets of sizes x and y."""
     return F.ceil(F.lit(percent) * (x + y) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
-def possible(percent: int):
+def possible(percent: int) -> Column:
     """Whether a pair (n, pos, n2, pos2) can reach the overlap it needs if this column is the first it
     shares. A linked pair passes in its first column, so no pair need be made in a later one."""
     n, m, i, j = F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2")
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - i, m - j) >= needed(percent, n, m))
 
 
-def promising(pairs: DataFrame, prefix: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose overlap inside the block, counted, leaves the needed one possible: n-grams shared
-    outside the block of either set are at most the larger number of those left out."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    parts = cut(prefix.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "grams"))
-    x, y = (parts.select(F.col("key").alias(k), F.col("grams").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    both = pairs.join(x, "a").join(y, "b")
-    rest = F.greatest(F.col("n") - F.size("x"), F.col("n2") - F.size("y"))
-    return both.where(F.size(F.array_intersect("x", "y")) + rest >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b", "n", "n2")
-
-
-def linked(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, counted in full, is large enough."""
-    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    # One document stands for each class; the texts of the others are not moved to be counted.
-    chosen = profiles.where("n > 0").join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    ids = cut(chosen.select("doc_id").distinct())
-    # limit() only bounds the counting: the size of what may be broadcast is checked, nothing is cut off.
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = stash(whole_sets(texts, width).join(keys, "key", "left_semi").dropDuplicates(["key"]))
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-    return both.where(F.size(F.array_intersect("x", "y")) >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b")
-
-
-def central(percent: int):
+def central(percent: int) -> Column:
     """Whether an entry may pair with a set of its own size or larger. Two entries that may not can never pair."""
     return (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")
 
 
-def ordered_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, n, pos, label, p: the same of the other) in different components as possible pairs with a < b."""
+def block_of(entries: DataFrame, percent: int, block: int) -> DataFrame:
+    """(gram, p): the rows with which the entries of a column are multiplied next: all rows of a small
+    column, else one for each of `block` slots, the one with the fewest rarer n-grams: what links with
+    any row of the slot links with it first."""
+    slot = F.when(F.col("small"), F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(block)))
+    rows = entries.where(central(percent)).groupBy("gram", slot.alias("slot"))
+    return rows.agg(F.min(F.struct("pos", F.xxhash64("key").alias("o"), "key", "n", "label")).alias("p")).select("gram", "p")
+
+
+def product(entries: DataFrame, block: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n, n2) of rows in different components that the size-derived bounds leave, a < b."""
+    rows = entries.join(block, "gram").where("key != p.key and label != p.label")
     swap = F.col("key") > F.col("p.key")
     sides = [F.when(swap, F.col(f"p.{c}")).otherwise(F.col(c)).alias(o) for c, o in (("key", "a"), ("n", "n"), ("pos", "pos"))]
     sides += [F.when(swap, F.col(c)).otherwise(F.col(f"p.{c}")).alias(o) for c, o in (("key", "b"), ("n", "n2"), ("pos", "pos2"))]
-    return rows.where("key != p.key and label != p.label").select(*sides).where(possible(percent)).select("a", "b", "n", "n2")
-
-
-def column_pairs(entries: DataFrame, percent: int, blocks: int = 1) -> DataFrame:
-    """All pairs of a central member of a column with another in a different component. With several
-    blocks the members are dealt into them, and each pair of blocks meets apart."""
-    dealt = entries.withColumn("i", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    left = dealt.where(central(percent)).select("gram", F.struct("key", "n", "pos", "label").alias("p"), "i").withColumn("j", every)
-    right = dealt.withColumnRenamed("i", "j").withColumn("i", every)
-    return ordered_pairs(right.join(left, ["gram", "i", "j"]), percent)
-
-
-def pivot_pairs(entries: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Members of columns with the columns' pivots (gram, pivots), where not yet in one component."""
-    return ordered_pairs(entries.join(pivots, "gram").select("key", "n", "pos", "label", F.explode("pivots").alias("p")), percent)
+    return rows.select(*sides).where(possible(percent)).select("a", "b", "n", "n2").distinct()
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap is large enough. The prefixes are compared first: what two sets
+    share outside both is at most the larger number of n-grams left out of one."""
+    short = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    heads = sets.select("key", F.slice("grams", F.lit(1), short.cast("int")).alias("head"))
+    rest = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
+    both = pairs.join(heads.select(F.col("key").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("y")), "b")
+    likely = both.where(F.size(F.array_intersect("x", "y")) + F.greatest(rest("n"), rest("n2")) >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b", "n", "n2")
+    both = likely.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
+    return both.where(F.size(F.array_intersect("x", "y")) >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b")
 
 
-def with_labels(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return entries.withColumn("label", F.col("key"))
-    found = labels.select(F.col("node").alias("key"), F.col("label").alias("_l"))
-    return entries.drop("label").join(found, "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l")
+def counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """df, cut, and how many of its rows meet the condition."""
+    seen = Observation()
+    one = F.lit(1) if condition is None else F.when(condition, 1)
+    out = cut(df.observe(seen, F.count(one).alias("n")))
+    return out, seen.get["n"]
 
 
 def link_components(docs: DataFrame, profiles: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, label) of the classes that have a link; None if there is none."""
-    prefix = stash(prefixes(docs, width, percent, levels_of(profiles)))
-    columns = prefix.select("key", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    entries = stash(shared_entries(prefix, shared_map(columns)).dropDuplicates(["gram", "key"]))
-    edges = labels = None
-    for done in range(ROUNDS + 1):
-        now = with_labels(entries, labels)
-        # Pivots are the members with the fewest rarer n-grams: what links with any member links with these first.
-        firsts = [F.struct("pos", F.xxhash64("key", F.lit(done * PIVOTS + i)).alias("o"), F.struct("key", "n", "pos", "label").alias("m")) for i in range(PIVOTS if done else 1)]
-        pivots = F.array_distinct(F.array(*(F.min(x)["m"] for x in firsts)))
-        columns = now.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.max(central(percent)).alias("open"), pivots.alias("pivots")).where("open and lo < hi")
-        columns = cut(columns.select("gram", "members", "pivots"))
-        small = F.col("members") <= SMALL_COLUMN
-        if done == 0:
-            used, pairs = columns, pivot_pairs(now, columns.select("gram", "pivots"), percent)
+    levels = levels_of(profiles)
+    sets = stash(sharing_sets(docs, width, percent, levels, shared_columns(docs, width, percent, levels)).dropDuplicates(["key"]))
+    entries = sets.select("key", "n", "grams", F.explode("at").alias("pos")).select(F.get("grams", F.col("pos").cast("int")).alias("gram"), "key", "n", "pos")
+    labels, block = None, 1
+    while True:
+        if labels is None:
+            entries = cut(entries.withColumn("label", F.col("key")))
         else:
-            used = columns.where(~small)
-            pairs = column_pairs(now.join(columns.where(small).select("gram"), "gram", "left_semi"), percent)
-            if used.limit(1).count():
-                large = pivot_pairs(now, used.select("gram", "pivots"), percent) if done < ROUNDS else column_pairs(now.join(used.select("gram"), "gram", "left_semi"), percent, BLOCKS)
-                pairs = pairs.unionByName(large)
-        pairs = cut(promising(cut(pairs.distinct()), prefix, percent))
-        if pairs.limit(1).count():
-            new = linked(pairs, docs, profiles, width, percent)
-            edges = cut(new if edges is None else edges.unionByName(new))
-            if edges.limit(1).count():
-                labels = components(edges)
-                edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        if done == ROUNDS or not used.limit(1).count():
+            found = labels.select(F.col("node").alias("key"), F.col("label").alias("_l"))
+            entries = cut(entries.drop("label").join(found, "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l"))
+        columns = entries.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.max(central(percent)).alias("open"))
+        small = F.lit(False) if block == 1 else F.col("members") <= SMALL_COLUMN
+        columns = columns.where("open and lo < hi").select("gram", small.alias("small"))
+        entries, large = counted(entries.join(columns, "gram"), ~F.col("small"))
+        rows = block_of(entries, percent, block)
+        edges, found = counted(linked(product(entries, rows, percent), sets, percent))
+        if found:
+            labels = components(edges if labels is None else edges.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        if not large:
             return labels
-        # Columns in one component, and columns that were multiplied out, are done; of the others the pivots leave.
-        gone = used.select("gram", F.explode("pivots.key").alias("key"))
-        entries = cut(now.drop("label").join(used.select("gram"), "gram", "left_semi").join(gone, ["gram", "key"], "left_anti"))
+        # Small columns are done; of the others the block's rows leave.
+        used = rows.select("gram", F.col("p.key").alias("key"))
+        entries = entries.where(~F.col("small")).drop("small").join(used, ["gram", "key"], "left_anti")
+        block = FIRST_BLOCK if block == 1 else block * GROWTH
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document (doc_id, n_shingles, component_id): the size of its set, and the smallest doc_id it is linked with, directly or not."""
-    spark: SparkSession = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     profiles = stash(profile(docs, width))
     labels = link_components(docs, profiles, width, percent)
-    each = profiles.where("n is not null")
+    each = profiles.where("n is not null").select("doc_id", "key", "n")
     classes = each.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     if labels is not None:
         label = F.coalesce("label", "key")
