@@ -9,7 +9,7 @@ places in the order rule out enough overlap are discarded, and the overlap of th
 
 Only components are asked for, so the product is taken in blocks of rows: each column is multiplied
 with a few of its rows, links merge components, and columns whose rows are all in one component are
-done. Columns of at most SMALL_COLUMN rows are then multiplied out; of the others the rows of the
+done. Columns with no more rows than the block are multiplied out; of the others the rows of the
 block leave, and the next block is GROWTH times as large. Every pair of a column is thus compared or
 known to be connected, whatever the size of the column.
 
@@ -44,7 +44,10 @@ COUNTERS, MAP_BITS = 1 << 22, 1 << 25
 COUNTED_AT_ONCE = 1 << 22
 #: Numbers in one row when a table of fixed size is gathered.
 CHUNK = 1 << 12
-SMALL_COLUMN, FIRST_BLOCK, GROWTH = 16, 8, 8
+#: Each block has so many times as many rows as the one before, which has one.
+GROWTH = 32
+#: The keys of up to so many pairs are broadcast (16 bytes a pair) to pick the sets to be compared.
+BROADCAST_PAIRS = 200_000
 #: Classes a task remembers in order to write their entries once.
 SEEN_CLASSES = 200_000
 
@@ -234,15 +237,12 @@ def product(entries: DataFrame, block: DataFrame, percent: int) -> DataFrame:
     return rows.select(*sides).where(possible(percent)).select("a", "b", "n", "n2").distinct()
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap is large enough. The prefixes are compared first: what two sets
-    share outside both is at most the larger number of n-grams left out of one."""
-    short = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    heads = sets.select("key", F.slice("grams", F.lit(1), short.cast("int")).alias("head"))
-    rest = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
-    both = pairs.join(heads.select(F.col("key").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("key").alias("b"), F.col("head").alias("y")), "b")
-    likely = both.where(F.size(F.array_intersect("x", "y")) + F.greatest(rest("n"), rest("n2")) >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b", "n", "n2")
-    both = likely.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
+def linked(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap, counted in full, is large enough."""
+    if n_pairs <= BROADCAST_PAIRS:
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        sets = sets.join(F.broadcast(keys), "key", "left_semi")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
     return both.where(F.size(F.array_intersect("x", "y")) >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b")
 
 
@@ -267,19 +267,19 @@ def link_components(docs: DataFrame, profiles: DataFrame, width: int, percent: i
             found = labels.select(F.col("node").alias("key"), F.col("label").alias("_l"))
             entries = cut(entries.drop("label").join(found, "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l"))
         columns = entries.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.max(central(percent)).alias("open"))
-        small = F.lit(False) if block == 1 else F.col("members") <= SMALL_COLUMN
-        columns = columns.where("open and lo < hi").select("gram", small.alias("small"))
+        columns = columns.where("open and lo < hi").select("gram", (F.col("members") <= block).alias("small"))
         entries, large = counted(entries.join(columns, "gram"), ~F.col("small"))
         rows = block_of(entries, percent, block)
-        edges, found = counted(linked(product(entries, rows, percent), sets, percent))
-        if found:
+        pairs, n_pairs = counted(product(entries, rows, percent))
+        edges, n_edges = counted(linked(pairs, n_pairs, sets, percent)) if n_pairs else (None, 0)
+        if n_edges:
             labels = components(edges if labels is None else edges.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
         if not large:
             return labels
         # Small columns are done; of the others the block's rows leave.
         used = rows.select("gram", F.col("p.key").alias("key"))
         entries = entries.where(~F.col("small")).drop("small").join(used, ["gram", "key"], "left_anti")
-        block = FIRST_BLOCK if block == 1 else block * GROWTH
+        block *= GROWTH
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

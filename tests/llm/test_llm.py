@@ -180,13 +180,21 @@ def test_ngram_components_of_borderline_copies(spark, monkeypatch):
             w[rng.randrange(80)] = f"x{rng.randrange(40)}"
         rows.append((i, " ".join(w)))
     rows += [(200, None), (201, ""), (202, "a b"), (203, "A  b"), (204, " ".join(base))]
-    monkeypatch.setattr(ngram_join, "SMALL_COLUMN", 8)
+    # a chain that only a row without an id holds together
+    chain = [f"v{i}" for i in range(60)]
+    rows += [(210, " ".join(chain)), (None, " ".join([*chain[4:], "y1", "y2"])), (211, " ".join([*chain[7:], *"y1 y2 y3 y4 y5".split()]))]
+    monkeypatch.setattr(ngram_join, "GROWTH", 3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
-    assert got == brute_components(rows, 4, 85)
+    # the row without an id may name no component: it counts as the last of all
+    want = brute_components([(10**6 if i is None else i, t) for i, t in rows], 4, 85)
+    assert got == {None if i == 10**6 else i: x for i, x in want.items()}
 
 
 def test_ngram_odd_rows(spark, odd, none):
-    assert ngram_join.ngram_components(odd).count() == len(ODD)
+    got = ngram_join.ngram_components(odd).select("doc_id", "n_shingles", "component_id").collect()
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    want = brute_components([r for r in rows if r[0] is not None], 5, 80)
+    assert len(got) == len(ODD) and all(tuple(r[1:]) == want[r.doc_id] for r in got if r.doc_id is not None)
     assert ngram_join.ngram_components(none).count() == 0
 
 
