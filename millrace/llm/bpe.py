@@ -1,9 +1,11 @@
 """BPE encoding with a queue of merge ranks over a linked symbol list; decoding from vocabulary strings.
 
-Follows a tokenizer file with the normaliser (composition, white space, lower case), the split
-expression, byte-level symbols and a word-end suffix. Nulls count as empty texts and encode to no
-ids; long texts are encoded whole. Repeated rows each get their own result; an empty table gives
-an empty table; other columns are ignored.
+Follows a tokenizer file with a normaliser, a split expression, byte-level symbols and a word-end
+suffix. Text is cut at special tokens and white space; of each chunk that a worker has not met
+lately, the pre-tokens are merged here. Chunks of Latin, Greek and Cyrillic are normalised and split by
+Python; others by the file's normaliser and splitter, since classes depend on a Unicode version.
+Nulls count as empty texts and encode to no ids; long texts are encoded whole. Repeated rows each
+get their own result; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,11 @@ from .common import Memo, map_rows
 #: White space of the normaliser's expression, and control characters that Python alone splits at.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ODD_SPACE = regex.compile("[\\x1c-\\x1f]")
-SPACES = regex.compile(f"[{SPACE}]+")
+CHUNKS = regex.compile(f"[^{SPACE}]+")
+#: Below this code point letters, numbers and cases are alike in all Unicode versions concerned.
+SETTLED = "\u0530"
+#: Distinct chunks and pre-tokens that a worker remembers in each of two generations.
+CHUNKS_KEPT, PRETOKENS_KEPT = 150_000, 100_000
 
 SCHEMA = T.StructType(
     [
@@ -53,50 +59,65 @@ class Bpe:
     """A tokenizer read from a file."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             t = json.load(f)
         m = t["model"]
-        self.ids = m["vocab"]
-        self.end = m["end_of_word_suffix"] or ""
-        pairs = (tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in m["merges"])
-        self.ranks = {p: i for i, p in enumerate(pairs)}
+        ids, end = m["vocab"], m["end_of_word_suffix"] or ""
+        pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in m["merges"]]
+        #: The rank of each pair of ids that merges, by one number for the pair; and what each rank makes.
+        self.ranks = {ids[a] << 32 | ids[b]: r for r, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]
         self.special = {x["content"]: x["id"] for x in t["added_tokens"]}
-        self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
-        self.symbols = byte_symbols()
-        split = next(x for x in t["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
-        self.split = regex.compile(split.replace("\\s", SPACE))
+        self.strings = {i: s for s, i in ids.items()} | {i: s for s, i in self.special.items()}
+        symbols = byte_symbols()
+        self.inner, self.last = [ids[s] for s in symbols], [ids[s + end] for s in symbols]
+        self.byte_of = {s: b for b, s in enumerate(symbols)}
+        self.split = regex.compile(next(x for x in t["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"])
         self.stop = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        own = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = own.normalizer, own.pre_tokenizer
+        self.merged = Memo(self.merge, PRETOKENS_KEPT)
 
-    def merge(self, word: str) -> list[int]:
-        """The ids of one pre-token. The queue holds (rank, position, left, right); an entry whose
+    def merge(self, word: bytes) -> tuple[int, ...]:
+        """The ids of one pre-token. The queue holds rank and position in one number; an entry whose
         symbols have changed meanwhile is stale and skipped."""
-        parts: list = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
-        parts[-1] += self.end
-        n = len(parts)
-        before, after, ranks = list(range(-1, n - 1)), list(range(1, n + 1)), self.ranks
-        queue = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        parts = [*map(self.inner.__getitem__, word[:-1]), self.last[word[-1]]]
+        n, get, made, push, pop = len(parts), self.ranks.get, self.made, heapq.heappush, heapq.heappop
+        if n == 1:
+            return tuple(parts)
+        shift = n.bit_length()
+        mask = (1 << shift) - 1
+        queue = [r << shift | i for i in range(n - 1) if (r := get(parts[i] << 32 | parts[i + 1])) is not None]
         heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            _, i, left, right = heapq.heappop(queue)
+            entry = pop(queue)
+            i, rank = entry & mask, entry >> shift
             j = after[i]
-            if j >= n or parts[i] != left or parts[j] != right:
+            if j >= n or get(parts[i] << 32 | parts[j]) != rank:
                 continue
-            parts[i], parts[j] = left + right, None
+            parts[i] = now = made[rank]
+            parts[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := ranks.get((parts[i], parts[k]))) is not None:
-                    heapq.heappush(queue, (r, i, parts[i], parts[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((parts[h], parts[i]))) is not None:
-                heapq.heappush(queue, (r, h, parts[h], parts[i]))
-        ids = self.ids
-        return [ids[p] for p in parts if p is not None]
+                if (r := get(now << 32 | parts[k])) is not None:
+                    push(queue, r << shift | i)
+            if (h := before[i]) >= 0 and (r := get(parts[h] << 32 | now)) is not None:
+                push(queue, r << shift | h)
+        return tuple([p for p in parts if p >= 0])
+
+    def pretokens(self, chunk: str) -> list[bytes]:
+        if chunk.isascii() or max(chunk) < SETTLED and "Σ" not in chunk and unicodedata.is_normalized("NFC", chunk):
+            return [w.encode() for w in self.split.findall(chunk.lower())]
+        parts = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))
+        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in parts if w]
 
     def chunk(self, chunk: str) -> list[int]:
         """The ids of text without white space and special tokens."""
-        low = unicodedata.normalize("NFC", chunk)
-        low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)
-        return [i for w in self.split.findall(low) for i in self.merge(w)]
+        return [i for w in self.pretokens(chunk) for i in self.merged[w]]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of ids, joined by the blank that this file's decoder puts between them."""
@@ -104,7 +125,7 @@ class Bpe:
 
     def segments(self, text: str) -> list[str]:
         """text cut at special tokens, which are at the odd places."""
-        if "<|" not in text:
+        if not any(map(text.__contains__, self.special)):
             return [text]
         out, at = [], 0
         for m in self.stop.finditer(text):
@@ -113,7 +134,7 @@ class Bpe:
         return [*out, text[at:]]
 
     def chunks(self, text: str) -> list[str]:
-        return SPACES.split(text.strip()) if ODD_SPACE.search(text) else text.split()
+        return CHUNKS.findall(text) if ODD_SPACE.search(text) else text.split()
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -133,14 +154,15 @@ def loaded(path: str) -> Bpe:
 
 @lru_cache(maxsize=1)
 def memo(path: str) -> Memo:
-    """Of each chunk: how many ids, the ids and the decoded strings as text; kept by a worker from task to task."""
+    """Of each chunk its ids and its decoded strings as text, a blank behind each; kept by a worker from task to task."""
     bpe = loaded(path)
+    names, strings = {i: f"{i} " for i in bpe.strings}, {i: f"{s} " for i, s in bpe.strings.items()}
 
-    def make(c: str) -> tuple[int, str, str]:
+    def make(c: str) -> tuple[str, str]:
         ids = bpe.chunk(c)
-        return len(ids), " ".join(map(str, ids)), bpe.decode(ids)
+        return "".join(map(names.__getitem__, ids)), "".join(map(strings.__getitem__, ids))
 
-    return Memo(make)
+    return Memo(make, CHUNKS_KEPT)
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -151,19 +173,16 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe, known = loaded(path), memo(path)
 
         def work(keys: list, texts: list) -> dict:
-            counts, ids, texts_ = [], [], []
+            counts, ids, decoded = [], [], []
             for text in texts:
-                got = []
+                got: list = []
                 for k, part in enumerate(bpe.segments(text or "")):
-                    if k % 2:
-                        got.append((1, str(bpe.special[part]), part))
-                    else:
-                        got += [known[c] for c in bpe.chunks(part)]
-                n, a, b = zip(*(x for x in got if x[0]), strict=True) if any(x[0] for x in got) else ((), (), ())
-                counts.append(sum(n))
-                ids.append(sha256(" ".join(a).encode()).hexdigest())
-                texts_.append(sha256(" ".join(b).encode()).hexdigest())
-            return {"doc_id": keys, "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": texts_}
+                    got += [(f"{bpe.special[part]} ", f"{part} ")] if k % 2 else map(known.__getitem__, bpe.chunks(part))
+                a = "".join([x[0] for x in got])
+                counts.append(a.count(" "))
+                ids.append(sha256(a[:-1].encode()).hexdigest())
+                decoded.append(sha256("".join([x[1] for x in got])[:-1].encode()).hexdigest())
+            return {"doc_id": keys, "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": decoded}
 
         return work
 
@@ -177,22 +196,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def start():
         bpe = loaded(path)
-        known = Memo(bpe.chunk)
-
-        def work(keys: list, texts: list) -> dict:
-            out = []
-            for text in texts:
-                row: list[int] = []
-                for k, part in enumerate(bpe.segments(text or "")):
-                    if k % 2:
-                        row.append(bpe.special[part])
-                    else:
-                        for c in bpe.chunks(part):
-                            row += known[c]
-                out.append(row)
-            return {"doc_id": keys, "ids": out}
-
-        return work
+        return lambda keys, texts: {"doc_id": keys, "ids": [bpe.encode(t or "") for t in texts]}
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), schema, start)
 

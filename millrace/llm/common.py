@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -53,7 +54,10 @@ def map_rows(df: DataFrame, schema: T.StructType, start: Callable[[], Callable[.
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
+                # work makes no reference cycles, and memo tables are slow to search for them
+                gc.disable()
                 out = work(*(c.to_pylist() for c in part.columns))
+                gc.enable()
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kinds], schema=kinds)
 
     ship(df.sparkSession)

@@ -13,10 +13,11 @@ done. Columns with no more rows than the block are multiplied out; of the others
 block leave, and the next block is GROWTH times as large. Every pair of a column is thus compared or
 known to be connected, whatever the size of the column.
 
-Three passes over the texts hash their n-grams: the first counts, in hashed counters of fixed
-number, the n-grams that a task meets more than once; the second finds the columns that two classes
-share; the third keeps the sets of the classes that have such a column, and nothing reads texts
-after it. N-grams are 64-bit hashes. A text with fewer than `width` words is one n-gram of all its
+Passes over the texts hash their n-grams: the first counts, in hashed counters of fixed number, the
+n-grams that a task meets more than once; the second finds the columns that two classes share; the
+third makes the entries of these; and one for each block makes the sets of the pairs to be compared.
+The maps by which a pass picks columns or classes have a fixed size; joins make the choice exact.
+N-grams are 64-bit hashes. A text with fewer than `width` words is one n-gram of all its
 words; null, empty or blank texts have no n-grams and no links. Repeated rows are copies of each
 other; rows with a null id link others but never name a component. Other columns are ignored; an
 empty table gives an empty table.
@@ -46,8 +47,6 @@ COUNTED_AT_ONCE = 1 << 22
 CHUNK = 1 << 12
 #: Each block has so many times as many rows as the one before, which has one.
 GROWTH = 32
-#: The keys of up to so many pairs are broadcast (16 bytes a pair) to pick the sets to be compared.
-BROADCAST_PAIRS = 200_000
 #: Classes a task remembers in order to write their entries once.
 SEEN_CLASSES = 200_000
 
@@ -123,6 +122,14 @@ def gathered(rows: DataFrame, size: int, kind: type) -> np.ndarray:
     return out.ravel()
 
 
+def bit_map(numbers: DataFrame) -> np.ndarray:
+    """A map of MAP_BITS bits, in words of 32, with the bit of each of the numbers; false hits are harmless."""
+    bit = F.shiftrightunsigned(F.col(numbers.columns[0]), 65 - MAP_BITS.bit_length())
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))
+    words = numbers.select(F.shiftright(bit, 5).alias("at"), one.alias("one")).groupBy("at").agg(F.bit_or("one").alias("value"))
+    return gathered(words, MAP_BITS // 32, np.uint32)
+
+
 def levels_of(profiles: DataFrame) -> np.ndarray:
     """For each counter how frequent its n-grams are, on a scale of logarithms."""
     sums = profiles.where("at is not null").groupBy("at").agg(F.sum("count").alias("count"))
@@ -153,7 +160,7 @@ def new_classes(keys: np.ndarray, sizes: np.ndarray, seen: set) -> list[int]:
 
 
 def shared_columns(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> np.ndarray:
-    """A map of MAP_BITS bits, in words of 32, with the bit of each n-gram that prefixes of two classes have; false hits are harmless."""
+    """A map with the bit of each n-gram that prefixes of two classes have."""
 
     def start():
         seen: set = set()
@@ -169,17 +176,16 @@ def shared_columns(docs: DataFrame, width: int, percent: int, levels: np.ndarray
         return work
 
     entries = sets_of(docs.select("text"), width, long_columns("gram", "key"), start)
-    shared = entries.groupBy("gram").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    bit = F.shiftrightunsigned("gram", 65 - MAP_BITS.bit_length())
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))
-    words = shared.select(F.shiftright(bit, 5).alias("at"), one.alias("one")).groupBy("at").agg(F.bit_or("one").alias("value"))
-    return gathered(words, MAP_BITS // 32, np.uint32)
+    return bit_map(entries.groupBy("gram").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("gram"))
 
 
-def sharing_sets(docs: DataFrame, width: int, percent: int, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
-    """(key, n, at, grams) of each class with a shared column: its set in order, and the places of shared n-grams in its prefix."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())] + [T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("at", "grams")])
-    kind = pa.list_(pa.field("element", pa.int64(), False))
+def marked(numbers: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = place(numbers, MAP_BITS)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+
+
+def shared_entries(docs: DataFrame, width: int, percent: int, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
+    """(gram, key, n, pos): the entries of prefixes in shared columns, by their place in the order."""
 
     def start():
         seen: set = set()
@@ -187,15 +193,36 @@ def sharing_sets(docs: DataFrame, width: int, percent: int, levels: np.ndarray,
         def work(batch: pa.RecordBatch | None, slices) -> Iterator[list]:
             for grams, sizes in slices:
                 keys = set_keys(grams, sizes)
-                mine, sets, kept, hits = new_classes(keys, sizes, seen), list(in_order(grams, sizes, levels)), [], []
-                for i in mine:
-                    bit = place(sets[i][: prefix_length(len(sets[i]), percent)], MAP_BITS)
-                    if (at := np.flatnonzero((shared[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1)).size:
-                        kept.append(i)
-                        hits.append(at)
-                if kept:
-                    flat = np.concatenate([sets[i] for i in kept]).view(np.int64)
-                    yield [keys[kept], sizes[kept], lists(np.concatenate(hits), np.array(list(map(len, hits))), kind), lists(flat, sizes[kept], kind)]
+                mine, sets = new_classes(keys, sizes, seen), list(in_order(grams, sizes, levels))
+                if mine:
+                    parts = [sets[i][: prefix_length(len(sets[i]), percent)] for i in mine]
+                    flat, lengths = np.concatenate(parts), np.array(list(map(len, parts)))
+                    hit = np.flatnonzero(marked(flat, shared))
+                    row = np.repeat(np.arange(len(mine)), lengths)[hit]
+                    pos = hit - (np.cumsum(lengths) - lengths)[row]
+                    yield [flat[hit].view(np.int64), keys[mine][row], sizes[mine][row], pos]
+
+        return work
+
+    return sets_of(docs.select("text"), width, long_columns("gram", "key", "n", "pos"), start)
+
+
+def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
+    """(key, grams): the sets of the classes whose bit is set, once a task."""
+    kind = pa.list_(pa.field("element", pa.int64(), False))
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType(), False))])
+
+    def start():
+        seen: set = set()
+
+        def work(batch: pa.RecordBatch | None, slices) -> Iterator[list]:
+            for grams, sizes in slices:
+                keys, bounds = set_keys(grams, sizes), np.concatenate(([0], np.cumsum(sizes)))
+                near = np.where(marked(keys.view(np.uint64), wanted), sizes, 0)
+                mine = new_classes(keys, near, seen)
+                if mine:
+                    flat = np.concatenate([grams[bounds[i] : bounds[i + 1]] for i in mine]).view(np.int64)
+                    yield [keys[mine], lists(flat, sizes[mine], kind)]
 
         return work
 
@@ -237,11 +264,11 @@ def product(entries: DataFrame, block: DataFrame, percent: int) -> DataFrame:
     return rows.select(*sides).where(possible(percent)).select("a", "b", "n", "n2").distinct()
 
 
-def linked(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, counted in full, is large enough."""
-    if n_pairs <= BROADCAST_PAIRS:
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        sets = sets.join(F.broadcast(keys), "key", "left_semi")
+def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap, counted in full, is large enough. The texts are read again for the
+    sets of these classes: to keep all sets would take more room than the texts."""
+    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    sets = stash(whole_sets(docs, width, bit_map(keys)).join(keys, "key", "left_semi").dropDuplicates(["key"]))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
     return both.where(F.size(F.array_intersect("x", "y")) >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b")
 
@@ -257,8 +284,7 @@ def counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame,
 def link_components(docs: DataFrame, profiles: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, label) of the classes that have a link; None if there is none."""
     levels = levels_of(profiles)
-    sets = stash(sharing_sets(docs, width, percent, levels, shared_columns(docs, width, percent, levels)).dropDuplicates(["key"]))
-    entries = sets.select("key", "n", "grams", F.explode("at").alias("pos")).select(F.get("grams", F.col("pos").cast("int")).alias("gram"), "key", "n", "pos")
+    entries = shared_entries(docs, width, percent, levels, shared_columns(docs, width, percent, levels)).distinct()
     labels, block = None, 1
     while True:
         if labels is None:
@@ -271,7 +297,7 @@ def link_components(docs: DataFrame, profiles: DataFrame, width: int, percent: i
         entries, large = counted(entries.join(columns, "gram"), ~F.col("small"))
         rows = block_of(entries, percent, block)
         pairs, n_pairs = counted(product(entries, rows, percent))
-        edges, n_edges = counted(linked(pairs, n_pairs, sets, percent)) if n_pairs else (None, 0)
+        edges, n_edges = counted(linked(pairs, docs, width, percent)) if n_pairs else (None, 0)
         if n_edges:
             labels = components(edges if labels is None else edges.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
         if not large:

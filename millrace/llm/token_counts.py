@@ -2,13 +2,17 @@
 
 A pre-token is a run without white space, led by the vocabulary's word mark. Its tokens are the
 segmentation of highest score, where the score of a piece follows Zipf's law over the vocabulary's
-own order (-ln(rank + 2)), and a character in no piece counts one token for each of its UTF-8
-bytes at BYTE_SCORE. Of equal scores the one with fewer tokens counts.
-
-The distinct pre-tokens of a slice of documents go into a trie; the forward scores at a node are
-those of its prefix, so that words with the same beginning share them, and each word's count is
-stored where it ends. Nulls count as empty texts, which have no tokens. Repeated rows each get
-their own result; an empty table gives an empty table; other columns are ignored.
+own order (-ln(rank + 2)), since the file has merge ranks and no unigram scores, and a character in
+no piece counts one token for each of its UTF-8 bytes at BYTE_SCORE. Of equal scores the one with
+fewer tokens counts.
+
+The distinct pre-tokens that a worker meets go into a trie; the forward score at a node is that of
+its prefix, computed once for all words that begin so, and each word's count is stored where it
+ends. A node also has the places of the vocabulary's own trie at which pieces that began inside the
+prefix still go on, so that a new character only takes each of these one step further. The trie is
+emptied when it has NODES nodes; of a word longer than SHARED characters only the beginning is kept
+in it, the rest is computed on the way. Nulls count as empty texts, which have no tokens. Repeated
+rows each get their own result; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MEMO_ENTRIES, map_rows
+from .common import Memo, map_rows
 
 MARK = "▁"
 BYTE_SCORE = -20.0
+NODES, SHARED = 250_000, 48
+#: Distinct words that a worker remembers in each of two generations.
+WORDS_KEPT = 250_000
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -40,50 +47,97 @@ def default_path() -> str:
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[dict[str, float], int]:
-    """Score of each piece that can stand in a text, and the length of the longest."""
+def pieces(path: str) -> dict[str, float]:
+    """Score of each piece that can stand in a text."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))]
-    scores = {p: -math.log(rank + 2) for rank, p in enumerate(names)}
-    return scores, max(map(len, scores))
+    return {p: -math.log(rank + 2) for rank, p in enumerate(names)}
+
 
+def vocabulary_trie(scores: dict[str, float]) -> dict:
+    """By character the pair of the score, if a piece ends there, and the dict that goes on, if one does."""
+    root: dict = {}
+    for piece, score in scores.items():
+        node = root
+        for c in piece[:-1]:
+            p, rest = node.get(c, (None, None))
+            if rest is None:
+                rest = {}
+                node[c] = (p, rest)
+            node = rest
+        node[piece[-1]] = (score, node.get(piece[-1], (None, None))[1])
+    return root
 
-class PrefixTrie:
-    """Nodes hold the best (score, tokens) of their prefix; terminal nodes are the words' counts."""
 
-    __slots__ = ("children", "best", "count")
+class Node:
+    """A prefix: its best score, minus the tokens of that, the pieces that go on, and longer prefixes."""
 
-    def __init__(self, best: tuple[float, int]) -> None:
-        self.children: dict[str, PrefixTrie] = {}
-        self.best = best
+    __slots__ = ("score", "fewer", "open", "children", "count")
+
+    def __init__(self, score: float, fewer: int, open_: list) -> None:
+        self.score, self.fewer, self.open = score, fewer, open_
+        self.children: dict[str, Node] | None = None
         self.count = -1
 
 
-def count_words(words: list[str], scores: dict[str, float], longest: int) -> dict[str, int]:
-    """Tokens of each distinct word; forward scores are computed once for each node of the trie."""
-    root = PrefixTrie((0.0, 0))
-    out = {}
-    for word in words:
-        node, path = root, [root.best]
+class WordTrie:
+    """The trie of the words met lately, each led by MARK."""
+
+    def __init__(self, scores: dict[str, float]) -> None:
+        self.vocabulary = vocabulary_trie(scores)
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = 0
+        self.root = self.after(Node(0.0, 0, []), MARK)
+
+    def after(self, node: Node, c: str) -> Node:
+        """The prefix of node and one more character."""
+        k = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+        score, fewer, go_on = node.score + BYTE_SCORE * k, node.fewer - k, []
+        for at, s, n in (*node.open, (self.vocabulary, node.score, node.fewer)):
+            if c in at:
+                p, rest = at[c]
+                if rest is not None:
+                    go_on.append((rest, s, n))
+                if p is not None:
+                    p += s
+                    if p > score or p == score and n - 1 > fewer:
+                        score, fewer = p, n - 1
+        return Node(score, fewer, go_on)
+
+    def count(self, word: str) -> int:
+        """Tokens of a word; nodes it shares with earlier words are not computed again."""
+        if self.size > NODES:
+            self.clear()
+        node = self.root
         for i, c in enumerate(word):
-            child = node.children.get(c)
-            if child is None:
-                s, n = path[i]
-                k = len(c.encode("utf-8", "surrogatepass"))
-                best = (s + BYTE_SCORE * k, -(-n + k))
-                for j in range(max(0, i + 1 - longest), i + 1):
-                    if (p := scores.get(word[j : i + 1])) is not None:
-                        s, n = path[j]
-                        if (new := (s + p, n - 1)) > best:
-                            best = new
-                child = node.children[c] = PrefixTrie(best)
-            node = child
-            path.append(node.best)
-        node.count = -node.best[1]
-        out[word] = node.count
-    return out
+            if i >= SHARED:
+                node = self.after(node, c)
+                continue
+            if node.children is None:
+                node.children = {}
+            if c in node.children:
+                node = node.children[c]
+            else:
+                node.children[c] = node = self.after(node, c)
+                self.size += 1
+        node.count = -node.fewer
+        return node.count
+
+
+def count_words(words: list[str], scores: dict[str, float]) -> dict[str, int]:
+    """Tokens of each distinct word."""
+    trie = WordTrie(scores)
+    return {w: trie.count(w) for w in words}
+
+
+@lru_cache(maxsize=1)
+def counter(path: str) -> Memo:
+    """The counts of words met lately, kept by a worker from task to task."""
+    return Memo(WordTrie(pieces(path)).count, WORDS_KEPT)
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -91,18 +145,11 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def start():
-        scores, longest = pieces(path)
-        known: dict[str, int] = {}
+        known = counter(path)
 
         def work(ids: list, texts: list) -> dict:
             split = [(t or "").split() for t in texts]
-            new = set().union(*split).difference(known)
-            if len(known) > MEMO_ENTRIES:
-                known.clear()
-                new = set().union(*split)
-            found = count_words([MARK + w for w in new], scores, longest)
-            known.update((w[1:], n) for w, n in found.items())
-            return {"doc_id": ids, "n_pretokens": [len(w) for w in split], "n_tokens": [sum(map(known.__getitem__, w)) for w in split]}
+            return {"doc_id": ids, "n_pretokens": list(map(len, split)), "n_tokens": [sum(map(known.__getitem__, w)) for w in split]}
 
         return work
 

@@ -62,8 +62,9 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.score_quality(none, labels.limit(0)).count() == 0
 
 
-def test_tokens_of_a_trie_equal_a_plain_search():
-    scores, longest = token_counts.pieces(token_counts.default_path())
+def test_tokens_of_a_trie_equal_a_plain_search(spark, monkeypatch):
+    scores = token_counts.pieces(token_counts.default_path())
+    longest = max(map(len, scores))
 
     def plain(word):
         best = [(0.0, 0)]
@@ -74,8 +75,20 @@ def test_tokens_of_a_trie_equal_a_plain_search():
             best.append(max(options))
         return -best[-1][1]
 
-    words = ["▁" + w for w in ("the", "then", "thenceforth", "ü", "日本語", "zzzzqqqq", "the", "")]
-    assert token_counts.count_words(words, scores, longest) == {w: plain(w) for w in words}
+    words = ["the", "then", "thenceforth", "ü", "日本語", "zzzzqqqq", "the", "", "then" * 40]
+    words += [w for r in spark.read.parquet(f"{SF}/documents.parquet").limit(20).select("text").collect() for w in (r.text or "").split()]
+    monkeypatch.setattr(token_counts, "NODES", 300)
+    assert token_counts.count_words(words, scores) == {w: plain("▁" + w) for w in words}
+
+
+def test_token_counts_of_odd_rows(spark, odd, none):
+    """Nulls and blanks have no tokens, repeated rows one result each, words without blanks are counted whole."""
+    got = [(r.doc_id, r.n_pretokens, r.n_tokens) for r in token_counts.count_tokens(odd).collect()]
+    assert len(got) == len(ODD) and [x[1:] for x in got if x[0] in (1, 2, 3)] == [(0, 0)] * 3
+    assert len({x for x in got if x[0] == 4}) == 1 and next(x for x in got if x[0] == 5)[1] == 30000
+    assert token_counts.count_tokens(none).count() == 0
+    long = spark.createDataFrame([(1, "ab" * 300_000, 7)], "doc_id long, text string, n_tokens int")
+    assert token_counts.count_tokens(long).first().n_pretokens == 1
 
 
 def test_toxicity_finds_what_the_labels_mark(spark):
@@ -123,7 +136,7 @@ def test_bpe_equals_the_library_and_round_trips(spark, odd):
 
     lib, own = Tokenizer.from_file(bpe.default_path()), bpe.Bpe(bpe.default_path())
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
-    for x in [*texts, "ΟΔΟΣ it's we'LL İstanbul \x1c x\x1dy <|endoftext|> A<|startoftext|>b ½ 日本語 é", "", "'s"]:
+    for x in [*texts, "\x1cab\x1f", "a".join(map(chr, [*range(1, 0x600), 0x88F, 0x212A, 0x1F600, 0x2F800])), "ΟΔΟΣ it's we'LL İstanbul \x1c x\x1dy <|endoftext|> A<|startoftext|>b ½ 日本語 é", "", "'s"]:
         ids = lib.encode(x, add_special_tokens=False).ids
         assert own.encode(x) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
     got = {r.doc_id: r for r in bpe.encode_digests(odd).collect()}
