@@ -246,18 +246,15 @@ def central(percent: int) -> Column:
     return (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")
 
 
-def block_of(entries: DataFrame, percent: int, block: int) -> DataFrame:
-    """(gram, p): the rows with which the entries of a column are multiplied next: all rows of a small
-    column, else one for each of `block` slots, the one with the fewest rarer n-grams: what links with
-    any row of the slot links with it first."""
-    slot = F.when(F.col("small"), F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(block)))
-    rows = entries.where(central(percent)).groupBy("gram", slot.alias("slot"))
-    return rows.agg(F.min(F.struct("pos", F.xxhash64("key").alias("o"), "key", "n", "label")).alias("p")).select("gram", "p")
-
-
-def product(entries: DataFrame, block: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n, n2) of rows in different components that the size-derived bounds leave, a < b."""
-    rows = entries.join(block, "gram").where("key != p.key and label != p.label")
+def first_row(percent: int) -> Column:
+    """Of the rows of a group the one with the fewest rarer n-grams: what links with any of them links with it first."""
+    row = F.struct("pos", F.xxhash64("key").alias("o"), "key", "n", "label")
+    return F.min(F.when(central(percent), row)).alias("p")
+
+
+def product(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n, n2), a < b, that the size-derived bounds leave, of rows and the rows p they meet, in different components."""
+    rows = rows.where("key != p.key and label != p.label")
     swap = F.col("key") > F.col("p.key")
     sides = [F.when(swap, F.col(f"p.{c}")).otherwise(F.col(c)).alias(o) for c, o in (("key", "a"), ("n", "n"), ("pos", "pos"))]
     sides += [F.when(swap, F.col(c)).otherwise(F.col(f"p.{c}")).alias(o) for c, o in (("key", "b"), ("n", "n2"), ("pos", "pos2"))]
@@ -267,45 +264,51 @@ def product(entries: DataFrame, block: DataFrame, percent: int) -> DataFrame:
 def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose overlap, counted in full, is large enough. The texts are read again for the
     sets of these classes: to keep all sets would take more room than the texts."""
-    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    sets = stash(whole_sets(docs, width, bit_map(keys)).join(keys, "key", "left_semi").dropDuplicates(["key"]))
+    wanted = bit_map(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    sets = whole_sets(docs, width, wanted).dropDuplicates(["key"])
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
     return both.where(F.size(F.array_intersect("x", "y")) >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b")
 
 
-def counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
-    """df, cut, and how many of its rows meet the condition."""
+def counted(df: DataFrame, keep=cut, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """df, materialised, and how many of its rows meet the condition."""
     seen = Observation()
     one = F.lit(1) if condition is None else F.when(condition, 1)
-    out = cut(df.observe(seen, F.count(one).alias("n")))
+    out = keep(df.observe(seen, F.count(one).alias("n")))
     return out, seen.get["n"]
 
 
 def link_components(docs: DataFrame, profiles: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, label) of the classes that have a link; None if there is none."""
     levels = levels_of(profiles)
-    entries = shared_entries(docs, width, percent, levels, shared_columns(docs, width, percent, levels)).distinct()
-    labels, block = None, 1
+    entries = shared_entries(docs, width, percent, levels, shared_columns(docs, width, percent, levels)).withColumn("label", F.col("key"))
+    entries, labels, block = stash(entries), None, 1
     while True:
-        if labels is None:
-            entries = cut(entries.withColumn("label", F.col("key")))
-        else:
+        if labels is not None:
             found = labels.select(F.col("node").alias("key"), F.col("label").alias("_l"))
-            entries = cut(entries.drop("label").join(found, "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l"))
-        columns = entries.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.max(central(percent)).alias("open"))
-        columns = columns.where("open and lo < hi").select("gram", (F.col("members") <= block).alias("small"))
-        entries, large = counted(entries.join(columns, "gram"), ~F.col("small"))
-        rows = block_of(entries, percent, block)
-        pairs, n_pairs = counted(product(entries, rows, percent))
+            entries = stash(entries.drop("label").join(found, "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l"))
+        # A task writes a class once; copies that other tasks wrote meet here, and change nothing but the number of members.
+        columns = entries.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), first_row(percent))
+        columns = columns.where("p is not null and lo < hi").select("gram", (F.col("members") <= block).alias("small"), "p")
+        entries, large = counted(entries.join(columns if block == 1 else columns.drop("p"), "gram"), stash, ~F.col("small"))
+        if block == 1:
+            rows, left = entries, entries.where(~F.col("small") & (F.col("key") != F.col("p.key"))).drop("small", "p").distinct()
+        else:
+            # All rows of a small column meet; of another, one for each slot.
+            slot = F.when(F.col("small"), F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(block))).alias("slot")
+            met = cut(entries.groupBy("gram", slot, "small").agg(first_row(percent)).where("p is not null"))
+            rows = entries.join(met.select("gram", "p"), "gram")
+            left = entries.where(~F.col("small")).drop("small").join(met.where(~F.col("small")).select("gram", F.col("p.key").alias("key")), ["gram", "key"], "left_anti")
+        pairs, n_pairs = counted(product(rows, percent))
         edges, n_edges = counted(linked(pairs, docs, width, percent)) if n_pairs else (None, 0)
         if n_edges:
             labels = components(edges if labels is None else edges.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
         if not large:
             return labels
-        # Small columns are done; of the others the block's rows leave.
-        used = rows.select("gram", F.col("p.key").alias("key"))
-        entries = entries.where(~F.col("small")).drop("small").join(used, ["gram", "key"], "left_anti")
-        block *= GROWTH
+        # Small columns are done; of the others the rows that all have met leave.
+        entries, block = left, block * GROWTH
+        if labels is None:
+            entries = stash(entries)
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
