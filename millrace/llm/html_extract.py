@@ -5,16 +5,17 @@ empty, as markup does. The lengths of the lines are summed over sliding windows;
 each surge of that sum to the dive that follows. A page that names its content (article, main) has
 every line outside it empty and needs no least sum; elsewhere lines that are mostly links count
 nothing, a window must exceed SURGE code points to begin and a quarter of it to go on, in the window
-that begins with a line or, for text, in the one that ends with it. A page that never surges keeps all
-its lines.
+that begins with a line or, for text, in the one that ends with it. A page that never surges keeps the
+lines that count: short texts, but no lists of links.
 
-Null or empty html gives an empty text. Unclosed, cut or stray markup is tolerated. Repeated rows
+Null or empty html gives an empty text. Unclosed, cut or stray markup is tolerated; a tag with an unclosed quote ends at the next >. Repeated rows
 each get their own result; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -36,11 +37,15 @@ SPACED = frozenset(("td", "th", "img", "input"))
 DROPPED = frozenset("nav header footer aside form menu dialog select button fieldset label head".split())
 ROOT = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
-#: Words of a class or id that mark an element as something beside the article.
+#: Words of a class or id that mark an element as something beside the article, if all its other words are NEUTRAL.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist commentform reply replies respond disqus pagination pager widget toolbar skip".split()
 )
 
+NEUTRAL = frozenset(
+    "site main page post entry article blog global primary secondary top bottom left right upper lower inner outer mini big small sticky fixed mobile desktop user reader js bar box block list links link buttons button icons section container wrapper wrap holder slot unit area zone item items group thread row col column panel text title label content count id x is has the form".split()
+)
+
 TOKEN = re.compile(
     rf"""<!--(?:.*?-->|.*)
     |<(?P<raw>{RAW})\b(?:"[^"]*"|'[^']*'|[^>"'])*+>(?:.*?</(?P=raw)\s*>|.*)
@@ -63,6 +68,13 @@ SCHEMA = T.StructType(
 )
 
 
+@lru_cache(maxsize=4096)
+def is_mark(name: str) -> bool:
+    """Whether a class name or id marks what stands beside the article: share-buttons does, share-price-history does not."""
+    words = set(WORD.findall(name))
+    return not MARKS.isdisjoint(words) and words <= MARKS | NEUTRAL
+
+
 def beside(name: str, attrs: str) -> bool:
     """Whether an element is something beside the article."""
     if name in DROPPED:
@@ -72,7 +84,7 @@ def beside(name: str, attrs: str) -> bool:
     for key, value in ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            if name not in ("body", "html") and not MARKS.isdisjoint(WORD.findall(value)):
+            if name not in ("body", "html") and any(map(is_mark, value.split())):
                 return True
         elif key == "role":
             if value in ROLES:
@@ -122,7 +134,7 @@ def to_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
                 if depth == 0:
                     skip = ""
                     lines.append(["", 0, 0, False, True])
-            elif not closing and skip == "form" and name in ROOT or closing and name in ("body", "html"):
+            elif not closing and name in ROOT and (skip == "form" or skip not in DROPPED and not rooted) or closing and name in ("body", "html"):
                 skip, depth = "", 0
             if skip or closing:
                 continue
@@ -184,7 +196,7 @@ def main_text(html: str | None) -> str:
         return ""
     lines, rooted = to_lines(html)
     kept = keep_regions(lines, 0 if rooted else SURGE)
-    return "\n".join(kept or [t for t, _ in lines if t])
+    return "\n".join(kept or [t for t, n in lines if n])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A logistic model over text statistics minimises the non-negative unbiased risk: trusted positives
 are labelled rows of quality 1, the unlabelled set is web text drawn without regard to labels, and
-the class prior is estimated from the labels that may be seen. Labels of held-out rows are never
+the class prior is estimated from these two sets alone. Labels of held-out rows are never
 read. Training uses at most about SAMPLE_ROWS positives and as many unlabelled rows, drawn by a
 hash of the id; every row is scored from its whole text.
 
@@ -27,9 +27,8 @@ from .learn import in_sample, is_held_out, one_label
 SAMPLE_ROWS = 8000
 THRESHOLD = 0.3
 EPOCHS, RATE, DECAY = 400, 0.05, 1e-3
-#: The estimate of the class prior stays this far below the share of positives among the labels: a prior
-#: that is too high makes the risk of negatives negative, which stops learning.
-PRIOR_SHARE = 0.93
+#: The class prior with which rows are ranked before it is estimated, and the shares of positives in the regions compared for it.
+FIRST_PRIOR, REGIONS = 0.5, np.linspace(0.1, 0.95, 18)
 
 #: Classes of bytes; the classes of neighbours are counted in pairs.
 CLASSES = 16
@@ -82,11 +81,24 @@ def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tup
     return w[:-1], float(w[-1])
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled. In any region the unlabelled are at least that share times
+    as dense as the positives, so the least quotient bounds it; the regions are the highest scores of a
+    model fitted on every other row, and the densities those of the rows it has not seen."""
+    w, b = nn_pu_fit(positive[::2], unlabelled[::2], FIRST_PRIOR)
+    sp, su = positive[1::2] @ w + b, unlabelled[1::2] @ w + b
+    if not len(sp) or not len(su):
+        return FIRST_PRIOR
+    # two standard errors below: a prior that is too high makes the risk of negatives negative, which stops learning
+    found = [((su >= np.quantile(sp, 1 - share)).sum(), share) for share in REGIONS]
+    return float(np.clip(min((n - 2 * np.sqrt(n)) / len(su) / share for n, share in found), 0.05, 0.95))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Centre, scale, weights and bias. Reads all ids for counts, and the texts of the sample."""
     free = labels.where(~is_held_out(F.col("doc_id")))
     known = one_label(free, "quality")
-    n_known, n_positive = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
+    n_positive = known.where("quality = 1").count()
     none = (np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0)
     if not n_positive:
         return none
@@ -94,13 +106,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
     trusted = known.where((F.col("quality") == 1) & in_sample(F.col("doc_id"), SAMPLE_ROWS, n_positive, 1)).select("doc_id", F.lit(True).alias("trusted"))
     web = in_sample(F.col("doc_id"), SAMPLE_ROWS, n_docs, 2) & ~is_held_out(F.col("doc_id"))
     # The trusted rows number about SAMPLE_ROWS whatever the input, so they may be broadcast.
-    drawn = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(trusted), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce(web, F.lit(False)).alias("web")).where("trusted or web")
-    schema = T.StructType([T.StructField("trusted", T.BooleanType()), T.StructField("web", T.BooleanType()), T.StructField("x", T.BinaryType())])
+    drawn = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(trusted), "doc_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce(web, F.lit(False)).alias("web")).where("trusted or web")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("trusted", T.BooleanType()), T.StructField("web", T.BooleanType()), T.StructField("x", T.BinaryType())])
 
     def start():
-        return lambda texts, p, u: {"trusted": p, "web": u, "x": [statistics(t or "").tobytes() for t in texts]}
+        return lambda ids, texts, p, u: {"doc_id": ids, "trusted": p, "web": u, "x": [statistics(t or "").tobytes() for t in texts]}
 
-    rows = map_rows(drawn, schema, start).toArrow()
+    # one row for each id, so that the bound holds for rows too; in order, so that sums do not depend on how tasks end
+    each = map_rows(drawn, schema, start).groupBy("doc_id", "trusted", "web").agg(F.min("x").alias("x"))
+    rows = each.toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return none
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES)
@@ -109,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
         return none
     centre, scale = x[u].mean(0), x[u].std(0) + 0.01
     z = np.clip((x - centre) / scale, -8, 8)
-    w, b = nn_pu_fit(z[p], z[u], PRIOR_SHARE * n_positive / n_known)
+    w, b = nn_pu_fit(z[p], z[u], class_prior(z[p], z[u]))
     return centre, scale, w, b
 
 

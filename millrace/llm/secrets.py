@@ -31,6 +31,8 @@ NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 CARD_WORDS = ("card", "visa", "mastercard", "amex")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
 CARD_REACH = 40
+#: A number of 19 digits with a separator between any two, and the character behind it.
+CARD_LENGTH = 38
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 SCHEMA = T.StructType(
@@ -107,7 +109,7 @@ def scan(text: str, prefilter: ahocorasick.Automaton) -> tuple[list, list]:
         added += [(at, order, kind, m.end()) for at in near.get(kind, ()) if (m := what.match(text, at)) and crc_tail(m[1]) == m[2]]
     cards = set()
     for at in near.get("card", ()):
-        for m in CARD.finditer(text, at, min(len(text), at + CARD_REACH + 24)):
+        for m in CARD.finditer(text, at, min(len(text), at + CARD_REACH + CARD_LENGTH)):
             if m.start() <= at + CARD_REACH and luhn(re.sub("[ -]", "", m[0])):
                 cards.add((m.start(), 5, "card", m.end()))
     return sorted(base), sorted(added + list(cards))

@@ -3,7 +3,7 @@
 Features are the distinct lower-case words of a text and the beginnings of its longer words, all
 taken once. P(grade <= k) = sigmoid(cut_k - w.x) with one weight vector for all thresholds; the
 result is the expected grade. Labels give toxic or not; a toxic training row is graded 1, 2 or 3 by
-the terciles of how many features it holds. Training uses about SAMPLE_ROWS labelled rows drawn by a hash of the id, and
+the terciles of the share of its features that are chosen ones, so that a long text is no graver for its length. Training uses about SAMPLE_ROWS labelled rows drawn by a hash of the id, and
 keeps as features at most MAX_FEATURES of those that occur mostly in toxic rows; every row is
 scored from its whole text.
 
@@ -68,11 +68,11 @@ def marked(rows: DataFrame, n1: int, n0: int) -> np.ndarray:
 
 
 def chosen(rows: DataFrame, ids: np.ndarray) -> DataFrame:
-    """Per row (toxic, cols): which of ids its text has, by place."""
-    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("cols", T.ArrayType(T.LongType()))])
+    """Per row (toxic, cols, of): which of ids its text has, by place, and how many features it has."""
+    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("cols", T.ArrayType(T.LongType())), T.StructField("of", T.LongType())])
 
     def start():
-        return lambda y, x: {"toxic": y, "cols": [np.flatnonzero(np.isin(ids, v, assume_unique=True)) for v in x]}
+        return lambda y, x: {"toxic": y, "cols": [np.flatnonzero(np.isin(ids, v, assume_unique=True)) for v in x], "of": list(map(len, x))}
 
     return map_rows(rows.select("toxic", "x"), schema, start)
 
@@ -131,13 +131,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not len(ids):
         return {}, np.zeros(0), 1.0
     # Only the chosen features of the sample reach the driver.
-    x = chosen(rows, ids).toArrow().sort_by([("toxic", "ascending")])
-    toxic = x["toxic"].to_numpy() == 1
-    parts = [np.asarray(v, np.int64) for v in x["cols"].to_pylist()]
+    x = chosen(rows, ids).toArrow().to_pylist()
+    # sums must not depend on the order in which tasks end
+    x.sort(key=lambda r: (r["toxic"], r["cols"], r["of"]))
+    toxic, sizes = np.array([r["toxic"] == 1 for r in x]), np.array([r["of"] for r in x])
+    parts = [np.asarray(r["cols"], np.int64) for r in x]
     cols, at = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(v) for v in parts])
-    hits = np.bincount(at, minlength=len(x))
-    third = np.quantile(hits[toxic], [1 / 3, 2 / 3])
-    grades = np.where(toxic, 1 + (hits > third[0]).astype(int) + (hits > third[1]), 0)
+    density = np.bincount(at, minlength=len(x)) / np.maximum(sizes, 1)
+    third = np.quantile(density[toxic], [1 / 3, 2 / 3])
+    grades = np.where(toxic, 1 + (density > third[0]).astype(int) + (density > third[1]), 0)
     w, cuts = ordinal_fit(at, cols, grades, len(ids))
     severity = expected(np.bincount(at, w[cols], len(x)), cuts)
     return dict(zip(ids.tolist(), w.tolist(), strict=True)), cuts, best_split(severity, toxic)

@@ -264,3 +264,96 @@ def test_pipeline_stages(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == corpus_pipeline.COLUMNS, name
         assert 0 < docs.count() <= n
+
+
+def test_html_wrappers_and_pages_without_an_article():
+    assert html_extract.main_text("<div class='main-content with-sidebar'><article><p>Body text.</p></article></div>") == "Body text."
+    assert html_extract.main_text("<div class='sidebar'><article><p>Body text.</p></article></div>") == "Body text."
+    assert html_extract.main_text("<article><p>One.</p><div class='related'><article><p>Other</p></article></div></article>") == "One."
+    assert html_extract.main_text("<article><section class='share-price-history'><p>Rose.</p></section><div class='share-buttons'>Tweet</div></article>") == "Rose."
+    assert html_extract.main_text("<ul><li><a href='x'>One</a></li><li><a href='y'>Two</a></li></ul>") == ""
+    assert html_extract.main_text("<p title='a > b>Lost") == "b>Lost"
+
+
+def test_html_tables_that_are_empty_or_clash(spark):
+    schema = "page_id long, url string, html string, text int, n_chars string"
+    assert html_extract.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, None, None, 3, "x"), (1, None, None, 3, "x"), (None, "u", "<p>a&nbsp;b</p>", 4, None)]
+    assert sorted((r.n_chars, r.text) for r in html_extract.extract_main_text(spark.createDataFrame(rows, schema)).collect()) == [(0, ""), (0, ""), (3, "a b")]
+
+
+def test_card_numbers_at_the_edge_of_the_reach():
+    """Numbers of 13 to 19 digits with separators are found whole if they begin within the reach, and not at all beyond it."""
+    prefilter = secrets.build_prefilter()
+    for n in range(13, 20):
+        digits = next(d for d in (f"{4 * 10 ** (n - 1) + i}" for i in range(10)) if secrets.luhn(d))
+        for number in (digits, " ".join(digits), "-".join(digits)):
+            for gap in (1, 35, secrets.CARD_REACH - 4, secrets.CARD_REACH - 3):
+                text = "card" + "x" * (gap - 1) + "," + number + "."
+                found = secrets.scan(text, prefilter)[1]
+                want = [(4 + gap, 5, "card", 4 + gap + len(number))] if 4 + gap <= secrets.CARD_REACH else []
+                assert found == want, (n, gap, text)
+
+
+def test_class_prior_is_at_most_the_share_of_positives():
+    rng = np.random.default_rng(1)
+    for share in (0.3, 0.6, 0.85):
+        positive, other = rng.normal(1.5, 1, (4000, 3)), rng.normal(-1.5, 1, (4000, 3))
+        unlabelled = np.where(rng.random((4000, 1)) < share, rng.normal(1.5, 1, (4000, 3)), other)
+        assert share - 0.12 <= quality.class_prior(positive, unlabelled) <= share + 0.01
+
+
+def test_nn_pu_fit_lowers_an_independently_computed_risk():
+    rng = np.random.default_rng(2)
+    p = rng.normal(1, 1, (500, 2))
+    u = np.r_[rng.normal(1, 1, (250, 2)), rng.normal(-1, 1, (250, 2))]
+
+    def risk(w, b):
+        loss = lambda x, sign: np.log1p(np.exp(-sign * (x @ w + b))).mean()
+        return 0.5 * loss(p, 1) + max(0.0, loss(u, -1) - 0.5 * loss(p, -1))
+
+    w, b = quality.nn_pu_fit(p, u, 0.5)
+    others = [(w + d, b + e) for d in rng.normal(0, 0.3, (40, 2)) for e in (-0.3, 0.3)]
+    assert risk(w, b) <= min(risk(np.zeros(2), 0.0), min(risk(*o) for o in others)) + 0.01
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on its predecessor's rows: the model's own verdicts, SQL, plain sets, plain search, the library."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "x", 0)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).withColumn("_h", F.lit("clash"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, SF).cache()
+        kept[name] = (before.toPandas(), docs.toPandas())
+    before, after = kept["toxicity"]
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame(extra, after_schema(spark))), spark.read.parquet(f"{SF}/labels.parquet"))
+    weight = {i: sum(model[0].get(f, 0.0) for f in {f for c in set((t or "").split()) for f in toxicity.features_of(c)}) for i, t in zip(before.doc_id, before.text, strict=True)}
+    severity = {i: (1 / (1 + np.exp(model[1] - x))).sum() for i, x in weight.items()}
+    assert set(after.doc_id) == {i for i, s in severity.items() if s < model[2]}
+    before, after = kept["line_dedup"]
+    c = duckdb.connect()
+    c.register("documents", before)
+    want = {r[0]: r[1] for r in c.execute(queries.OP6_SQL).fetchall()}
+    assert {i: t or "" for i, t in zip(after.doc_id, after.text, strict=True)} == {i: t or "" for i, t in want.items()}
+    before, after = kept["ngram_jaccard_join"]
+    groups = brute_components(list(zip(before.doc_id, before.text, strict=True)), 5, 80)
+    assert set(after.doc_id) == {i for i, (n, least) in groups.items() if not n or i == least}
+    before, after = kept["decontamination"]
+    assert set(after.doc_id) <= set(before.doc_id) and {10**6, 10**6 + 1} <= set(after.doc_id)
+    items = [t.lower().split() for t in spark.read.parquet(f"{SF}/benchmark.parquet").toPandas().text]
+    plain = {i for i, t in zip(before.doc_id, before.text, strict=True) if any(" ".join(w) in " ".join((t or "").lower().split()) for w in items if len(w) >= 5)}
+    assert plain and not plain & set(after.doc_id)
+    before, after = kept["bpe"]
+    lib = Tokenizer.from_file(bpe.default_path())
+    ids = {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in zip(before.doc_id, before.text, strict=True)}
+    assert {i: (n, h) for i, n, h in zip(after.doc_id, after.n_tokens, after.ids_sha256, strict=True)} == {i: (len(x), sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in ids.items()}
+    whole = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(after.doc_id) - {10**6, 10**6 + 1} == set(whole.doc_id)
+
+
+def after_schema(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").schema
