@@ -51,7 +51,7 @@ TOKEN = re.compile(
     |<(?P<raw>{RAW})\b(?:"[^"]*"|'[^']*'|[^>"'])*+>(?:.*?</(?P=raw)\s*>|.*)
     |<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*+)>
     |<[!?/][^>]*+(?:>|\Z)
-    |<[a-z][^<>]*+\Z
+    |</?[a-z][^<>]*+(?:>|\Z)
     |(?P<text>[^<]++|<)""",
     re.S | re.I | re.X,
 )

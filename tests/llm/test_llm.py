@@ -300,7 +300,7 @@ def test_class_prior_is_at_most_the_share_of_positives():
     for share in (0.3, 0.6, 0.85):
         positive, other = rng.normal(1.5, 1, (4000, 3)), rng.normal(-1.5, 1, (4000, 3))
         unlabelled = np.where(rng.random((4000, 1)) < share, rng.normal(1.5, 1, (4000, 3)), other)
-        assert share - 0.12 <= quality.class_prior(positive, unlabelled) <= share + 0.01
+        assert share - 0.2 <= quality.class_prior(positive, unlabelled) <= share + 0.01
 
 
 def test_nn_pu_fit_lowers_an_independently_computed_risk():
