@@ -37,6 +37,15 @@ LEAK = (
 SCREENS = {"PROMPT_INJECTION": (INJECTION, 0.9), "SYSTEM_PROMPT_LEAK": (LEAK, 0.85), "PROTECTED_MATERIAL": (PROTECTED, 0.7)}
 
 FREQUENT_LINE_LENGTH = 50
+#: White space, visible ASCII, other visible characters, and controls as the reference's platform has them.
+SPACE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]"
+NOT_SPACE = SPACE.replace("[", "[^", 1)
+ASCII_MARK = r"[\x{0}-\x{8}\x{E}-\x{1B}\x{21}-\x{7F}]"
+WIDE_MARK = r"[^\x{0}-\x{7F}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}]"
+BAD_MARK = r"[\x{1}-\x{8}\x{E}-\x{1B}\x{7F}-\x{9F}\x{FFFD}]"
+#: What is masked before text leaves, in the order in which kinds take their characters.
+ID_CARD, PHONE, BANK_CARD = r"(?<![0-9Xx])(\d{6})\d{8}(\d{3}[0-9Xx])(?![0-9Xx])", r"(?<![0-9])(1[3-9]\d)\d{4}(\d{4})(?![0-9])", r"(?<![0-9])(\d{4})\d{8,11}(\d{4})(?![0-9])"
+LOCAL, DOMAIN = "A-Za-z0-9._%+-", r"([A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -45,28 +54,31 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Line ends unified, zero-width characters, page-number and rule lines and short lines that occur
-    three times or more dropped, blanks and empty lines squeezed, ends stripped."""
-    t = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[\\x{200B}-\\x{200D}\\x{FEFF}]", "")
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    short = lambda lines: F.array_sort(F.filter(F.transform(lines, strip), lambda s: (F.length(s) > 0) & (F.length(s) < FREQUENT_LINE_LENGTH)))
+    """Line ends unified, zero-width characters dropped, each line stripped; page-number and rule lines and
+    short lines that occur three times or more dropped; blanks and empty lines squeezed; null gives the empty text."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "[\\x{200B}-\\x{200D}\\x{FEFF}]", "")
+    strip = lambda c: F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    short = lambda lines: F.array_sort(F.filter(lines, lambda s: (F.length(s) > 0) & (F.length(s) < FREQUENT_LINE_LENGTH)))
     often = lambda sorted_: F.array_distinct(F.filter(sorted_, lambda s, i: s == F.get(sorted_, i + 2)))
-    kept = lambda lines, dropped: F.filter(lines, lambda s: ~s.rlike(PAGE_NUMBER) & ~s.rlike(RULE_LINE) & ~F.array_contains(dropped, strip(s)))
-    body = once(F.split(t, "\n"), lambda lines: once(short(lines), lambda ordered: once(often(ordered), lambda dropped: F.array_join(kept(lines, dropped), "\n"))))
+    kept = lambda lines, dropped: F.filter(lines, lambda s: ~s.rlike(PAGE_NUMBER) & ~s.rlike(RULE_LINE) & ~F.array_contains(dropped, s))
+    stripped = F.transform(F.split(t, "\n"), strip)
+    body = once(stripped, lambda lines: once(short(lines), lambda ordered: once(often(ordered), lambda dropped: F.array_join(kept(lines, dropped), "\n"))))
     squeezed = F.regexp_replace(body, "[ \t\\x{A0}]{2,}", " ")
-    return F.regexp_replace(F.regexp_replace(squeezed, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(squeezed, "\n{3,}", "\n\n"))
 
 
 def content_hash(text: Column) -> Column:
-    return F.sha2(F.lower(F.regexp_replace(text, r"\s+", "")), 256)
+    """The digest of a text without white space and case; null counts as the empty text."""
+    return F.sha2(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")), 256)
 
 
 def token_estimate(text: Column) -> Column:
-    """CJK characters count one; of each run of other ASCII letters and digits a quarter, rounded up; any other mark one."""
-    cjk = F.regexp_count(text, F.lit(r"[\x{4E00}-\x{9FFF}]"))
-    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), 0)
-    alnum = F.aggregate(words, F.lit(0), lambda n, w: n + F.ceil(F.length(w) / 4).cast("int"))
-    return cjk + alnum + F.regexp_count(text, F.lit(r"[^\sA-Za-z0-9\x{4E00}-\x{9FFF}]"))
+    """Of each run of visible ASCII characters a quarter of its letters and digits, rounded up, and one for
+    each other mark; one for each other character that is no white space."""
+    text = F.coalesce(text, F.lit(""))
+    alnum = lambda w: F.length(F.regexp_replace(w, "[^A-Za-z0-9]", ""))
+    runs = F.aggregate(F.regexp_extract_all(text, F.lit(f"{ASCII_MARK}+"), 0), F.lit(0), lambda n, w: n + F.ceil(alnum(w) / 4).cast("int"))
+    return runs + F.regexp_count(text, F.lit(f"(?![A-Za-z0-9]){ASCII_MARK}")) + F.regexp_count(text, F.lit(WIDE_MARK))
 
 
 def bare(text: Column) -> Column:
@@ -81,11 +93,12 @@ def text_similarity(a: Column, b: Column) -> Column:
 
 
 def looks_garbled(text: Column) -> Column:
-    """Of 10 or more visible characters a tenth is U+FFFD or a control, or a quarter is NUL."""
-    n = F.regexp_count(text, F.lit(r"[^ \t\n\r]"))
-    bad = F.regexp_count(text, F.lit(r"[\x{FFFD}\x{1}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}]"))
+    """Of 10 or more visible characters (in UTF-16) a tenth is U+FFFD or a control, or a quarter is NUL; null is not garbled."""
+    text = F.coalesce(text, F.lit(""))
+    n = F.regexp_count(text, F.lit(NOT_SPACE)) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    bad = F.regexp_count(text, F.lit(BAD_MARK))
     nul = F.regexp_count(text, F.lit(r"\x{0}"))
-    return (n >= 10) & ((bad + nul >= 0.1 * n) | (nul >= 0.25 * n))
+    return (n >= 10) & ((bad >= 0.1 * n) | (nul >= 0.25 * n))
 
 
 def one_line(text: Column, n: int) -> Column:
@@ -107,7 +120,24 @@ def shingles(text: Column) -> Column:
 
 
 def query_terms(text: Column, most: int = 12) -> Column:
-    return F.slice(shingles(text), 1, most)
+    """The distinct words of a question, then pairs of CJK characters while there are fewer than `most` terms; a single character is its own term."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z0-9_]{2,}"), 0), F.lower))
+    pairs = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?=([\x{4E00}-\x{9FFF}]{2}))"), 1))
+    return F.when(F.length(t) == 1, F.array(t)).otherwise(F.concat(words, F.slice(pairs, F.lit(1), F.greatest(F.lit(0), most - F.size(words)))))
+
+
+def mask_pii(text: Column) -> Column:
+    """ID cards, phones, bank cards and e-mail addresses masked in that order; none takes characters of one before it.
+    A private character (U+E000, dropped from the text) guards what is masked against the next kind."""
+    guard = "\ue000"
+    t = F.regexp_replace(text, guard, "")
+    for pattern, stars in ((ID_CARD, 8), (PHONE, 4), (BANK_CARD, 8)):
+        t = F.regexp_replace(t, f"(?<!{guard}){pattern}", f"$1{'*' * stars}$2{guard}")
+    begin = f"(?<![{LOCAL}{guard}])"
+    t = F.regexp_replace(t, f"{begin}([{LOCAL}]{{2}})[{LOCAL}]+@{DOMAIN}", "$1***@$2")
+    t = F.regexp_replace(t, f"{begin}[{LOCAL}]{{1,2}}@{DOMAIN}", "***@$1")
+    return F.regexp_replace(t, guard, "")
 
 
 def classify(text: Column, labels: dict[str, list[str]], default: str) -> Column:

@@ -76,7 +76,7 @@ def step_column(op: str, p: dict, known: dict[str, Column]) -> Column:
 
 
 def run_rules(df: DataFrame, program: dict) -> DataFrame:
-    """df with the program's outputs, and a status: FAILED where arithmetic has no result. The program
+    """df with the program's outputs, which replace columns of the same name, and a status: FAILED where arithmetic has no result. The program
     (steps: op, params, to; outputs) compiles to columns; steps may use fields and earlier steps."""
     known = {c: F.col(f"`{c}`") for c in df.columns}
     failed = F.lit(False)
@@ -90,7 +90,8 @@ def run_rules(df: DataFrame, program: dict) -> DataFrame:
     outputs = program.get("outputs") or made
     if missing := set(outputs) - set(made):
         raise RuleError(f"undefined outputs: {sorted(missing)}")
-    return df.select("*", *(known[o].alias(o) for o in outputs), F.when(failed, "FAILED").otherwise("SUCCESS").alias("status"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (*outputs, "status")]
+    return df.select(*kept, *(known[o].alias(o) for o in outputs), F.when(failed, "FAILED").otherwise("SUCCESS").alias("status"))
 
 
 def material_diff(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import dedup, metrics, records, retrieval
 from ..sources import tables as S
 from ..streaming import streams
-from . import curation
+from . import curation, knowledge
 from .base import CALLS, CHUNKS, COSTED, DATES, ENTRIES, EVENTS, asked, costed, events, simple
 
 ASOF = "2024-01-31 00:00:00"
@@ -35,21 +35,34 @@ simple(
     "SELECT o.o_orderkey, coalesce(u.p, o.o_totalprice) AS o_totalprice FROM orders o LEFT JOIN (SELECT l_orderkey, max(-l_extendedprice) AS p FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1) u ON u.l_orderkey = o.o_orderkey UNION ALL SELECT l_orderkey, max(-l_extendedprice) FROM lineitem WHERE l_orderkey % 7 = 0 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1",
 )
 # text
-simple("b1_clean_text", lambda t: t("documents").select("doc_id", X.clean_text(F.col("text")).alias("text")), r"""
-WITH s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x{200B}-\x{200D}\x{FEFF}]', '', 'g'), chr(10)) AS l FROM documents),
-o AS (SELECT doc_id, l, list_transform(l, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS t FROM s),
-f AS (SELECT doc_id, list(x) AS often FROM (SELECT doc_id, x FROM (SELECT doc_id, unnest(t) AS x FROM o) WHERE length(x) BETWEEN 1 AND 49 GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1),
-k AS (SELECT o.doc_id, list_filter(l, lambda x: NOT regexp_matches(x, '^\s*[-–——]?\s*(\d{1,4}|第\s*\d+\s*页|Page\s*\d+)\s*[-–——]?\s*$') AND NOT regexp_matches(x, '^\s*[-=_*·—―]{3,}\s*$') AND NOT coalesce(list_contains(often, regexp_replace(x, '^\s+|\s+$', '', 'g')), false)) AS l FROM o LEFT JOIN f USING (doc_id))
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(l, chr(10)), '[ \t\x{A0}]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM k""")
-simple("b2_content_hash", lambda t: t("documents").select("doc_id", X.content_hash(F.col("text")).alias("hash")), r"SELECT doc_id, sha256(lower(regexp_replace(text, '\s+', '', 'g'))) AS hash FROM documents")
-simple("b3_token_estimate", lambda t: t("documents").select("doc_id", X.token_estimate(F.col("text")).cast("long").alias("tokens")), r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]')) + coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: ceil(length(w) / 4))), 0) + len(regexp_extract_all(text, '[^\s\x0BA-Za-z0-9\x{4E00}-\x{9FFF}]')) AS BIGINT) AS tokens FROM documents")
+simple("b1_clean_text", lambda t: t("documents").select("doc_id", X.clean_text(F.col("text")).alias("text")), rf"""
+WITH s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g'), chr(10)) AS l FROM documents),
+o AS (SELECT doc_id, list_transform(l, lambda x: regexp_replace(x, '^{X.SPACE}+|{X.SPACE}+$', '', 'g')) AS t FROM s),
+f AS (SELECT doc_id, list(x) AS often FROM (
+  SELECT doc_id, x FROM (SELECT doc_id, unnest(t) AS x FROM o) WHERE length(x) BETWEEN 1 AND 49 GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1),
+k AS (SELECT doc_id, list_filter(t, lambda x: NOT regexp_matches(x, '{X.PAGE_NUMBER}') AND NOT regexp_matches(x, '{X.RULE_LINE}')
+  AND NOT coalesce(list_contains(often, x), false)) AS t FROM o LEFT JOIN f USING (doc_id)),
+j AS (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(t, chr(10)), '[ \t\x{{A0}}]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM k)
+SELECT doc_id, regexp_replace(text, '^{X.SPACE}+|{X.SPACE}+$', '', 'g') AS text FROM j""")
+simple("b2_content_hash", lambda t: t("documents").select("doc_id", X.content_hash(F.col("text")).alias("hash")), r"SELECT doc_id, sha256(lower(regexp_replace(coalesce(text, ''), '\s+', '', 'g'))) AS hash FROM documents")
+simple("b3_token_estimate", lambda t: t("documents").select("doc_id", X.token_estimate(F.col("text")).cast("long").alias("tokens")), rf"""
+WITH r AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{X.ASCII_MARK}+') AS runs FROM documents)
+SELECT doc_id, CAST(coalesce(list_sum(list_transform(runs, lambda w: ceil(length(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) / 4))), 0)
+  + coalesce(list_sum(list_transform(runs, lambda w: length(regexp_replace(w, '[A-Za-z0-9]', '', 'g')))), 0) + len(regexp_extract_all(text, '{X.WIDE_MARK}')) AS BIGINT) AS tokens FROM r""")
 simple("b4_text_similarity", lambda t: t("part").select("p_partkey", F.round(X.text_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity")), r"""
 WITH p AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(p_type), '[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g')) AS b FROM part)
 SELECT p_partkey, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) END AS similarity FROM p""")
-simple("b5_looks_garbled", lambda t: t("documents").select("doc_id", X.looks_garbled(F.col("text")).alias("garbled")), r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r]')) >= 10 AND len(regexp_extract_all(text, '[\x{FFFD}\x{1}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}]')) >= 0.1 * len(regexp_extract_all(text, '[^ \t\n\r]')) AS garbled FROM documents")
+simple("b5_looks_garbled", lambda t: t("documents").select("doc_id", X.looks_garbled(F.col("text")).alias("garbled")), rf"""
+WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '{X.NOT_SPACE}')) + len(regexp_extract_all(text, '[\x{{10000}}-\x{{10FFFF}}]')) AS n,
+  len(regexp_extract_all(text, '{X.BAD_MARK}')) AS bad, len(regexp_extract_all(text, '\x{{0}}')) AS nul FROM documents)
+SELECT doc_id, coalesce(n >= 10 AND (bad >= 0.1 * n OR nul >= 0.25 * n), false) AS garbled FROM c""")
 simple("b7_one_line", lambda t: t("documents").select("doc_id", X.one_line(F.col("text"), 200).alias("snippet")), r"SELECT doc_id, left(trim(regexp_replace(text, '[\r\n]+', ' ', 'g'), ' '), 200) AS snippet FROM documents")
 simple("b8_question_key", lambda t: t("conversations").where("role = 'user'").select("conv_id", "turn", X.question_key(F.col("text")).alias("key")), r"SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS key FROM conversations WHERE role = 'user'")
-simple("f1_query_terms", lambda t: asked(t).select("query_id", F.array_join(F.array_sort(X.shingles(F.col("text"))), " ").alias("terms")), "SELECT item_id AS query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))), ' ') AS terms FROM benchmark")
+simple("f1_query_terms", lambda t: asked(t).select("query_id", F.array_join(X.query_terms(F.col("text")), " ").alias("terms")), """
+WITH w AS (SELECT item_id AS query_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]{2,}'), lambda x: lower(x)) AS w FROM benchmark)
+SELECT query_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS terms FROM w""")
+simple("d2_shingles", lambda t: t("documents").select("doc_id", F.array_join(F.array_sort(X.shingles(F.col("text"))), " ").alias("shingles")),
+       "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))), ' ') AS shingles FROM documents")
 # duplicates
 simple("d1_exact_dedup", lambda t: dedup.exact_dedup(S.engine_chunks(t("documents")), S.engine_documents(t("documents"))), rf"""
 WITH c AS (SELECT doc_id, idx, sha256(lower(regexp_replace(content, '\s+', '', 'g'))) AS content_hash, effective_date AS d FROM {CHUNKS} JOIN {DATES} USING (doc_id)),
@@ -72,7 +85,7 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 KEYS = """h AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))) AS term FROM documents)"""
 simple("f2_keyword_search", lambda t: retrieval.keyword_search(asked(t), t("documents")), """
 WITH w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM benchmark), p AS (SELECT query_id, i, w[i] AS term FROM w, generate_series(1, len(w)) g(i)),
-u AS (SELECT query_id, term, min(i) AS i FROM p GROUP BY 1, 2), t AS (SELECT query_id, term FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 12), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1),
+u AS (SELECT query_id, term, min(i) AS i FROM p GROUP BY 1, 2), t AS (SELECT query_id, term FROM u), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1),
 s AS (SELECT query_id, doc_id, round(count(*) / max(n), 6) AS score FROM t JOIN n USING (query_id) JOIN documents ON contains(lower(text), term) GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20""")
 simple("f4_bm25_search", lambda t: retrieval.bm25_search(asked(t), t("documents")), f"WITH {BM25} SELECT * FROM bm")

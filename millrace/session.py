@@ -29,15 +29,24 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named in spark.checkpoint.dir, else the one set for
+    checkpoints; only where all run on one machine, as in local tests, a temporary one."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="millrace-shared-")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is
-    unset, as in local tests, a temporary folder is used.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder and drop its lineage."""
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -60,10 +69,7 @@ def stash(df: DataFrame) -> DataFrame:
     columnar and compressed, for wide intermediate tables. sweep() removes these tables."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_millrace_stash", None)
-    if base is None:
-        base = sc._millrace_stash = tempfile.mkdtemp(prefix="millrace-stash-")
-    path = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
     sc._millrace_paths = [*getattr(sc, "_millrace_paths", []), path]
     return spark.read.schema(df.schema).parquet(path)
