@@ -47,6 +47,8 @@ COUNTED_AT_ONCE = 1 << 22
 CHUNK = 1 << 12
 #: Each block has so many times as many rows as the one before, which has one.
 GROWTH = 32
+#: Tables of up to so many rows (at most 64 bytes each) are broadcast to spare the other side a shuffle; larger ones are joined.
+BROADCAST_ROWS = 300_000
 #: Classes a task remembers in order to write their entries once.
 SEEN_CLASSES = 200_000
 
@@ -261,15 +263,21 @@ def product(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(*sides).where(possible(percent)).select("a", "b", "n", "n2").distinct()
 
 
-def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, n_pairs: int, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose overlap, counted in full, is large enough. The texts are read again for the
     sets of these classes: to keep all sets would take more room than the texts."""
     wanted = bit_map(pairs.select(F.explode(F.array("a", "b")).alias("key")))
     sets = whole_sets(docs, width, wanted).dropDuplicates(["key"])
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
+    both = sets.select(F.col("key").alias("a"), F.col("grams").alias("x")).join(small(pairs, n_pairs), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
     return both.where(F.size(F.array_intersect("x", "y")) >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b")
 
 
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A materialised table, to be broadcast if its size, counted up to the bound, allows it."""
+    n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def counted(df: DataFrame, keep=cut, condition: Column | None = None) -> tuple[DataFrame, int]:
     """df, materialised, and how many of its rows meet the condition."""
     seen = Observation()
@@ -286,21 +294,24 @@ def link_components(docs: DataFrame, profiles: DataFrame, width: int, percent: i
     while True:
         if labels is not None:
             found = labels.select(F.col("node").alias("key"), F.col("label").alias("_l"))
-            entries = stash(entries.drop("label").join(found, "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l"))
+            entries = stash(entries.drop("label").join(small(found), "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l"))
         # A task writes a class once; copies that other tasks wrote meet here, and change nothing but the number of members.
         columns = entries.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), first_row(percent))
         columns = columns.where("p is not null and lo < hi").select("gram", (F.col("members") <= block).alias("small"), "p")
-        entries, large = counted(entries.join(columns if block == 1 else columns.drop("p"), "gram"), stash, ~F.col("small"))
+        # at first most columns are open; later only a few
+        columns = columns if block == 1 else small(cut(columns.drop("p")))
+        entries, large = counted(entries.join(columns, "gram"), stash, ~F.col("small"))
         if block == 1:
             rows, left = entries, entries.where(~F.col("small") & (F.col("key") != F.col("p.key"))).drop("small", "p").distinct()
         else:
             # All rows of a small column meet; of another, one for each slot.
             slot = F.when(F.col("small"), F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(block))).alias("slot")
             met = cut(entries.groupBy("gram", slot, "small").agg(first_row(percent)).where("p is not null"))
-            rows = entries.join(met.select("gram", "p"), "gram")
-            left = entries.where(~F.col("small")).drop("small").join(met.where(~F.col("small")).select("gram", F.col("p.key").alias("key")), ["gram", "key"], "left_anti")
+            rows = entries.join(small(met.select("gram", "p")), "gram")
+            used = met.where(~F.col("small")).select("gram", F.col("p.key").alias("key"))
+            left = entries.where(~F.col("small")).drop("small").join(used, ["gram", "key"], "left_anti")
         pairs, n_pairs = counted(product(rows, percent))
-        edges, n_edges = counted(linked(pairs, docs, width, percent)) if n_pairs else (None, 0)
+        edges, n_edges = counted(linked(pairs, n_pairs, docs, width, percent)) if n_pairs else (None, 0)
         if n_edges:
             labels = components(edges if labels is None else edges.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
         if not large:
