@@ -5,7 +5,8 @@ one row of it. For a link at `percent`, two sets of sizes x and y must share
 ceil(percent * (x + y) / (100 + percent)) n-grams, so the first x - ceil(percent * x / 100) + 1
 n-grams of each set, in one order for all sets that puts frequent n-grams last, must meet: only that
 part of the matrix is multiplied. Entries of a column meet on its n-gram; pairs whose sizes or
-places in the order rule out enough overlap are discarded, and the overlap of the rest is counted.
+places in the order rule out enough overlap are discarded, then those whose fingerprints do, and the
+overlap of the rest is counted.
 
 Only components are asked for, so the product is taken in blocks of rows: each column is multiplied
 with a few of its rows, links merge components, and columns whose rows are all in one component are
@@ -45,6 +46,8 @@ COUNTERS, MAP_BITS = 1 << 22, 1 << 25
 COUNTED_AT_ONCE = 1 << 22
 #: Numbers in one row when a table of fixed size is gathered.
 CHUNK = 1 << 12
+#: 64-bit words of a set's fingerprint.
+FINGERPRINT_WORDS = 64
 #: Each block has so many times as many rows as the one before, which has one.
 GROWTH = 32
 #: Tables of up to so many rows (at most 64 bytes each) are broadcast to spare the other side a shuffle; larger ones are joined.
@@ -187,7 +190,10 @@ def marked(numbers: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def shared_entries(docs: DataFrame, width: int, percent: int, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
-    """(gram, key, n, pos): the entries of prefixes in shared columns, by their place in the order."""
+    """(gram, key, n, pos): the entries of prefixes in shared columns, by their place in the order; and in other rows
+    (key, map) the fingerprint of each class that has such entries."""
+    schema = T.StructType([*long_columns("gram", "key", "n", "pos"), T.StructField("map", T.ArrayType(T.LongType(), False))])
+    kind = pa.list_(pa.field("element", pa.int64(), False))
 
     def start():
         seen: set = set()
@@ -202,11 +208,22 @@ def shared_entries(docs: DataFrame, width: int, percent: int, levels: np.ndarray
                     hit = np.flatnonzero(marked(flat, shared))
                     row = np.repeat(np.arange(len(mine)), lengths)[hit]
                     pos = hit - (np.cumsum(lengths) - lengths)[row]
-                    yield [flat[hit].view(np.int64), keys[mine][row], sizes[mine][row], pos]
+                    yield [flat[hit].view(np.int64), keys[mine][row], sizes[mine][row], pos, pa.nulls(len(hit), kind)]
+                    met = np.array(mine)[np.unique(row)]
+                    none = pa.nulls(len(met), pa.int64())
+                    maps = fingerprints(np.concatenate([sets[i] for i in met]), sizes[met]) if len(met) else np.zeros((0, FINGERPRINT_WORDS), np.int64)
+                    yield [none, keys[met], none, none, lists(maps.ravel(), np.full(len(met), FINGERPRINT_WORDS), kind)]
 
         return work
 
-    return sets_of(docs.select("text"), width, long_columns("gram", "key", "n", "pos"), start)
+    return sets_of(docs.select("text"), width, schema, start)
+
+
+def fingerprints(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of FINGERPRINT_WORDS 64-bit words for each set, with a bit for each n-gram."""
+    bits = np.zeros((len(sizes), 64 * FINGERPRINT_WORDS), np.uint8)
+    bits[np.repeat(np.arange(len(sizes)), sizes), (grams >> np.uint64(11)).astype(np.int64) % (64 * FINGERPRINT_WORDS)] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
@@ -263,6 +280,16 @@ def product(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(*sides).where(possible(percent)).select("a", "b", "n", "n2").distinct()
 
 
+def likely(pairs: DataFrame, n_pairs: int, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap can be large enough by their fingerprints: each bit that only one of two sets has is an n-gram the other lacks."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    maps = maps.join(F.broadcast(keys) if n_pairs <= BROADCAST_ROWS else keys, "key", "left_semi").dropDuplicates(["key"])
+    both = maps.select(F.col("key").alias("a"), F.col("map").alias("x")).join(small(pairs, n_pairs), "a").join(maps.select(F.col("key").alias("b"), F.col("map").alias("y")), "b")
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseAND(F.bitwise_not(w)))), F.lit(0), lambda s, v: s + v)
+    most = F.least(F.col("n") - only("x", "y"), F.col("n2") - only("y", "x"))
+    return both.where(most >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b", "n", "n2")
+
+
 def linked(pairs: DataFrame, n_pairs: int, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose overlap, counted in full, is large enough. The texts are read again for the
     sets of these classes: to keep all sets would take more room than the texts."""
@@ -289,8 +316,9 @@ def counted(df: DataFrame, keep=cut, condition: Column | None = None) -> tuple[D
 def link_components(docs: DataFrame, profiles: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, label) of the classes that have a link; None if there is none."""
     levels = levels_of(profiles)
-    entries = shared_entries(docs, width, percent, levels, shared_columns(docs, width, percent, levels)).withColumn("label", F.col("key"))
-    entries, labels, block = stash(entries), None, 1
+    made = stash(shared_entries(docs, width, percent, levels, shared_columns(docs, width, percent, levels)))
+    maps = made.where("map is not null").select("key", "map")
+    entries, labels, block = made.where("gram is not null").drop("map").withColumn("label", F.col("key")), None, 1
     while True:
         if labels is not None:
             found = labels.select(F.col("node").alias("key"), F.col("label").alias("_l"))
@@ -310,7 +338,9 @@ def link_components(docs: DataFrame, profiles: DataFrame, width: int, percent: i
             rows = entries.join(small(met.select("gram", "p")), "gram")
             used = met.where(~F.col("small")).select("gram", F.col("p.key").alias("key"))
             left = entries.where(~F.col("small")).drop("small").join(used, ["gram", "key"], "left_anti")
+        # Pairs that share a few n-grams by chance grow faster than the input: their sets are not fetched.
         pairs, n_pairs = counted(product(rows, percent))
+        pairs, n_pairs = counted(likely(pairs, n_pairs, maps, percent)) if n_pairs else (pairs, 0)
         edges, n_edges = counted(linked(pairs, n_pairs, docs, width, percent)) if n_pairs else (None, 0)
         if n_edges:
             labels = components(edges if labels is None else edges.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
