@@ -115,6 +115,12 @@ def words_of(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]{2,}"), 0), F.regexp_extract_all(low, F.lit(r"(?=([\x{4E00}-\x{9FFF}]{2}))"), 1))
 
 
+def word_count(text: Column) -> Column:
+    """How many words_of a text has."""
+    low = F.lower(text)
+    return F.regexp_count(low, F.lit("[a-z0-9_]{2,}")) + F.regexp_count(low, F.lit(r"(?=[\x{4E00}-\x{9FFF}]{2})"))
+
+
 def shingles(text: Column) -> Column:
     return F.array_distinct(words_of(text))
 
@@ -129,15 +135,19 @@ def query_terms(text: Column, most: int = 12) -> Column:
 
 def mask_pii(text: Column) -> Column:
     """ID cards, phones, bank cards and e-mail addresses masked in that order; none takes characters of one before it.
-    A private character (U+E000, dropped from the text) guards what is masked against the next kind."""
+    Three private characters (U+E000 to U+E002, dropped from the text) guard what is masked against the next kind."""
     guard = "\ue000"
     t = F.regexp_replace(text, guard, "")
     for pattern, stars in ((ID_CARD, 8), (PHONE, 4), (BANK_CARD, 8)):
         t = F.regexp_replace(t, f"(?<!{guard}){pattern}", f"$1{'*' * stars}$2{guard}")
-    begin = f"(?<![{LOCAL}{guard}])"
-    t = F.regexp_replace(t, f"{begin}([{LOCAL}]{{2}})[{LOCAL}]+@{DOMAIN}", "$1***@$2")
-    t = F.regexp_replace(t, f"{begin}[{LOCAL}]{{1,2}}@{DOMAIN}", "***@$1")
-    return F.regexp_replace(t, guard, "")
+    # an address that holds something masked stays as it is, and takes its characters: another sign stands for its @ meanwhile
+    at, end, part, host = "\ue001", "\ue002", f"[*{guard}{LOCAL}]*", f"[*{guard}A-Za-z0-9.-]*"
+    t = F.regexp_replace(t, f"[{at}{end}]", "")
+    t = F.regexp_replace(t, f"({part}{guard}{part})@({host}\\.[A-Za-z]{{2,}})", f"$1{at}$2{end}")
+    t = F.regexp_replace(t, f"({part})@({host}{guard}{host}\\.[A-Za-z]{{2,}})", f"$1{at}$2{end}")
+    begin = f"(?:(?<![{guard}{LOCAL}])|\\G)"
+    t = F.regexp_replace(t, f"{begin}(?:([{LOCAL}]{{2}})(?=[{LOCAL}]))?[{LOCAL}]+@{DOMAIN}", "$1***@$2")
+    return F.translate(F.regexp_replace(t, f"[{guard}{end}]", ""), at, "@")
 
 
 def classify(text: Column, labels: dict[str, list[str]], default: str) -> Column:

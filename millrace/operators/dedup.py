@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, shingles
-from ..session import cut
+from ..session import cut, stash
 
 SLOTS, BANDS = 128, 32
 
@@ -15,7 +15,7 @@ def exact_dedup(chunks: DataFrame, dates: DataFrame) -> DataFrame:
     """(doc_id, idx, content_hash, active): of documents with equal chunks one keeps them. The first to
     arrive does if it has no date; else the latest date does, the earliest arrival among equals."""
     rows = chunks.select("doc_id", "idx", content_hash(F.col("content")).alias("content_hash")).join(dates.select("doc_id", "effective_date"), "doc_id", "left")
-    by_doc = rows.groupBy("content_hash", "doc_id").agg(F.first("effective_date").alias("d"))
+    by_doc = rows.groupBy("content_hash", "doc_id").agg(F.max("effective_date").alias("d"))
     # struct order: an undated first arrival wins, then the later date, then the smaller id
     best = by_doc.groupBy("content_hash").agg(F.min(F.struct("doc_id", "d")).alias("first"), F.max(F.when(F.col("d").isNotNull(), F.struct("d", (-F.col("doc_id")).alias("i")))).alias("last"))
     winner = best.select("content_hash", F.when(F.col("first.d").isNull(), F.col("first.doc_id")).otherwise(-F.col("last.i")).alias("winner"))
@@ -23,17 +23,20 @@ def exact_dedup(chunks: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def minhash(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles, signature): 128 minima over seeded hashes; documents without shingles have none."""
-    sets = docs.select("doc_id", shingles(F.col("text")).alias("shingles")).where(F.size("shingles") > 0)
-    slot = lambda i: F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, i)))
+    """(doc_id, hashes, signature): hashed shingles and 128 minima over seeded hashes of them; documents without shingles have none."""
+    sets = docs.select("doc_id", F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("hashes")).where(F.size("hashes") > 0)
+    slot = lambda i: F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, i)))
     return sets.withColumn("signature", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), slot))
 
 
-def lsh_candidates(signatures: DataFrame) -> DataFrame:
-    """(a, b): representatives of equal signatures that share one of 32 bands of four slots."""
+def band_hashes(signature: Column) -> Column:
     rows = SLOTS // BANDS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, rows)))
-    hashed = signatures.select("doc_id", F.explode(bands).alias("band"))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(signature, b * rows + 1, rows)))
+
+
+def lsh_candidates(banded: DataFrame) -> DataFrame:
+    """(a, b): documents (doc_id, bands) that share one of 32 bands of four slots."""
+    hashed = banded.select("doc_id", F.explode("bands").alias("band"))
     other = hashed.select(F.col("doc_id").alias("b"), "band")
     return hashed.withColumnRenamed("doc_id", "a").join(other, "band").where("a < b").select("a", "b").distinct()
 
@@ -41,11 +44,14 @@ def lsh_candidates(signatures: DataFrame) -> DataFrame:
 def near_dup_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(a, b, similarity): pairs between representatives of different shingle sets at or above the threshold.
     Documents with equal sets are collapsed first; near_dup_members says whom each representative stands for."""
-    signed = minhash(docs)
-    reps = signed.groupBy(F.array_sort("shingles").alias("shingles"), "signature").agg(F.min("doc_id").alias("doc_id"))
-    sets = reps.select("doc_id", "shingles")
-    pairs = lsh_candidates(reps).join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    pairs = pairs.withColumn("similarity", F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")))
+    members = near_dup_members(docs)
+    reps = docs.join(members.select(F.col("representative").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # signatures are costly: each is made once, then only hashes are read
+    signed = stash(minhash(reps).select("doc_id", "hashes", band_hashes(F.col("signature")).alias("bands")))
+    sets = signed.select("doc_id", "hashes")
+    pairs = cut(lsh_candidates(signed)).join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    pairs = pairs.withColumn("similarity", both / (F.size("x") + F.size("y") - both))
     return pairs.where(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
-from millrace.operators import dedup, governance, metrics, records, retrieval
+from millrace.operators import dedup, governance, knowledge, metrics, records, retrieval
 from millrace.sources import tables as S
 from millrace.streaming import streams
 
@@ -138,3 +138,63 @@ def test_keywords_are_found_inside_longer_words(spark):
     docs = spark.createDataFrame([(1, "Sunflowers bloom"), (2, "moon"), (3, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "flower bloom")], "query_id long, text string")
     assert [tuple(r) for r in retrieval.keyword_search(asked, docs).select("query_id", "doc_id", "score", "rank").collect()] == [(7, 1, 1.0, 1)]
+
+
+def test_clean_text_strips_kept_lines_and_empties(spark):
+    assert one(spark, X.clean_text, "  lead line  \n \n \n \nnext\t\t\n end") == "lead line\n\nnext\nend"
+    assert one(spark, X.clean_text, None) == one(spark, X.clean_text, " \n\t") == ""
+
+
+def test_token_estimate_counts_runs(spark):
+    for text, n in (("a-b-c-d", 4), ("hello, world!!", 7), ("中文 ab\u3000é", 5), ("\u2003\u2028", 0), (None, 0)):
+        assert one(spark, X.token_estimate, text) == n, text
+
+
+def test_garbled_counts_nul_apart_from_controls(spark):
+    for text, said in (("\0" * 12 + "x" * 88, False), ("\0" * 25 + "x" * 75, True), ("\x85" * 10 + "x" * 90, True), ("\x1c" * 30 + "x" * 20, False), ("\x01" * 9, False), (None, False)):
+        assert one(spark, X.looks_garbled, text) is said, text
+
+
+def test_hash_of_null_is_that_of_the_empty_text(spark):
+    assert one(spark, X.content_hash, None) == one(spark, X.content_hash, " \n")
+
+
+def test_query_terms_keep_all_words_and_fill_up_with_pairs(spark):
+    assert one(spark, X.query_terms, " x ") == ["x"] and one(spark, X.query_terms, None) == []
+    assert one(spark, X.query_terms, "AB a ab 中文字 c1") == ["ab", "c1", "中文", "文字"]
+    words = [f"w{i}" for i in range(15)]
+    assert one(spark, X.query_terms, " ".join(words) + " 中文字") == words
+    assert one(spark, X.query_terms, " ".join(words[:11]) + " 中文字") == [*words[:11], "中文"]
+
+
+def masked(text):
+    """The same by plain search: kinds in order take spans that no kind before has."""
+    kinds = ((r"(?<![0-9Xx])\d{17}[0-9Xx](?![0-9Xx])", lambda s: s[:6] + "*" * 8 + s[-4:]), (r"(?<![0-9])1[3-9]\d{9}(?![0-9])", lambda s: s[:3] + "****" + s[-4:]), (r"(?<![0-9])\d{16,19}(?![0-9])", lambda s: s[:4] + "*" * 8 + s[-4:]), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", lambda s: ("***" if s.index("@") <= 2 else s[:2] + "***") + s[s.index("@") :]))
+    taken = []
+    for pattern, hide in kinds:
+        for m in re.finditer(pattern, text, re.ASCII):
+            if all(m.end() <= a or m.start() >= b for a, b, _ in taken):
+                taken.append((m.start(), m.end(), hide(m[0])))
+    for a, b, s in sorted(taken, reverse=True):
+        text = text[:a] + s + text[b:]
+    return text
+
+
+def test_masks_equal_a_plain_search(spark):
+    r = random.Random(7)
+    bits = ["13812345678", "11010519900307123X", "6222021234567890123", "622202123456789012", "ab@x.com", "alice.b@mail.org", "13812345678@qq.com", "a13912345678b@x.com", " ", ",", "call", "x", "12"]
+    texts = [*bits, "13812345678abc@x.com", *("".join(r.choice(bits) + r.choice(["", " ", ";"]) for _ in range(6)) for _ in range(300))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.mask_pii(F.col("t")).alias("m")).collect()
+    assert [x.m for x in rows] == [masked(x.t) for x in rows]
+
+
+def test_rule_outputs_replace_columns_of_their_name(spark):
+    df = spark.createDataFrame([(6.0, 2.0)], "a double, b double")
+    out = records.run_rules(df, {"steps": [{"op": "arith", "params": {"expr": "a / b"}, "to": "a"}], "outputs": ["a"]})
+    assert out.columns == ["b", "a", "status"] and out.first().a == 3.0
+
+
+def test_descriptions_of_entities_merge_in_order(spark):
+    rows = [("n", "t", "long text", 1), ("n", "t", "text", 2), ("n", "t", "other", 3), ("n", "t", "the other way", 4), ("n", "u", None, 1), (" ", "t", "x", 1)]
+    got = {(r.name, r.type): r.description for r in knowledge.upsert_entities(spark.createDataFrame(rows, "name string, type string, description string, order int")).collect()}
+    assert got == {("n", "t"): "long text；other；the other way", ("n", "u"): ""}
