@@ -47,7 +47,7 @@ COUNTED_AT_ONCE = 1 << 22
 #: Numbers in one row when a table of fixed size is gathered.
 CHUNK = 1 << 12
 #: 64-bit words of a set's fingerprint.
-FINGERPRINT_WORDS = 64
+FINGERPRINT_WORDS = 32
 #: Each block has so many times as many rows as the one before, which has one.
 GROWTH = 32
 #: Tables of up to so many rows (at most 64 bytes each) are broadcast to spare the other side a shuffle; larger ones are joined.
