@@ -46,8 +46,8 @@ COUNTERS, MAP_BITS = 1 << 22, 1 << 25
 COUNTED_AT_ONCE = 1 << 22
 #: Numbers in one row when a table of fixed size is gathered.
 CHUNK = 1 << 12
-#: 64-bit words of a set's fingerprint.
-FINGERPRINT_WORDS = 32
+#: The least and the most 64-bit words of a set's fingerprint; between them it has two to four bits for each n-gram.
+LEAST_WORDS, MOST_WORDS = 4, 512
 #: Each block has so many times as many rows as the one before, which has one.
 GROWTH = 32
 #: Tables of up to so many rows (at most 64 bytes each) are broadcast to spare the other side a shuffle; larger ones are joined.
@@ -211,19 +211,21 @@ def shared_entries(docs: DataFrame, width: int, percent: int, levels: np.ndarray
                     yield [flat[hit].view(np.int64), keys[mine][row], sizes[mine][row], pos, pa.nulls(len(hit), kind)]
                     met = np.array(mine)[np.unique(row)]
                     none = pa.nulls(len(met), pa.int64())
-                    maps = fingerprints(np.concatenate([sets[i] for i in met]), sizes[met]) if len(met) else np.zeros((0, FINGERPRINT_WORDS), np.int64)
-                    yield [none, keys[met], none, none, lists(maps.ravel(), np.full(len(met), FINGERPRINT_WORDS), kind)]
+                    maps = fingerprints(np.concatenate([sets[i] for i in met]), sizes[met]) if len(met) else (np.zeros(0, np.int64),) * 2
+                    yield [none, keys[met], none, none, lists(*maps, kind)]
 
         return work
 
     return sets_of(docs.select("text"), width, schema, start)
 
 
-def fingerprints(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A row of FINGERPRINT_WORDS 64-bit words for each set, with a bit for each n-gram."""
-    bits = np.zeros((len(sizes), 64 * FINGERPRINT_WORDS), np.uint8)
-    bits[np.repeat(np.arange(len(sizes)), sizes), (grams >> np.uint64(11)).astype(np.int64) % (64 * FINGERPRINT_WORDS)] = 1
-    return np.packbits(bits, axis=1).view(np.int64)
+def fingerprints(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets' fingerprints, one behind the other, with a bit for each n-gram; and how many 64-bit words each has, a power of two."""
+    words = np.clip(1 << np.ceil(np.log2(sizes / 32)).clip(0).astype(np.int64), LEAST_WORDS, MOST_WORDS)
+    bits = np.zeros(64 * words.sum(), np.uint8)
+    begins = 64 * (np.cumsum(words) - words)
+    bits[np.repeat(begins, sizes) + (grams >> np.uint64(11)).astype(np.int64) % np.repeat(64 * words, sizes)] = 1
+    return np.packbits(bits).view(np.int64), words
 
 
 def whole_sets(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
@@ -280,12 +282,21 @@ def product(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(*sides).where(possible(percent)).select("a", "b", "n", "n2").distinct()
 
 
+def folded(x: Column, k: Column) -> Column:
+    """The fingerprint x as it is with only k words."""
+    parts = F.sequence(F.lit(1), (F.size(x) / k).cast("int") - 1)
+    either = F.aggregate(parts, F.slice(x, 1, k), lambda s, i: F.zip_with(s, F.slice(x, i * k + 1, k), lambda v, w: v.bitwiseOR(w)))
+    return F.when(F.size(x) > k, either).otherwise(x)
+
+
 def likely(pairs: DataFrame, n_pairs: int, maps: DataFrame, percent: int) -> DataFrame:
     """The pairs whose overlap can be large enough by their fingerprints: each bit that only one of two sets has is an n-gram the other lacks."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     maps = maps.join(F.broadcast(keys) if n_pairs <= BROADCAST_ROWS else keys, "key", "left_semi").dropDuplicates(["key"])
     both = maps.select(F.col("key").alias("a"), F.col("map").alias("x")).join(small(pairs, n_pairs), "a").join(maps.select(F.col("key").alias("b"), F.col("map").alias("y")), "b")
     only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseAND(F.bitwise_not(w)))), F.lit(0), lambda s, v: s + v)
+    k = F.least(F.size("x"), F.size("y"))
+    both = both.select("a", "b", "n", "n2", folded(F.col("x"), k).alias("x"), folded(F.col("y"), k).alias("y"))
     most = F.least(F.col("n") - only("x", "y"), F.col("n2") - only("y", "x"))
     return both.where(most >= needed(percent, F.col("n"), F.col("n2"))).select("a", "b", "n", "n2")
 
