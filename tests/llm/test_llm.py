@@ -357,3 +357,20 @@ def test_pipeline_stages_against_brute_force(spark):
 
 def after_schema(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").schema
+
+
+def test_fingerprints_fold_and_bound_the_overlap(spark):
+    rng = np.random.default_rng(5)
+    for sizes in ((3, 3), (255, 260), (900, 1100), (20_000, 23_000)):
+        pool = rng.integers(0, 1 << 63, sum(sizes), dtype=np.uint64)
+        x, y = pool[: sizes[0]], pool[sizes[0] // 4 :][: sizes[1]]
+        flat, words = ngram_join.fingerprints(np.concatenate([x, y]), np.array(sizes))
+        maps = [flat[: words[0]], flat[words[0] :]]
+        assert all(w & (w - 1) == 0 and ngram_join.LEAST_WORDS <= w <= ngram_join.MOST_WORDS for w in words.tolist())
+        k = int(min(words))
+        row = spark.createDataFrame([tuple(m.tolist() for m in maps)], "x array<long>, y array<long>")
+        got = row.select(*[ngram_join.folded(F.col(c), F.lit(k)) for c in "xy"]).first()
+        for fold, m in zip(got, maps, strict=True):
+            assert np.array_equal(np.array(fold), np.bitwise_or.reduce(m.reshape(-1, k), axis=0))
+        only = sum(bin(a & ~b & (1 << 64) - 1).count("1") for a, b in zip(*got, strict=True))
+        assert sizes[0] - only >= len(np.intersect1d(x, y))
