@@ -269,7 +269,7 @@ def central(percent: int) -> Column:
 
 def first_row(percent: int) -> Column:
     """Of the rows of a group the one with the fewest rarer n-grams: what links with any of them links with it first."""
-    row = F.struct("pos", F.xxhash64("key").alias("o"), "key", "n", "label")
+    row = F.struct("pos", "key", "n", "label")
     return F.min(F.when(central(percent), row)).alias("p")
 
 
