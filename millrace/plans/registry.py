@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import dedup, metrics, records, retrieval
 from ..sources import tables as S
 from ..streaming import streams
-from . import curation, knowledge
+from . import curation, knowledge, verdicts
 from .base import CALLS, CHUNKS, COSTED, DATES, ENTRIES, EVENTS, asked, costed, events, simple
 
 ASOF = "2024-01-31 00:00:00"
