@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, line_dedup, ngram_join, quality, secrets, token_counts, topk, toxicity
+from . import bpe, collocations, decontaminate, embedding_dedup, fill_middle, html_extract, line_dedup, ngram_join, quality, secrets, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH RECURSIVE l AS (
   SELECT doc_id, hash(text) AS t, CAST(i AS BIGINT) AS line, trim(s[i], ' ') AS s, len(regexp_extract_all(s[i], '[^\t-\r ]+')) AS words
@@ -116,10 +128,67 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS i, vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS v FROM embeddings
+), e AS MATERIALIZED (
+  SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.i <> b.i AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), r AS (SELECT i AS x, i AS y FROM v UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+m AS (SELECT r.x AS i, min(v.vec_id) AS c FROM r JOIN v ON r.y = v.i GROUP BY r.x),
+n AS (SELECT a AS i, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.c AS component_id, vec_id IS NOT DISTINCT FROM m.c AS kept
+FROM v JOIN m ON m.i = v.i LEFT JOIN n ON n.i = v.i
+"""
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1,
+    CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t
+), c AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, unnest([w[i:i] FOR i IN range(1, len(w) + 1)]) AS g FROM w
+  UNION ALL SELECT lang, unnest([w[i:i + 1] FOR i IN range(1, len(w))]) FROM w
+  UNION ALL SELECT lang, unnest([w[i:i + 2] FOR i IN range(1, len(w) - 1)]) FROM w
+), f AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+inside AS (SELECT lang, g, max(f) AS longer FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, f FROM f WHERE len(g) = 3) GROUP BY ALL),
+cut AS (
+  SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, CAST((CAST(1000000 AS HUGEINT) * c.f * c.f) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1) c
+  JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:len(c.g)]
+), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+kept AS (
+  SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE i.longer IS NULL OR 100 * i.longer < 50 * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (op1_html_extraction, op2_quality_classifier, op3_token_counts, op4_toxicity, op5_secret_scan, op6_line_dedup, op7_bpe, op8_ngram_jaccard_join, op9_exact_topk, op10_decontamination)
+    made += (op11_embedding_near_dedup, op12_fill_in_middle, op13_phrase_collocations)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_exact_topk": OP9_SQL, "op11_embedding_near_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_phrase_collocations": OP13_SQL}
