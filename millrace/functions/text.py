@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -29,7 +30,6 @@ LEAK = (
     r"(?i)system\s*:\s*you\s+are",
     r"(?i)<system>",
     r"(?i)\[INST\]",
-    r"(?i)wikiagent.*prompt",
     r"(?i)guardrail.*instruction",
     r"(?i)rule\s+of\s+two",
 )
@@ -160,7 +160,9 @@ def classify(text: Column, labels: dict[str, list[str]], default: str) -> Column
 
 def redact_output(text: Column, mark: str = "[REDACTED]") -> Column:
     for p in OUTPUT_PII:
-        text = F.regexp_replace(text, p, mark)
+        replaced = F.regexp_replace(text, p, mark)
+        # without an @ the e-mail pattern would only be tried, from every character on
+        text = F.when(F.contains(text, F.lit("@")), replaced).otherwise(text) if "@" in p else replaced
     return text
 
 
@@ -169,9 +171,17 @@ def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.when(text.rlike(p), F.lit(i)) for i, p in enumerate(patterns, 1)))
 
 
-def violations(text: Column) -> Column:
+def screens(products: tuple[str, ...] = ()) -> dict[str, tuple[tuple[str, ...], float]]:
+    """SCREENS, and prompts of the named products as leaks."""
+    patterns, risk = SCREENS["SYSTEM_PROMPT_LEAK"]
+    named = tuple(f"(?i){re.escape(p)}.*prompt" for p in products)
+    return SCREENS | {"SYSTEM_PROMPT_LEAK": (patterns + named, risk)}
+
+
+def violations(text: Column, products: tuple[str, ...] = ()) -> Column:
     """Array of structs (violation, pattern, risk): of each screen that a text fails, the place of the first pattern it matches."""
-    found = [F.struct(F.lit(name).alias("violation"), first_match(text, patterns).alias("pattern"), F.lit(risk).alias("risk")) for name, (patterns, risk) in SCREENS.items()]
+    known = screens(products).items()
+    found = [F.struct(F.lit(name).alias("violation"), first_match(text, patterns).alias("pattern"), F.lit(risk).alias("risk")) for name, (patterns, risk) in known]
     return F.filter(F.array(*found), lambda x: x["pattern"].isNotNull())
 
 

@@ -23,10 +23,11 @@ def exact_dedup(chunks: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def minhash(docs: DataFrame) -> DataFrame:
-    """(doc_id, hashes, signature): hashed shingles and 128 minima over seeded hashes of them; documents without shingles have none."""
-    sets = docs.select("doc_id", F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("hashes")).where(F.size("hashes") > 0)
+    """(doc_id, hashes, signature): hashed shingles and 128 minima over seeded hashes of them; documents without shingles have
+    none. Both are stored: what reads them in a lambda would otherwise make them again for each element."""
+    sets = stash(docs.select("doc_id", F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("hashes"))).where(F.size("hashes") > 0)
     slot = lambda i: F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, i)))
-    return sets.withColumn("signature", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), slot))
+    return stash(sets.withColumn("signature", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), slot)))
 
 
 def band_hashes(signature: Column) -> Column:
@@ -34,11 +35,29 @@ def band_hashes(signature: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(signature, b * rows + 1, rows)))
 
 
-def lsh_candidates(banded: DataFrame) -> DataFrame:
-    """(a, b): documents (doc_id, bands) that share one of 32 bands of four slots."""
-    hashed = banded.select("doc_id", F.explode("bands").alias("band"))
-    other = hashed.select(F.col("doc_id").alias("b"), "band")
-    return hashed.withColumnRenamed("doc_id", "a").join(other, "band").where("a < b").select("a", "b").distinct()
+def banded(signed: DataFrame) -> DataFrame:
+    """(doc_id, band): the 32 bands of each stored signature."""
+    return signed.select("doc_id", F.explode(band_hashes(F.col("signature"))).alias("band"))
+
+
+def lsh_candidates(bands: DataFrame, older: DataFrame | None = None) -> DataFrame:
+    """(a, b): documents (doc_id, band) that share one of 32 bands of four slots, a before b; or, with bands of older documents, one of each."""
+    b = bands.select(F.col("doc_id").alias("b"), "band")
+    if older is not None:
+        return older.select(F.col("doc_id").alias("a"), "band").join(b, "band").select("a", "b").distinct()
+    # most bands are nobody else's: they go before they meet anything
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    a = stash(bands.join(shared, "band", "left_semi").withColumnRenamed("doc_id", "a"))
+    return a.join(a.withColumnRenamed("a", "b"), "band").where("a < b").select("a", "b").distinct()
+
+
+def similar(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs whose sets (doc_id, hashes) are at least so similar."""
+    sets = lambda df, key, name: df.select(F.col("doc_id").alias(key), F.col("hashes").alias(name))
+    rows = pairs.join(sets(left, "a", "x"), "a").join(sets(right, "b", "y"), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    rows = rows.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
+    return rows.where(F.col("similarity") >= threshold)
 
 
 def near_dup_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -46,13 +65,8 @@ def near_dup_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     Documents with equal sets are collapsed first; near_dup_members says whom each representative stands for."""
     members = near_dup_members(docs)
     reps = docs.join(members.select(F.col("representative").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # signatures are costly: each is made once, then only hashes are read
-    signed = stash(minhash(reps).select("doc_id", "hashes", band_hashes(F.col("signature")).alias("bands")))
-    sets = signed.select("doc_id", "hashes")
-    pairs = cut(lsh_candidates(signed)).join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    pairs = pairs.withColumn("similarity", both / (F.size("x") + F.size("y") - both))
-    return pairs.where(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    signed = minhash(reps)
+    return similar(cut(lsh_candidates(banded(signed))), signed, signed, threshold).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def near_dup_members(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,11 @@ from ..functions.text import once
 from ..session import cut
 
 #: What makes a difference critical; the transitions of a task (from, event, to).
-CRITICAL = r"[\d%％]|\d{4}[-/年.]|[元万千亿]|禁止|不得|取消|不|未|无|非"
+DIGIT_OR_PERCENT = r"[\d%％]"
+DATE_PART = r"\d{4}[-/年.]"
+CURRENCY_UNIT = r"[元万千亿]"
+NEGATION = r"禁止|不得|取消|不|未|无|非"
+CRITICAL = "|".join((DIGIT_OR_PERCENT, DATE_PART, CURRENCY_UNIT, NEGATION))
 TRANSITIONS = (
     ("PENDING", "DISPATCH", "DISPATCH"),
     ("PENDING", "LEASE", "RUNNING"),
@@ -62,6 +66,16 @@ def critical_diff(a: Column, b: Column) -> Column:
     return F.coalesce(differing_parts(a, b).rlike(CRITICAL), F.lit(False))
 
 
+def judged_pairs(pairs: DataFrame, docs: DataFrame, dates: DataFrame) -> DataFrame:
+    """(a, b, at, loser) of near-duplicate pairs (a < b): who would lose if both were there, the document of the earlier date if both
+    have one, else the later arrival; null where the difference is critical. at: the time of the pair, (b, a)."""
+    texts = docs.select("doc_id", "text").join(dates.select("doc_id", "effective_date"), "doc_id", "left")
+    side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"{n}_text"), F.col("effective_date").alias(f"{n}_date"))
+    rows = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").withColumn("critical", critical_diff(F.col("a_text"), F.col("b_text")))
+    loser = F.when(F.col("critical"), None).when(F.col("b_date") > F.col("a_date"), F.col("a")).otherwise(F.col("b"))
+    return cut(rows.select("a", "b", F.struct("b", "a").alias("at"), loser.alias("loser")))
+
+
 def resolve_near_dups(pairs: DataFrame, docs: DataFrame, dates: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(a, b, outcome, loser) of near-duplicate pairs (a < b): a conflict without a loser where the difference is critical, else a
     merge whose loser is the document of the earlier date if both have one, else the later arrival.
@@ -69,12 +83,11 @@ def resolve_near_dups(pairs: DataFrame, docs: DataFrame, dates: DataFrame, known
     Documents arrive in order of their ids and meet those before them in the same order. Who has lost meets nobody any more, so
     such pairs are left out. Each round settles the pairs whose two documents cannot lose in an unsettled earlier pair. Conflicts
     among the known pairs (a, b, in any order) are not written again."""
-    texts = docs.select("doc_id", "text").join(dates.select("doc_id", "effective_date"), "doc_id", "left")
-    side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"{n}_text"), F.col("effective_date").alias(f"{n}_date"))
-    rows = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").withColumn("critical", critical_diff(F.col("a_text"), F.col("b_text")))
-    loser = F.when(F.col("critical"), None).when(F.col("b_date") > F.col("a_date"), F.col("a")).otherwise(F.col("b"))
-    # a pair's time is (b, a); when() is null for conflicts, which nobody loses
-    open_ = cut(rows.select("a", "b", F.struct("b", "a").alias("at"), loser.alias("loser")))
+    return settled(judged_pairs(pairs, docs, dates), known)
+
+
+def settled(open_: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(a, b, outcome, loser) of judged pairs, as resolve_near_dups says."""
     done = open_.where("false")
     while True:
         unsettled = open_.where("loser is not null").groupBy(F.col("loser").alias("doc_id")).agg(F.min("at").alias("may"))
@@ -96,16 +109,23 @@ def resolve_near_dups(pairs: DataFrame, docs: DataFrame, dates: DataFrame, known
     return done.join(seen, ["a", "b", "outcome"], "left_anti")
 
 
-def resolve_copies(docs: DataFrame, dates: DataFrame) -> DataFrame:
-    """(a, b, outcome, loser): exact copies with the one that stays (EXACT), and the near duplicates among those that stay."""
-    from .dedup import all_near_dup_pairs, exact_dedup
+def exact_copies(docs: DataFrame, dates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, outcome, loser) of exact copies with the one that stays (EXACT), and (doc_id, text) of those that stay."""
+    from .dedup import exact_dedup
 
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     copies = cut(exact_dedup(texts.select("doc_id", F.lit(0).alias("idx"), F.col("text").alias("content")), dates).select("doc_id", "content_hash", "active"))
     kept = copies.where("active").select(F.col("doc_id").alias("kept"), "content_hash")
     exact = copies.where("not active").join(kept, "content_hash").select(F.least("doc_id", "kept").alias("a"), F.greatest("doc_id", "kept").alias("b"), F.lit("EXACT").alias("outcome"), F.col("doc_id").alias("loser"))
-    texts = cut(texts.join(kept.select(F.col("kept").alias("doc_id")), "doc_id", "left_semi"))
-    return exact.unionByName(resolve_near_dups(all_near_dup_pairs(texts), texts, dates))
+    return exact, cut(texts.join(kept.select(F.col("kept").alias("doc_id")), "doc_id", "left_semi"))
+
+
+def resolve_copies(docs: DataFrame, dates: DataFrame) -> DataFrame:
+    """(a, b, outcome, loser): exact copies with the one that stays (EXACT), and the near duplicates among those that stay."""
+    from .near_index import arrivals
+
+    exact, texts = exact_copies(docs, dates)
+    return exact.unionByName(arrivals(texts, dates))
 
 
 def conflict_candidates(hits: DataFrame, least: float = 0.85) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dedup, metrics, records, retrieval
+from ..session import spread
 from ..sources import tables as S
 from ..streaming import streams
 from . import curation, knowledge, verdicts
@@ -146,7 +147,8 @@ simple("p2_idempotent", lambda t: streams.idempotent(events(t)), f"SELECT DISTIN
 
 
 def reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
-    return lambda name: S.read_table(spark, sf_dir, name)
+    """Tables by name; the long texts of documents are worked on by all cores, however they are stored."""
+    return lambda name: spread(S.read_table(spark, sf_dir, name)) if name == "documents" else S.read_table(spark, sf_dir, name)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
