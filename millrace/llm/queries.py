@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import bpe, collocations, decontaminate, embedding_dedup, fill_middle, html_extract, line_dedup, ngram_join, quality, secrets, token_counts, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; long texts are worked on by all cores, however they are stored."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
