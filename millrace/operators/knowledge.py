@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import text_similarity
 
 
-def json_outer(text: Column, schema: str) -> Column:
-    """The object from the first { to the last } of a text, typed; null where that is no such object."""
-    first = F.locate("{", text)
-    last = F.length(text) - F.locate("}", F.reverse(text)) + 1
-    part = F.when((first > 0) & (last > first), F.substring(text, first, last - first + 1))
-    return F.from_json(part, schema)
-
-
 def reconcile_pages(pages: DataFrame, least: float = 0.85, sure: float = 0.8) -> DataFrame:
     """pages (.., text, reading, confidence) with conflict, and chosen: in a conflict the second reading if it is sure, else the text layer."""
     conflict = text_similarity(F.col("text"), F.col("reading")) < least
@@ -54,16 +46,6 @@ def set_effective_date(docs: DataFrame, existing: str, asked: str) -> DataFrame:
     return docs.withColumn("effective_date", F.coalesce(F.col(existing), day)).withColumn("outcome", outcome)
 
 
-def rrf_fuse(lists: list[DataFrame], k: int = 60, n: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank): the n documents of most sum of 1 / (k + rank) over ranked lists."""
-    every = lists[0].select("query_id", "doc_id", "rank")
-    for x in lists[1:]:
-        every = every.unionByName(x.select("query_id", "doc_id", "rank"))
-    fused = every.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
 def acl_filter(hits: DataFrame, chunks: DataFrame, meta: DataFrame, conditions: dict[str, str]) -> DataFrame:
     """hits (.., chunk_id) whose chunk exists and is active and whose metadata, if any, is active and meets every condition (null fails)."""
     ok = F.col("meta_active")

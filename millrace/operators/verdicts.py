@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.replies import json_outer
 from ..functions.text import SPACE
 from ..session import cut
 from .governance import critical_diff
-from .knowledge import json_outer
 from .records import run_rules
 
 #: Types of entities and relations, and the one for all others; names a filter may use.

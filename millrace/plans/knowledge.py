@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import knowledge as K
+from ..functions.replies import json_outer
 from ..operators import metrics
+from ..operators.retrieval import rrf_fuse
 from .base import CHUNKS, EVENTS, events, simple
 from ..sources import tables as S
 
 ASOF = "2024-01-31 00:00:00"
 
-simple("a6_json_outer", lambda t: t("events").select("event_id", K.json_outer(F.concat(F.lit("So: "), "props", F.lit(" ok")), "k int")["k"].alias("k")), """
+simple("a6_json_outer", lambda t: t("events").select("event_id", json_outer(F.concat(F.lit("So: "), "props", F.lit(" ok")), "k int")["k"].alias("k")), """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
 
 BARE = lambda c: rf"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g'))"
@@ -69,7 +71,7 @@ def ranked(t, order):
 LISTS = """g AS (SELECT event_type AS query_id, user_id AS doc_id, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2),
 l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS rank FROM g
   UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, doc_id) FROM g)"""
-simple("f6_rrf_fuse", lambda t: K.rrf_fuse([ranked(t, "n"), ranked(t, "v")]), f"""
+simple("f6_rrf_fuse", lambda t: rrf_fuse([ranked(t, "n"), ranked(t, "v")]), f"""
 WITH {LISTS}, s AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM l GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 

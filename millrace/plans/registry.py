@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dedup, metrics, records, retrieval
+from ..operators import dedup, metrics, records, retrieval, search_index
 from ..session import spread
 from ..sources import tables as S
 from ..streaming import streams
 from . import curation, knowledge, verdicts
 from .base import CALLS, CHUNKS, COSTED, DATES, ENTRIES, EVENTS, asked, costed, events, simple
+from .search import BM25, stored_index, text_index
 
 ASOF = "2024-01-31 00:00:00"
 LANGS = {"english": ["the", "and"], "french": ["avec", "pour"], "german": ["nicht", "und"], "spanish": ["para", "con"]}
@@ -78,22 +79,16 @@ SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT x.doc_id AS a, y.do
 simple("d5_near_dup_members", lambda t: dedup.near_dup_members(t("documents")), "WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))) AS s FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS representative FROM s WHERE len(s) > 0")
 simple("d9_event_counts", lambda t: dedup.event_counts(events(t), ["RETRIEVED", "CITED", "DEDUP_EXACT_SKIPPED"]), f"SELECT k AS event_type, (SELECT count(*) FROM {EVENTS} WHERE event_type = k) AS n FROM (VALUES ('RETRIEVED'), ('CITED'), ('DEDUP_EXACT_SKIPPED')) v(k)")
 # retrieval
-BM25 = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM documents), e AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w), p AS (SELECT term, doc_id, len, count(*) AS tf FROM e GROUP BY ALL),
-f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w WHERE len(w) > 0),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))) AS term FROM benchmark),
-bs AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), st GROUP BY 1, 2),
-bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs QUALIFY rank <= 20)"""
-KEYS = """h AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))) AS term FROM documents)"""
 simple("f2_keyword_search", lambda t: retrieval.keyword_search(asked(t), t("documents")), """
 WITH w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS w FROM benchmark), p AS (SELECT query_id, i, w[i] AS term FROM w, generate_series(1, len(w)) g(i)),
 u AS (SELECT query_id, term, min(i) AS i FROM p GROUP BY 1, 2), t AS (SELECT query_id, term FROM u), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1),
 s AS (SELECT query_id, doc_id, round(count(*) / max(n), 6) AS score FROM t JOIN n USING (query_id) JOIN documents ON contains(lower(text), term) GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20""")
-simple("f4_bm25_search", lambda t: retrieval.bm25_search(asked(t), t("documents")), f"WITH {BM25} SELECT * FROM bm")
-simple("f5_dense_search", lambda t: retrieval.dense_search(t("embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t("embeddings")), """
+simple("f4_bm25_search", lambda t: text_index(t).search(asked(t)), f"WITH {BM25} SELECT * FROM bm")
+simple("f5_dense_search", lambda t: search_index.dense_top(t("embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t("embeddings")), """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v q JOIN v ON q.vec_id % 25 = 0 AND q.vec_id <> v.vec_id)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 20""")
-simple("f13_assemble_context", lambda t: retrieval.assemble_context(retrieval.bm25_search(asked(t), t("documents")).select("query_id", "doc_id", "rank"), t("documents")), f"""
+simple("f13_assemble_context", lambda t: retrieval.assemble_context(text_index(t).search(asked(t)).select("query_id", "doc_id", "rank"), t("documents")), f"""
 WITH {BM25}, z AS (SELECT query_id, rank, bm.doc_id, length(text) AS size, 12000 - coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM bm JOIN documents USING (doc_id))
 SELECT query_id, rank, doc_id, CAST(least(size, rest) AS BIGINT) AS taken FROM z WHERE rest > 200""")
 # graph, access, rules, lineage
@@ -157,7 +152,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t("documents").withColumn("text", X.clean_text(F.col("text")))
     first = docs.groupBy(X.content_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id"))
     docs = docs.join(first.select("doc_id"), "doc_id", "left_semi")
-    hits = retrieval.hybrid_search(asked(t), docs)
+    index = stored_index(docs, f"{sf_dir}#cleaned")
+    hits = retrieval.rrf_fuse([index.search(asked(t)), retrieval.keyword_search(asked(t), docs)])
     return retrieval.assemble_context(hits.select("query_id", "doc_id", "rank"), docs)
 
 
