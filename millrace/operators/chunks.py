@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, content_hash
 from ..session import ship, stash
+from . import near_index
 
 #: Where a text may be split, best first. The first seven begin the next piece, the others end the one before;
 #: after the last, pieces are cut between characters.
@@ -152,21 +153,62 @@ def stitch_tables(cells: DataFrame) -> DataFrame:
     return kept.select("doc_id", "first_page", "page_no", (F.col("row") + F.col("shift")).cast("long").alias("row"), "col", "text", "width", "ambiguous")
 
 
-def ingest(docs: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
+PLACE = ["doc_id", "version", "parent_index", "child_index"]
+
+
+def first_copies(chunks: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(content_hash, place) of the chunk (place, content_hash, effective_date) that stays of equal ones: the first to arrive if it
+    has no date, else the first of the latest date. seen: chunks of the same columns that were there before all others."""
+    rows = chunks.select("content_hash", F.lit(1).alias("late"), "place", "effective_date")
+    if seen is not None:
+        before = seen.join(chunks.select("content_hash").distinct(), "content_hash", "left_semi")
+        rows = rows.unionByName(before.select("content_hash", F.lit(0).alias("late"), "place", "effective_date"))
+    back = F.struct(-F.unix_date("effective_date"), "late", "place")
+    best = rows.groupBy("content_hash").agg(F.min(F.struct("late", "place", "effective_date")).alias("first"), F.min(F.when(F.col("effective_date").isNotNull(), back)).alias("last"))
+    return best.select("content_hash", F.when(F.col("first.effective_date").isNull(), F.col("first.place")).otherwise(F.col("last.place")).alias("place"))
+
+
+def ingest(docs: DataFrame, active: DataFrame, dates: DataFrame | None = None, near: bool = True) -> tuple[DataFrame, DataFrame]:
     """(chunks, outcomes) of documents (doc_id, version, text). Documents among active (doc_id) are SKIPPED, those empty after
-    cleaning REJECTED; chunks whose content occurred before (by document, version, place) go, and a document that keeps none
-    is MERGED, others INGESTED. Near duplicates are left to governance.resolve_copies, which works on what stays."""
+    cleaning REJECTED. Of equal chunks one stays (first_copies, by the documents' dates (doc_id, effective_date), if given), then,
+    unless near is false, near duplicates in other documents go by the rule of near_index.arrivals. A document that keeps no
+    chunk is MERGED, others are INGESTED; verified says whether all chunks counted as kept are there, each once."""
+    chunks, state = new_chunks(docs, active, dates)
+    kept = stash(chunks.join(first_copies(chunks).select("place"), "place", "left_semi"))
+    if near:
+        kept = kept.join(near_losers(near_index.arrivals(*as_texts(kept), own="doc_id")), "place", "left_anti")
+    kept = stash(kept)
+    return kept.drop("place", "effective_date"), outcomes(state, kept)
+
+
+def new_chunks(docs: DataFrame, active: DataFrame, dates: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The chunks of documents that are neither known nor empty, with place and effective_date; and the state of each document."""
     cleaned = docs.select("doc_id", "version", clean_text(F.col("text")).alias("text"))
     known = active.select("doc_id", F.lit(True).alias("known")).distinct()
-    state = cleaned.join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    chunks = stash(parent_child_chunks(state.where("not known and text != ''")))
-    place = ["doc_id", "version", "parent_index", "child_index"]
-    first = chunks.groupBy("content_hash").agg(F.min(F.struct(*place)).alias("first")).select("first.*")
-    kept = chunks.join(first, place, "left_semi")
-    counts = kept.groupBy("doc_id", "version").agg(F.count("*").alias("kept"))
+    state = stash(cleaned.join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.lit(False))))
+    chunks = parent_child_chunks(state.where("not known and text != ''")).withColumn("place", F.struct(*PLACE))
+    if dates is None:
+        chunks = chunks.withColumn("effective_date", F.lit(None).cast("date"))
+    else:
+        chunks = chunks.join(dates.select("doc_id", "effective_date"), "doc_id", "left")
+    return stash(chunks), state
+
+
+def as_texts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks as texts of the near-duplicate rule, by place, and their dates."""
+    return chunks.select(F.col("place").alias("doc_id"), F.col("content").alias("text")), chunks.select(F.col("place").alias("doc_id"), "effective_date")
+
+
+def near_losers(rows: DataFrame) -> DataFrame:
+    return rows.where("loser is not null").select(F.col("loser").alias("place")).distinct()
+
+
+def outcomes(state: DataFrame, kept: DataFrame) -> DataFrame:
+    """(doc_id, version, outcome, chunks, verified) of each document."""
+    counts = kept.groupBy("doc_id", "version").agg(F.count("*").alias("kept"), F.countDistinct("chunk_id").alias("ids"))
     outcome = F.when(F.col("known"), "SKIPPED").when(F.col("text") == "", "REJECTED").when(F.col("kept").isNull(), "MERGED").otherwise("INGESTED")
-    outcomes = state.join(counts, ["doc_id", "version"], "left").select("doc_id", "version", outcome.alias("outcome"), F.coalesce("kept", F.lit(0)).alias("chunks"))
-    return kept, outcomes
+    rows = state.join(counts, ["doc_id", "version"], "left")
+    return rows.select("doc_id", "version", outcome.alias("outcome"), F.coalesce("kept", F.lit(0)).alias("chunks"), F.coalesce(F.col("kept") == F.col("ids"), F.lit(True)).alias("verified"))
 
 
 def reparse(versions: DataFrame, asked: DataFrame) -> DataFrame:
