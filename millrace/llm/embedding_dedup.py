@@ -228,11 +228,14 @@ def block_links(table: pa.Table, least: float) -> pa.Table:
             for k in np.flatnonzero(linked & (near < least + CLOSE)):
                 linked[k] = exact_cosine(raw[x[k]], raw[y[k]]) >= least
             x, y = x[linked], y[linked]
+            if not len(x):
+                continue
             touched[node[x]] = touched[node[y]] = True
             labels = merge(labels, node[x], node[y])
             # a pair that meets in both its homes counts in the lower cell; two residents outside the core visit each other
             stranger = home[x] != c
-            back = np.isin(y * (MOST_CELLS + 1) + home[x], guest)
+            asked = y * (MOST_CELLS + 1) + home[x]
+            back = guest[np.minimum(np.searchsorted(guest, asked), len(guest) - 1)] == asked
             counts = ~stranger | ~back | (c < home[x])
             both = np.where(stranger, counts, core[y])
             np.add.at(found, x[counts], m[y[counts]])
