@@ -30,7 +30,7 @@ CHUNKS = regex.compile(f"[^{SPACE}]+")
 #: Below this code point letters, numbers and cases are alike in all Unicode versions concerned.
 SETTLED = "\u0530"
 #: Distinct chunks and pre-tokens that a worker remembers in each of two generations.
-CHUNKS_KEPT, PRETOKENS_KEPT = 150_000, 100_000
+CHUNKS_KEPT, PRETOKENS_KEPT = 350_000, 250_000
 
 SCHEMA = T.StructType(
     [
