@@ -153,24 +153,26 @@ def loaded(path: str) -> Bpe:
 
 
 @lru_cache(maxsize=1)
-def memo(path: str) -> Memo:
+def memo(path: str, kept: int) -> Memo:
     """Of each chunk its ids and its decoded strings as text, a blank behind each; kept by a worker from task to task."""
     bpe = loaded(path)
+    bpe.merged = Memo(bpe.merge, kept * PRETOKENS_KEPT // CHUNKS_KEPT)
     names, strings = {i: f"{i} " for i in bpe.strings}, {i: f"{s} " for i, s in bpe.strings.items()}
 
     def make(c: str) -> tuple[str, str]:
         ids = bpe.chunk(c)
         return "".join(map(names.__getitem__, ids)), "".join(map(strings.__getitem__, ids))
 
-    return Memo(make, CHUNKS_KEPT)
+    return Memo(make, kept)
 
 
-def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document: number of ids, and digests of the ids and of the text decoded from them."""
+def encode_digests(docs: DataFrame, path: str | None = None, kept: int = CHUNKS_KEPT) -> DataFrame:
+    """Per document: number of ids, and digests of the ids and of the text decoded from them. `kept` chunks (some 500 bytes each, with
+    their pre-tokens) are remembered by a worker in each of two generations; fewer take longer and change nothing."""
     path = path or default_path()
 
     def start():
-        bpe, known = loaded(path), memo(path)
+        bpe, known = loaded(path), memo(path, kept)
 
         def work(keys: list, texts: list) -> dict:
             counts, ids, decoded = [], [], []
