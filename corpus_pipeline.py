@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
 from millrace.session import stash
 
+#: Chunks that a worker remembers while it encodes; the workers also hold what the other stages left in them.
+TOKEN_CHUNKS = 60_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -40,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its number of tokens, and digests of the ids and of the text decoded from them."""
-    return bpe.encode_digests(docs)
+    return bpe.encode_digests(docs, kept=TOKEN_CHUNKS)
 
 
 STAGES = [
