@@ -106,24 +106,51 @@ def merge_candidates(existing: DataFrame, incoming: DataFrame, key: str = "id",
     return both.select(F.when(F.col("outcome") == "kept", F.col("o")).otherwise(F.col("n")).alias("r"), "outcome").select("r.*", "outcome")
 
 
-def select_candidates(judged: DataFrame, chats: DataFrame, limit: int | None = None) -> DataFrame:
+def flagged_candidates(judged: DataFrame, chats: DataFrame, useless: DataFrame | None = None) -> DataFrame:
+    """All rows that may become candidates, with what becomes of each in fate: kept, duplicate or no-answer."""
+    has = lambda c, other: F.col(c) if c in judged.columns else other
+    blank = F.lit(None).cast("string")
+    hard = [F.when(F.col("faithful") == 0, "hard-negative:faithfulness"), F.when(F.col("relevant") == 0, "hard-negative:relevance")]
+    a = judged.withColumns({"_channel": F.trim(has("channel", blank)), "_bad": F.lit(False)})
+    if useless is not None:
+        # documents with useless feedback meet the sources of answers by a join, once for each answer
+        sources = judged.select("id", F.explode("doc_ids").alias("doc_id")).join(useless.select("doc_id").distinct(), "doc_id", "left_semi")
+        a = a.drop("_bad").join(sources.select("id", F.lit(True).alias("_bad")).distinct(), "id", "left")
+    failed = (F.col("faithful") == 0) | (F.col("relevant") == 0)
+    tags = F.array_compact(F.array(*hard, F.when(F.col("_bad"), "hard-negative:useless-feedback"), F.when(F.col("_channel") != "", F.concat(F.lit("channel:"), "_channel"))))
+    first = F.when(F.coalesce(failed, F.lit(False)), 0).otherwise(1)
+    a = a.select(F.lit(0).alias("kind"), "id", "question", "answer", F.array_join(tags, ",").alias("tags"), first.alias("o1"), (-F.col("id")).alias("o2"), F.coalesce("_bad", F.lit(False)).alias("bad"))
+    b = chats.select(F.lit(1).alias("kind"), "id", "question", "answer", F.lit("channel:chat-history").alias("tags"), F.lit(0).alias("o1"), F.col("id").alias("o2"), F.lit(False).alias("bad"))
+    rows = a.unionByName(b).withColumn("key", question_key(F.coalesce("question", F.lit(""))))
+    rows = rows.withColumn("_none", (F.length("key") < 2) | (F.trim(F.coalesce("answer", F.lit(""))) == ""))
+    # rows without an answer are no rivals of those that have one
+    w = Window.partitionBy("key", "_none").orderBy("kind", "o1", "o2")
+    fate = F.when(F.col("_none"), "no-answer").when(F.row_number().over(w) == 1, "kept").otherwise("duplicate")
+    return rows.withColumn("fate", fate).drop("_none")
+
+
+def select_candidates(judged: DataFrame, chats: DataFrame, limit: int | None = None, useless: DataFrame | None = None) -> DataFrame:
     """Candidates for review (kind, id, question, answer, tags), one for each normalised question: judged answers first,
     failed ones ahead and later ones first, then pairs of questions and answers from conversations, in order of id.
 
-    judged: id, question, answer, faithful, relevant; chats: id, question, answer. Questions of fewer than two characters
-    and blank answers are left out. limit keeps the first rows of the whole order.
-    """
-    hard = F.array_compact(F.array(F.when(F.col("faithful") == 0, "hard-negative:faithfulness"), F.when(F.col("relevant") == 0, "hard-negative:relevance")))
-    a = judged.select(F.lit(0).alias("kind"), "id", "question", "answer", F.array_join(hard, ",").alias("tags"), F.when(F.size(hard) > 0, 0).otherwise(1).alias("o1"), (-F.col("id")).alias("o2"))
-    b = chats.select(F.lit(1).alias("kind"), "id", "question", "answer", F.lit("channel:chat-history").alias("tags"), F.lit(0).alias("o1"), F.col("id").alias("o2"))
-    rows = a.unionByName(b).withColumn("key", question_key(F.col("question"))).where((F.length("key") >= 2) & (F.trim("answer") != ""))
-    order = ["kind", "o1", "o2"]
-    first = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("_rank = 1")
+    judged: id, question, answer, faithful, relevant, and if there channel and doc_ids, the sources of the answer; chats: id,
+    question, answer; useless: the documents (doc_id) whose feedback was useless, which tag answers from them. Questions of fewer than
+    two characters and blank answers are left out. limit keeps the first rows of the whole order."""
+    first = flagged_candidates(judged, chats, useless).where("fate = 'kept'")
     if limit is not None:
-        first = first.orderBy(*order).limit(limit)
+        first = first.orderBy("kind", "o1", "o2").limit(limit)
     return first.select("kind", "id", F.trim("question").alias("question"), F.trim("answer").alias("answer"), "tags")
 
 
+def candidate_counters(judged: DataFrame, chats: DataFrame, useless: DataFrame | None = None) -> DataFrame:
+    """One row: judged answers and chats considered, those left out as duplicates or without an answer, and answers tagged for
+    useless feedback; over all rows, whatever limit a selection has."""
+    fate = lambda x: F.count_if(F.col("fate") == x)
+    return flagged_candidates(judged, chats, useless).agg(
+        F.count_if(F.col("kind") == 0).alias("judged"), F.count_if(F.col("kind") == 1).alias("chats"), fate("duplicate").alias("duplicates"), fate("no-answer").alias("unanswered"), F.count_if(F.col("bad") & (F.col("fate") == "kept")).alias("useless")
+    )
+
+
 def sample_answers(log: DataFrame, session: str, answer: str, percent: int) -> DataFrame:
     """Non-blank answers, one for each session and text, of which about percent are drawn by a digest, the same ones each time."""
     digest = F.sha2(F.trim(answer), 256)

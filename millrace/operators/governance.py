@@ -69,9 +69,12 @@ def critical_diff(a: Column, b: Column) -> Column:
 def judged_pairs(pairs: DataFrame, docs: DataFrame, dates: DataFrame) -> DataFrame:
     """(a, b, at, loser) of near-duplicate pairs (a < b): who would lose if both were there, the document of the earlier date if both
     have one, else the later arrival; null where the difference is critical. at: the time of the pair, (b, a)."""
-    texts = docs.select("doc_id", "text").join(dates.select("doc_id", "effective_date"), "doc_id", "left")
+    from .dedup import of_pairs
+
+    pairs = cut(pairs.select("a", "b").distinct())
+    texts = of_pairs(docs.select("doc_id", "text"), pairs, "a", "b").join(of_pairs(dates.select("doc_id", "effective_date"), pairs, "a", "b"), "doc_id", "left")
     side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"{n}_text"), F.col("effective_date").alias(f"{n}_date"))
-    rows = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").withColumn("critical", critical_diff(F.col("a_text"), F.col("b_text")))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("critical", critical_diff(F.col("a_text"), F.col("b_text")))
     loser = F.when(F.col("critical"), None).when(F.col("b_date") > F.col("a_date"), F.col("a")).otherwise(F.col("b"))
     return cut(rows.select("a", "b", F.struct("b", "a").alias("at"), loser.alias("loser")))
 
@@ -117,7 +120,8 @@ def exact_copies(docs: DataFrame, dates: DataFrame) -> tuple[DataFrame, DataFram
     copies = cut(exact_dedup(texts.select("doc_id", F.lit(0).alias("idx"), F.col("text").alias("content")), dates).select("doc_id", "content_hash", "active"))
     kept = copies.where("active").select(F.col("doc_id").alias("kept"), "content_hash")
     exact = copies.where("not active").join(kept, "content_hash").select(F.least("doc_id", "kept").alias("a"), F.greatest("doc_id", "kept").alias("b"), F.lit("EXACT").alias("outcome"), F.col("doc_id").alias("loser"))
-    return exact, cut(texts.join(kept.select(F.col("kept").alias("doc_id")), "doc_id", "left_semi"))
+    # texts that stay are told by id, and read again where they are needed: to store them would take their room once more
+    return exact, texts.join(cut(kept.select(F.col("kept").alias("doc_id"))), "doc_id", "left_semi")
 
 
 def resolve_copies(docs: DataFrame, dates: DataFrame) -> DataFrame:

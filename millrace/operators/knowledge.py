@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_similarity
+from ..session import stash
 
 
 def reconcile_pages(pages: DataFrame, least: float = 0.85, sure: float = 0.8) -> DataFrame:
@@ -84,17 +85,48 @@ def history_by_user(events: DataFrame, user: str, time: str, key: str, k: int) -
     return events.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def upsert_entities(seen: DataFrame, most: int = 2000, folded: int = 1000) -> DataFrame:
-    """One entity for each name and type of seen (name, type, description, order), its descriptions merged in order: one
-    that the other holds goes, others are joined by a semicolon; cut at `most` characters. The result is cut there, so of
-    the distinct descriptions of an entity only the first `folded` are gathered."""
-    once = seen.where("name is not null and trim(name) != ''").groupBy("name", "type", "description").agg(F.min("order").alias("order"))
-    ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("name", "type").orderBy("order", "description")))
-    some = F.sort_array(F.collect_list(F.when((F.col("r") <= folded) & (F.coalesce(F.col("description"), F.lit("")) != ""), F.struct("r", "description"))))
+#: Descriptions of one key that are folded at once; what is left is folded again, until one is left.
+FOLDED = 200
+
+
+def merged_descriptions(seen: DataFrame, key: list[str], most: int = 2000) -> DataFrame:
+    """(key, description): the distinct descriptions of each key of seen (key, description, order) merged in their order: one that the other
+    holds goes, others are joined by a semicolon; cut at `most` characters.
+
+    The first FOLDED descriptions of a key are folded, then of the others only those that would still change the text, FOLDED at
+    a time: no key is gathered whole. Each makes the text longer until it is full, and a full one changes only for one that holds
+    all of it, so a few rounds are enough."""
+    said = seen.where("coalesce(description, '') != ''").groupBy(F.struct(*key).alias("k"), "description").agg(F.min("order").cast("long").alias("order"))
     merged = lambda a, x: F.when(F.contains(a, x), a).when(F.contains(x, a), x).otherwise(F.concat(a, F.lit("；"), x))
     step = lambda a, x: F.left(F.when(a == "", x).otherwise(merged(a, x)), F.lit(most))
-    text = F.aggregate(F.transform("some", lambda x: x["description"]), F.lit(""), step)
-    return ranked.groupBy("name", "type").agg(some.alias("some")).select("name", "type", text.alias("description"))
+    rest, texts = stash(said), None
+    while not rest.isEmpty():
+        ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("order", "description"))).where(F.col("r") <= FOLDED)
+        some = ranked.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("r", "description", "order"))).alias("some"))
+        both = some.withColumn("text", F.lit("")) if texts is None else texts.drop("last").join(some, "k", "full").withColumn("text", F.coalesce("text", F.lit("")))
+        folded = F.aggregate(F.transform(F.coalesce("some", F.array().cast("array<struct<r:int,description:string,order:bigint>>")), lambda x: x["description"]), F.col("text"), step)
+        last = F.element_at("some", -1)
+        texts = stash(both.select("k", folded.alias("text"), F.struct(last["order"].alias("order"), last["description"].alias("description")).alias("last")))
+        later = rest.join(texts, "k").where(F.struct("order", "description") > F.col("last"))
+        changes = ~F.contains("text", "description") & ((F.length("text") < most) | (F.contains("description", "text") & (F.left("description", F.lit(most)) != F.col("text"))))
+        rest = stash(later.where(changes).select("k", "description", "order"))
+    keys = seen.select(F.struct(*key).alias("k")).distinct()
+    if texts is None:
+        return keys.select("k.*", F.lit("").alias("description"))
+    return keys.join(texts, "k", "left").select("k.*", F.coalesce("text", F.lit("")).alias("description"))
+
+
+def upsert_entities(seen: DataFrame, most: int = 2000) -> DataFrame:
+    """One entity for each name and type of seen (name, type, description, order), with its descriptions merged in order."""
+    return merged_descriptions(seen.where("name is not null and trim(name) != ''"), ["name", "type"], most)
+
+
+def list_entities(nodes: DataFrame, page: int, size: int, kind: str | None = None) -> DataFrame:
+    """One page, from 0, of 1 to 100 active entities (id, type, created_at, ..), of one type if given, newest first, with how many there are."""
+    size = min(max(size, 1), 100)
+    live = nodes.where("active") if kind is None else nodes.where(F.col("active") & (F.col("type") == kind))
+    total = live.agg(F.count("*").alias("total"))
+    return live.orderBy(F.desc("created_at"), F.desc("id")).offset(page * size).limit(size).crossJoin(F.broadcast(total))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -115,6 +147,15 @@ def deactivate_graph(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(gone, "doc_id", "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
 
 
+def tag_versions(chunks: DataFrame, tagged: DataFrame, domains: DataFrame, artifacts: DataFrame, length: int = 200) -> DataFrame:
+    """tag_chunks for chunks that also have version, page_no and active, with these carried on and the artifact that a chunk comes from: of
+    artifacts (doc_id, version, type, page_no, artifact_id) the OCR of its page, else the cleaned text of its version."""
+    new = chunks.join(tagged.select("chunk_id").distinct(), "chunk_id", "left_anti").join(domains, "doc_id", "left")
+    of = lambda kind, name, *key: artifacts.where(F.col("type") == kind).groupBy("doc_id", "version", *key).agg(F.min("artifact_id").alias(name))
+    new = new.join(of("PAGE_OCR", "_page", "page_no"), ["doc_id", "version", "page_no"], "left").join(of("CLEANED", "_text"), ["doc_id", "version"], "left")
+    return new.select("doc_id", "chunk_id", F.coalesce("domain", F.lit("general")).alias("domain"), F.left("content", F.lit(length)).alias("snippet"), "version", "page_no", "active", F.coalesce("_page", "_text").alias("artifact_id"))
+
+
 def tag_chunks(chunks: DataFrame, tagged: DataFrame, domains: DataFrame, length: int = 200) -> DataFrame:
     """A metadata row for each chunk (doc_id, chunk_id, content) without one: its document's domain, or general, and a snippet."""
     new = chunks.join(tagged.select("chunk_id").distinct(), "chunk_id", "left_anti")
@@ -180,6 +221,30 @@ def dashboard_7d(events: DataFrame, asof: str) -> DataFrame:
     return recent.agg(*(F.count_if(F.col("event_type") == k).alias(n) for k, n in kinds), F.countDistinct("chunk_id").alias("chunks"))
 
 
+def dashboard_week(events: DataFrame, chunks: DataFrame, conflicts: DataFrame, audits: DataFrame, violations: DataFrame, asof: str) -> DataFrame:
+    """dashboard_7d's row, and chunks (created_at) older than 180 days, conflicts that are open, and of the last seven days the blocks
+    among audits (result, created_at), the violations (violation, created_at) and their kinds, a closed list, in order."""
+    now = F.expr(f"timestamp_ntz'{asof}'")
+    recent = lambda df: df.where((F.col("created_at") <= now) & (F.col("created_at") > now - F.expr("interval 7 days")))
+    parts = [
+        chunks.agg(F.count_if(F.col("created_at") < now - F.expr("interval 180 days")).alias("old_chunks")),
+        conflicts.agg(F.count_if(F.col("status") == "OPEN").alias("open_conflicts")),
+        recent(audits).agg(F.count_if(F.col("result") == "BLOCK").alias("blocks")),
+        recent(violations).agg(F.count("*").alias("violations"), F.array_join(F.array_sort(F.collect_set("violation")), ",").alias("kinds")),
+    ]
+    out = dashboard_7d(events, asof)
+    for p in parts:
+        out = out.crossJoin(F.broadcast(p))
+    return out
+
+
+def feedback_to_events(feedback: DataFrame) -> DataFrame:
+    """feedback (feedback_id, chunk_id, useful, created_at) on chunks as usage events; feedback without a chunk or an opinion gives none."""
+    kind = F.when(F.col("useful"), "FEEDBACK_USEFUL").otherwise("FEEDBACK_USELESS")
+    rows = feedback.where("chunk_id is not null and useful is not null")
+    return rows.select(F.concat(F.lit("f"), F.col("feedback_id").cast("string")).alias("event_id"), "chunk_id", kind.alias("event_type"), "created_at")
+
+
 def feedback_stats(events: DataFrame) -> DataFrame:
     """(chunk_id, useful, useless) of chunks with feedback."""
     kind = F.col("event_type")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stash
+
 DAY = 86400.0
 
 
@@ -61,10 +63,33 @@ def retrieval_hit_rate(events: DataFrame) -> DataFrame:
     return rate(events.where(kind == "RETRIEVED").join(label, "chunk_id"), F.col("useful") == 1)
 
 
+def exact_percentiles(rows: DataFrame, key: str, value: str, shares: list[float], buckets: int = 256) -> DataFrame:
+    """(key, share, value, n): nearest-rank percentiles of a value for each key; nulls are left out, and a key without values.
+
+    Values are counted first, then dealt to buckets between estimated quantiles; sums of buckets say in which one a rank falls,
+    and only that one is put in order. So no task holds all values of a key, and the estimates only shape the buckets."""
+    # a struct around the key joins null keys too
+    counts = stash(rows.where(F.col(value).isNotNull()).groupBy(F.struct(key).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("c")))
+    cuts = counts.groupBy("k").agg(F.array_distinct(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10 * buckets)).alias("cuts"))
+    place = F.size(F.filter("cuts", lambda x: x < F.col("v")))
+    dealt = stash(counts.join(cuts, "k").select("k", "v", "c", place.alias("bucket")))
+    # a key has at most as many rows here as there are buckets
+    sums = dealt.groupBy("k", "bucket").agg(F.sum("c").alias("s"))
+    before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("offset", F.coalesce(F.sum("s").over(before), F.lit(0))).withColumn("n", F.sum("s").over(Window.partitionBy("k")))
+    asked = sums.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("n"))))
+    asked = asked.where("offset < rank and rank <= offset + s").select("k", "bucket", "share", "rank", "offset", "n")
+    held = dealt.join(asked, ["k", "bucket"])
+    upto = F.sum("c").over(Window.partitionBy("k", "bucket", "share").orderBy("v")) + F.col("offset")
+    reached = held.withColumn("upto", upto).where("upto >= rank")
+    return reached.groupBy("k", "share").agg(F.min("v").alias("value"), F.first("n").alias("n")).select(f"k.{key}", "share", "value", "n")
+
+
 def response_times(calls: DataFrame) -> DataFrame:
     """Nearest-rank percentiles of the latencies of calls that went well."""
-    ok = calls.where("status = 'OK' and latency_ms is not null")
-    return ok.groupBy("purpose").agg(F.expr("percentile_disc(0.5) within group (order by latency_ms)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95"), F.count("*").alias("n"))
+    found = exact_percentiles(calls.where("status = 'OK'"), "purpose", "latency_ms", [0.5, 0.95])
+    at = lambda share: F.max(F.when(F.col("share") == share, F.col("value")))
+    return found.groupBy("purpose").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("n").alias("n"))
 
 
 def estimate_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:

@@ -22,22 +22,21 @@ BUCKETS = 64
 
 
 def signed_texts(texts: DataFrame, dates: DataFrame) -> DataFrame:
-    """(doc_id, text, effective_date, hashes, signature) of documents with shingles."""
-    dated = texts.select("doc_id", "text").join(dates.select("doc_id", "effective_date"), "doc_id", "left")
-    return stash(dated.join(minhash(texts), "doc_id"))
+    """(doc_id, effective_date, hashes, signature) of documents with shingles."""
+    return stash(minhash(texts).join(dates.select("doc_id", "effective_date"), "doc_id", "left"))
 
 
-def meet(new: DataFrame, bands: DataFrame, old: DataFrame, old_bands: DataFrame, own: str | None, threshold: float) -> DataFrame:
-    """(a, b, outcome, loser) of new documents among themselves and against old ones, all there before them; `own`: a field
-    of the id that two documents of a pair may not share."""
+def meet(new: DataFrame, bands: DataFrame, old: DataFrame, old_bands: DataFrame, texts: DataFrame, own: str | None, threshold: float) -> DataFrame:
+    """(a, b, outcome, loser) of new documents among themselves and against old ones, all there before them, with the texts
+    (doc_id, text) of both; `own`: a field of the id that two documents of a pair may not share."""
     apart = (lambda df: df.where(F.col("a")[own] != F.col("b")[own])) if own else (lambda df: df)
+    dates = old.select("doc_id", "effective_date").unionByName(new.select("doc_id", "effective_date"))
     first = similar(stash(apart(lsh_candidates(bands, old_bands))), old, new, threshold)
-    either = old.unionByName(new)
-    met = judged_pairs(first, either, either)
+    met = judged_pairs(first, texts, dates)
     threatened = met.where("loser = a").select("a").distinct()
     gone = met.where("loser = b").join(threatened, "a", "left_anti").select(F.col("b").alias("doc_id")).distinct()
     second = similar(stash(apart(lsh_candidates(bands.join(gone, "doc_id", "left_anti")))), new, new, threshold)
-    return settled(met.unionByName(judged_pairs(second, new, new)))
+    return settled(met.unionByName(judged_pairs(second, texts, dates)))
 
 
 def arrivals(texts: DataFrame, dates: DataFrame, own: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -53,12 +52,11 @@ def arrivals(texts: DataFrame, dates: DataFrame, own: str | None = None, thresho
     parts, old, old_bands, at = [], signed.where("false"), bands.where("false"), F.lit(True)
     for end in [*ends, None]:
         mine = at & (F.col("doc_id") <= end) if end is not None else at
-        rows = stash(meet(signed.where(mine), bands.where(mine), old, old_bands, own, threshold))
-        parts.append(rows)
+        parts.append(stash(meet(signed.where(mine), bands.where(mine), old, old_bands, texts, own, threshold)))
         if end is not None:
             at = F.col("doc_id") > end
-            lost = reduce(DataFrame.unionByName, parts).where("loser is not null").select(F.col("loser").alias("doc_id")).distinct()
-            old, old_bands = (stash(x.where(F.col("doc_id") <= end).join(lost, "doc_id", "left_anti")) for x in (signed, bands))
+            lost = stash(reduce(DataFrame.unionByName, parts).where("loser is not null").select(F.col("loser").alias("doc_id")).distinct())
+            old, old_bands = (x.where(F.col("doc_id") <= end).join(lost, "doc_id", "left_anti") for x in (signed, bands))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -93,10 +91,12 @@ class NearIndex:
         touched = [r.bucket for r in bands.select("bucket").distinct().collect()]
         near = self.part("bands", batch, bands).where(F.col("bucket").isin(touched)).join(bands.select("band").distinct(), "band", "left_semi")
         near = stash(near.join(went, "doc_id", "left_anti"))
-        old = stash(self.part("documents", batch, new).join(near.select("doc_id").distinct(), "doc_id", "left_semi"))
-        rows = stash(meet(new, bands.drop("bucket"), old, near.drop("bucket"), self.own, threshold))
+        told = new.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "text", "effective_date", "hashes")
+        old = stash(self.part("documents", batch, told).join(near.select("doc_id").distinct(), "doc_id", "left_semi"))
+        both = old.select("doc_id", "text").unionByName(texts.select("doc_id", "text"))
+        rows = stash(meet(new.drop("signature"), bands.drop("bucket"), old, near.drop("bucket"), both, self.own, threshold))
         lost = rows.where("loser is not null").select(F.col("loser").alias("doc_id")).distinct()
-        self.write("documents", batch, new.join(lost, "doc_id", "left_anti"))
+        self.write("documents", batch, told.join(lost, "doc_id", "left_anti"))
         self.write("bands", batch, bands.join(lost, "doc_id", "left_anti"))
         self.write("lost", batch, lost)
         return rows

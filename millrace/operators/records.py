@@ -50,7 +50,12 @@ def arith(expression: str, known: dict[str, Column]) -> Column:
         raise RuleError(str(e)) from e
 
 
-def step_column(op: str, p: dict, known: dict[str, Column]) -> Column:
+def step_column(op: str, p: dict, known: dict[str, Column], maps: set[str] = frozenset()) -> Column:
+    if op == "materialDiff":
+        for side in (p["left"], p["right"]):
+            if side not in maps:
+                raise RuleError(f"materialDiff needs a map: {side}")
+        return material_diff(known[p["left"]], known[p["right"]])
     if op == "const":
         return F.lit(p["value"])
     if op == "arith":
@@ -79,12 +84,17 @@ def run_rules(df: DataFrame, program: dict) -> DataFrame:
     """df with the program's outputs, which replace columns of the same name, and a status: FAILED where arithmetic has no result. The program
     (steps: op, params, to; outputs) compiles to columns; steps may use fields and earlier steps."""
     known = {c: F.col(f"`{c}`") for c in df.columns}
+    maps = {c for c, kind in df.dtypes if kind.startswith("map<")}
     failed = F.lit(False)
     made: list[str] = []
     for s in program["steps"]:
         if not s.get("to"):
             raise RuleError("a step needs a target")
-        known[s["to"]] = step_column(s["op"], s.get("params", {}), known)
+        known[s["to"]] = step_column(s["op"], s.get("params", {}), known, maps)
+        if s["op"] == "map" and s["params"]["field"] in maps:
+            maps.add(s["to"])
+        else:
+            maps.discard(s["to"])
         failed = failed | known[s["to"]].isNull() if s["op"] == "arith" else failed
         made.append(s["to"])
     outputs = program.get("outputs") or made
@@ -111,8 +121,16 @@ def latest_version(versions: DataFrame, doc: str, version: str) -> DataFrame:
 
 
 def upsert_relations(seen: DataFrame) -> DataFrame:
-    """One relation for each source, target and type, weighing one for each sighting."""
-    return seen.groupBy("source", "target", "type").agg(F.sum(F.lit(1.0)).alias("weight"))
+    """One relation for each source, target and type, weighing one for each sighting; where seen has description and order, with
+    its descriptions merged as those of entities are."""
+    key = ["source", "target", "type"]
+    weights = seen.groupBy(*key).agg(F.sum(F.lit(1.0)).alias("weight"))
+    if "description" not in seen.columns:
+        return weights
+    from .knowledge import merged_descriptions
+
+    # a struct around the keys joins null keys too
+    return weights.withColumn("k", F.struct(*key)).join(merged_descriptions(seen, key).select(F.struct(*key).alias("k"), "description"), "k").drop("k")
 
 
 def neighbours(edges: DataFrame, matched: DataFrame, most: int = 10) -> DataFrame:
@@ -124,6 +142,14 @@ def neighbours(edges: DataFrame, matched: DataFrame, most: int = 10) -> DataFram
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("entity", "neighbour")
 
 
+def neighbour_edges(edges: DataFrame, matched: DataFrame) -> DataFrame:
+    """The edges (source, target, ..) from or to matched entities (entity), each once."""
+    ends = matched.select("entity").distinct()
+    out = edges.join(ends.withColumnRenamed("entity", "source"), "source", "left_semi").select(*edges.columns)
+    back = edges.join(ends.withColumnRenamed("entity", "target"), "target", "left_semi").select(*edges.columns)
+    return out.unionByName(back).distinct()
+
+
 def can_access(df: DataFrame, identity: str, sub_domain: str) -> DataFrame:
     """df with allowed: whether the identity may read the sub-domain; an unknown identity counts as business."""
     who = F.when(F.lower(identity).isin(list(ALLOWED)), F.lower(identity)).otherwise("business")

@@ -12,7 +12,7 @@ from ..operators import dedup, metrics, records, retrieval, search_index
 from ..session import spread
 from ..sources import tables as S
 from ..streaming import streams
-from . import curation, knowledge, verdicts
+from . import completions, curation, knowledge, verdicts
 from .base import CALLS, CHUNKS, COSTED, DATES, ENTRIES, EVENTS, asked, costed, events, simple
 from .search import BM25, stored_index, text_index
 
