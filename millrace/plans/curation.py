@@ -52,8 +52,8 @@ simple("l6_judge_error_rates", judge_errors, f"SELECT * FROM {ERRORS}")
 simple("l7_human_edit_rate", edits, f"SELECT * FROM {EDITS}")
 simple(
     "l10_retrieval_golden",
-    lambda t: E.retrieval_golden(t("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), (F.col("o_orderstatus") != "F").alias("expected")), t("orders").where("o_orderkey % 3 != 0").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"))),
-    "SELECT query_id, expected, found, forbidden, CASE WHEN expected = 0 THEN 1.0 ELSE round(found / expected, 6) END AS score, found = expected AND forbidden = 0 AS passed FROM (SELECT o_custkey AS query_id, count(*) FILTER (o_orderstatus <> 'F') AS expected, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 3 <> 0) AS found, count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 3 <> 0) AS forbidden FROM orders GROUP BY 1)",
+    lambda t: E.retrieval_golden(t("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), (F.col("o_orderstatus") != "F").alias("expected")), t("orders").where("o_orderpriority != '5-LOW'").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"))),
+    "SELECT query_id, expected, found, forbidden, CASE WHEN expected = 0 THEN 1.0 ELSE round(found / expected, 6) END AS score, found = expected AND forbidden = 0 AS passed FROM (SELECT o_custkey AS query_id, count(*) FILTER (o_orderstatus <> 'F') AS expected, count(*) FILTER (o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW') AS found, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority <> '5-LOW') AS forbidden FROM orders GROUP BY 1)",
 )
 
 
@@ -75,13 +75,14 @@ simple("l17_similarity", lambda t: t("embeddings").select("vec_id", "embedding")
 
 def merged(t):
     status = F.when(F.col("o_orderstatus") == "O", "pending").otherwise("approved")
-    rows = t("orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_totalprice").alias("value"))
-    new = rows.where("id % 2 = 0").select("id", F.lit("pending").alias("status"), (-F.col("value")).alias("value"))
-    return E.merge_candidates(rows.where("id % 3 != 0"), new, force=True)
+    rows = lambda df: df.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_totalprice").alias("value"))
+    new = rows(t("orders").where("o_orderstatus != 'F'")).select("id", F.lit("pending").alias("status"), (-F.col("value")).alias("value"))
+    return E.merge_candidates(rows(t("orders").where("o_orderpriority != '5-LOW'")), new, force=True)
 
 
 simple("l18_merge_candidates", merged, """
-WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'approved' END AS status, o_totalprice AS value FROM orders), x AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'added' WHEN id % 2 = 0 AND status = 'pending' THEN 'replaced' ELSE 'kept' END AS outcome FROM o WHERE id % 3 <> 0 OR id % 2 = 0)
+WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'approved' END AS status, o_totalprice AS value, o_orderpriority <> '5-LOW' AS old, o_orderstatus <> 'F' AS new FROM orders),
+x AS (SELECT *, CASE WHEN NOT old THEN 'added' WHEN new AND status = 'pending' THEN 'replaced' ELSE 'kept' END AS outcome FROM o WHERE old OR new)
 SELECT id, CASE WHEN outcome = 'kept' THEN status ELSE 'pending' END AS status, CASE WHEN outcome = 'kept' THEN value ELSE -value END AS value, outcome FROM x""")
 
 
@@ -115,8 +116,8 @@ def conflicts(t):
 
 
 ACTION_LIST = ("KEEP_A", "DELETE_A", "DELETE_B", "IGNORED", "BURN")
-simple("e6_apply_resolutions", lambda t: G.apply_resolutions(conflicts(t), t("orders").where("o_orderkey % 6 != 5").select(F.col("o_orderkey").alias("conflict_id"), F.element_at(F.array(*map(F.lit, ACTION_LIST)), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("action"))), f"""
-WITH c AS (SELECT o_orderkey AS conflict_id, o_custkey AS a, o_custkey + 1 AS b, CASE WHEN o_orderkey % 6 <> 5 THEN {list(ACTION_LIST)}[o_orderkey % 5 + 1] END AS action FROM orders)
+simple("e6_apply_resolutions", lambda t: G.apply_resolutions(conflicts(t), t("orders").where("o_orderpriority != '5-LOW'").select(F.col("o_orderkey").alias("conflict_id"), F.element_at(F.array(*map(F.lit, ACTION_LIST)), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("action"))), f"""
+WITH c AS (SELECT o_orderkey AS conflict_id, o_custkey AS a, o_custkey + 1 AS b, CASE WHEN o_orderpriority <> '5-LOW' THEN {list(ACTION_LIST)}[o_orderkey % 5 + 1] END AS action FROM orders)
 SELECT conflict_id, a, b, CASE WHEN action IS NULL THEN 'OPEN' WHEN action = 'BURN' THEN 'ERROR' WHEN action = 'IGNORED' THEN 'IGNORED' ELSE 'RESOLVED' END AS status, CASE action WHEN 'DELETE_A' THEN a WHEN 'DELETE_B' THEN b END AS deactivated FROM c""")
 simple("e7_conflict_view", lambda t: G.conflict_view(conflicts(t), t("customer").withColumnRenamed("c_custkey", "chunk_id"), "c_name", "c_mktsegment"), "SELECT o_orderkey AS conflict_id, o_custkey AS a, o_custkey + 1 AS b, x.c_name AS a_c_name, x.c_mktsegment AS a_c_mktsegment, y.c_name AS b_c_name, y.c_mktsegment AS b_c_mktsegment FROM orders LEFT JOIN customer x ON x.c_custkey = o_custkey LEFT JOIN customer y ON y.c_custkey = o_custkey + 1")
 # fields and reviews
@@ -131,7 +132,7 @@ def validated(t):
 
 simple("i10_validate_fields", validated, "SELECT p_partkey, CASE WHEN length(CAST(p_size AS VARCHAR)) <> 1 THEN 'PATTERN' ELSE '' END AS size, CASE WHEN lower(p_brand) IN ('brand#11', 'brand#12') THEN 'NUMBER' ELSE 'NUMBER,ENUM' END AS brand, ['DATE', '', 'REQUIRED', 'DATE'][p_partkey % 4 + 1] AS day FROM part")
 simple("i12_review_cases", lambda t: G.review_cases(t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("field_key"), (F.col("l_returnflag") != "A").alias("valid"), (F.col("l_discount") * 10).alias("confidence")), t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linestatus").alias("rule"), (F.col("l_tax") > 0.02).alias("match"))), "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS VARCHAR) AS subject, 'LOW_CONFIDENCE' AS kind FROM lineitem WHERE l_returnflag = 'A' OR l_discount * 10 < 0.75 UNION ALL SELECT DISTINCT l_orderkey, l_linestatus, 'MATERIAL_DIFF' FROM lineitem WHERE NOT l_tax > 0.02")
-simple("i13_dispose_reviews", lambda t: G.dispose_reviews(t("orders").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") == "O", "OPEN").otherwise("APPROVED").alias("status")), t("orders").where("o_orderkey % 4 != 0").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderkey") % 4 == 1, "EDIT").when(F.col("o_orderkey") % 4 == 2, "REJECT").otherwise("OTHER").alias("action"))), "SELECT o_orderkey AS case_id, CASE WHEN o_orderstatus <> 'O' THEN 'APPROVED' ELSE ['OPEN', 'EDITED', 'REJECTED', 'OPEN'][o_orderkey % 4 + 1] END AS status FROM orders")
+simple("i13_dispose_reviews", lambda t: G.dispose_reviews(t("orders").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") == "O", "OPEN").otherwise("APPROVED").alias("status")), t("orders").where("o_orderpriority != '5-LOW'").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderkey") % 4 == 1, "EDIT").when(F.col("o_orderkey") % 4 == 2, "REJECT").otherwise("OTHER").alias("action"))), "SELECT o_orderkey AS case_id, CASE WHEN o_orderstatus <> 'O' THEN 'APPROVED' WHEN o_orderpriority = '5-LOW' THEN 'OPEN' ELSE ['OPEN', 'EDITED', 'REJECTED', 'OPEN'][o_orderkey % 4 + 1] END AS status FROM orders")
 # lineage
 simple("j2_field_state", lambda t: G.field_state(t("lineitem").select(F.col("l_partkey").alias("doc_id"), F.col("l_returnflag").alias("field_key"), F.col("l_linenumber").alias("version"), F.col("l_quantity").alias("value"), (F.col("l_linestatus") == "O").alias("reviewed"))), "SELECT doc_id, field_key, l.version AS version, l.value AS value, CASE WHEN l.reviewed THEN 'HUMAN' ELSE 'MODEL' END AS source, versions FROM (SELECT l_partkey AS doc_id, l_returnflag AS field_key, max(struct_pack(version := l_linenumber, value := l_quantity, reviewed := l_linestatus = 'O')) AS l, count(DISTINCT l_linenumber) AS versions FROM lineitem GROUP BY 1, 2)")
 simple("j3_add_edges", lambda t: G.add_edges(t("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey").distinct(), t("lineitem").select("l_orderkey", "l_partkey"), ["l_orderkey", "l_partkey"]), "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem")

@@ -33,8 +33,8 @@ PROGRAM = {
 simple("a1_scan", lambda t: t("lineitem").where("l_returnflag = 'R' and l_quantity > 45").select("l_orderkey", "l_linenumber", "l_quantity"), "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")
 simple(
     "a8_merge_latest",
-    lambda t: S.merge_latest(t("orders").select("o_orderkey", "o_totalprice"), t("lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("o_orderkey"), (-F.col("l_extendedprice")).alias("o_totalprice")), ["o_orderkey"], ["o_totalprice"]),
-    "SELECT o.o_orderkey, coalesce(u.p, o.o_totalprice) AS o_totalprice FROM orders o LEFT JOIN (SELECT l_orderkey, max(-l_extendedprice) AS p FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1) u ON u.l_orderkey = o.o_orderkey UNION ALL SELECT l_orderkey, max(-l_extendedprice) FROM lineitem WHERE l_orderkey % 7 = 0 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1",
+    lambda t: S.merge_latest(t("orders").select("o_orderkey", "o_totalprice"), t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (-F.col("l_extendedprice")).alias("o_totalprice")), ["o_orderkey"], ["o_totalprice"]),
+    "SELECT o.o_orderkey, coalesce(u.p, o.o_totalprice) AS o_totalprice FROM orders o LEFT JOIN (SELECT l_orderkey, max(-l_extendedprice) AS p FROM lineitem GROUP BY 1) u ON u.l_orderkey = o.o_orderkey UNION ALL SELECT l_orderkey, max(-l_extendedprice) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1",
 )
 # text
 simple("b1_clean_text", lambda t: t("documents").select("doc_id", X.clean_text(F.col("text")).alias("text")), rf"""
@@ -105,7 +105,7 @@ simple("h4_bucket", lambda t: records.bucket_decision(t("customer"), "rollout",
 simple("i7_run_rules", lambda t: records.run_rules(t("lineitem"), PROGRAM).select("l_orderkey", "l_linenumber", F.round("net", 4).alias("net"), "returned", "known", "dear", "status"), "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, l_returnflag IN ('A', 'R') AS returned, l_linestatus IN ('O', 'F') AS known, l_extendedprice * (1 - l_discount) / l_quantity > 1000 AS dear, 'SUCCESS' AS status FROM lineitem")
 simple("i6_material_diff", lambda t: t("part").select("p_partkey", F.explode(records.material_diff(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string")), F.create_map(F.lit("brand"), F.lit("Brand#1"), F.lit("kind"), F.col("p_type")))).alias("d")).select("p_partkey", "d.*"), "SELECT p_partkey, 'brand' AS key, p_brand AS value_a, 'Brand#1' AS value_b, p_brand IS NOT DISTINCT FROM 'Brand#1' AS match FROM part UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR), NULL, p_size IS NULL FROM part UNION ALL SELECT p_partkey, 'kind', NULL, p_type, p_type IS NULL FROM part")
 simple("j1_latest_version", lambda t: records.latest_version(t("lineitem"), "l_orderkey", "l_linenumber"), "SELECT l_orderkey, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1")
-simple("j5_version_diff", lambda t: records.version_diff(t("orders").where("o_orderkey % 11 != 0"), t("orders").where("o_orderkey % 13 != 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))), "o_orderkey", "o_totalprice"), "SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_totalprice AS value_a, b.p AS value_b, a.o_totalprice IS DISTINCT FROM b.p AS changed FROM (SELECT * FROM orders WHERE o_orderkey % 11 <> 0) a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p FROM orders WHERE o_orderkey % 13 <> 0) b ON a.o_orderkey = b.o_orderkey")
+simple("j5_version_diff", lambda t: records.version_diff(t("orders").where("o_orderpriority != '5-LOW'"), t("orders").where("o_orderstatus != 'P'").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))), "o_orderkey", "o_totalprice"), "SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_totalprice AS value_a, b.p AS value_b, a.o_totalprice IS DISTINCT FROM b.p AS changed FROM (SELECT * FROM orders WHERE o_orderpriority <> '5-LOW') a FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p FROM orders WHERE o_orderstatus <> 'P') b ON a.o_orderkey = b.o_orderkey")
 # metrics
 F4 = ", ".join(f"count(*) FILTER (event_type = '{k}') AS {n}" for k, n in (("RETRIEVED", "retrieved"), ("CITED", "cited"), ("FEEDBACK_USEFUL", "useful"), ("FEEDBACK_USELESS", "useless")))
 simple("k1_snapshot", lambda t: metrics.knowledge_snapshot(events(t), ASOF), f"SELECT {F4}, count(DISTINCT chunk_id) AS chunks FROM {EVENTS} WHERE created_at BETWEEN TIMESTAMP '{ASOF}' - INTERVAL 30 DAY AND TIMESTAMP '{ASOF}'")

@@ -203,11 +203,11 @@ def verdict_replies(t):
     n = F.col("doc_id") % 6
     said = lambda c: F.when(n == 3, "null").when(n == 4, F.concat(F.lit('" True"'))).otherwise(F.when(F.col(c) == 1, "true").otherwise("false"))
     body = F.concat(F.lit('{"faithfulness": '), said("quality"), F.lit(', "relevance": '), F.when(n == 3, '"maybe"').otherwise(said("toxic")), F.lit(', "reason": "r"}'))
-    return t("labels").where("doc_id % 6 != 5").select(F.col("doc_id").alias("id"), F.when(n == 2, F.lit("no idea")).otherwise(body).alias("reply"))
+    return t("labels").where("quality IS NOT NULL").select(F.col("doc_id").alias("id"), F.when(n == 2, F.lit("no idea")).otherwise(body).alias("reply"))
 
 
 simple("l21_apply_verdicts", lambda t: V.apply_verdicts(t("labels").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("attempts")), verdict_replies(t)), """
-WITH l AS (SELECT doc_id AS id, doc_id % 4 + 1 AS attempts, doc_id % 6 IN (0, 1, 4) AS judged, doc_id % 6 = 4 AS quoted, coalesce(quality = 1, false) AS q, coalesce(toxic = 1, false) AS x FROM labels)
+WITH l AS (SELECT doc_id AS id, doc_id % 4 + 1 AS attempts, doc_id % 6 IN (0, 1, 4, 5) AND quality IS NOT NULL AS judged, doc_id % 6 = 4 AS quoted, coalesce(quality = 1, false) AS q, coalesce(toxic = 1, false) AS x FROM labels)
 SELECT id, attempts, CASE WHEN judged THEN quoted OR q END AS faithful, CASE WHEN judged THEN quoted OR x END AS relevant, CASE WHEN judged THEN 'r' END AS reason,
   CASE WHEN judged THEN 'JUDGED' WHEN attempts >= 3 THEN 'FAILED' ELSE 'PENDING' END AS status FROM l""")
 simple("b9_normalise_samples", lambda t: V.normalise_samples(t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"), F.when(F.col("role") == "user", F.col("role")).alias("source"), F.when(F.col("turn") > 1, F.array("role")).alias("tags"))), """
