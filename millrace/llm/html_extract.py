@@ -15,6 +15,8 @@ each get their own result; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -46,15 +48,90 @@ NEUTRAL = frozenset(
     "site main page post entry article blog global primary secondary top bottom left right upper lower inner outer mini big small sticky fixed mobile desktop user reader js bar box block list links link buttons button icons section container wrapper wrap holder slot unit area zone item items group thread row col column panel text title label content count id x is has the form".split()
 )
 
-TOKEN = re.compile(
-    rf"""<!--(?:.*?-->|.*)
-    |<(?P<raw>{RAW})\b(?:"[^"]*"|'[^']*'|[^>"'])*+>(?:.*?</(?P=raw)\s*>|.*)
-    |<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*+)>
-    |<[!?/][^>]*+(?:>|\Z)
-    |</?[a-z][^<>]*+(?:>|\Z)
-    |(?P<text>[^<]++|<)""",
-    re.S | re.I | re.X,
-)
+RAW_OPEN = re.compile(rf"<({RAW})\b", re.I)
+RAW_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
+TAG_OPEN = re.compile(r"<(/?)[a-z]", re.I)
+#: A tag that never ends as one: up to the next mark of a tag, or the end of the page.
+LOOSE = re.compile(r"</?[a-z][^<>]*+(?:>|\Z)", re.I)
+NAME_CHARS = 100
+NAME, STOP = re.compile(rf"[^\s/>]{{0,{NAME_CHARS}}}+"), re.compile(r"[\s/>]")
+
+
+class Ends:
+    """Where tags end: at the first > that is not between quotes. What is found is kept for all marks on the way, so that
+    a page of tags without an end is walked once, not from each of them."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.marks = [m.start() for m in re.finditer("[\"'>]", html)]
+        self.known: dict[int, int] = {}
+        self.stops: list[int] | None = None
+
+    def tag(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin here; -1 if there is none."""
+        way, end = [], -1
+        while (i := bisect_left(self.marks, at)) < len(self.marks):
+            mark = self.marks[i]
+            if mark in self.known:
+                end = self.known[mark]
+                break
+            way.append(mark)
+            if self.html[mark] == ">":
+                end = mark
+                break
+            if (closing := self.html.find(self.html[mark], mark + 1)) < 0:
+                break
+            at = closing + 1
+        self.known.update(dict.fromkeys(way, end))
+        return end
+
+    def name(self, at: int) -> int:
+        """Where a name that begins here ends."""
+        end = NAME.match(self.html, at).end()
+        if end - at < NAME_CHARS:
+            return end
+        if self.stops is None:
+            self.stops = [m.start() for m in STOP.finditer(self.html)]
+        i = bisect_left(self.stops, at)
+        return self.stops[i] if i < len(self.stops) else len(self.html)
+
+
+def tokens(html: str) -> Iterator[tuple[str | None, str, bool, str]]:
+    """(text, name, closing, attributes) of a page in order: text, or tags, whose text is null. Comments, declarations and elements
+    whose content is no text are left out; what is malformed ends at the next mark of a tag. The time grows with the page alone."""
+    ends, at, n = Ends(html), 0, len(html)
+    while at < n:
+        if html[at] != "<":
+            to = html.find("<", at)
+            to = n if to < 0 else to
+            yield html[at:to], "", False, ""
+            at = to
+            continue
+        if html.startswith("<!--", at):
+            to = html.find("-->", at + 4)
+            at = n if to < 0 else to + 3
+            continue
+        if (m := RAW_OPEN.match(html, at)) and (end := ends.tag(m.end())) >= 0:
+            close = RAW_CLOSE[m[1].lower()].search(html, end + 1)
+            at = close.end() if close else n
+            continue
+        if m := TAG_OPEN.match(html, at):
+            begin = m.end() - 1
+            stop = ends.name(begin)
+            if (end := ends.tag(stop)) >= 0:
+                yield None, html[begin:stop].lower(), m[1] == "/", html[stop:end]
+                at = end + 1
+                continue
+        if html[at + 1 : at + 2] in ("!", "?", "/"):
+            to = html.find(">", at + 2)
+            at = n if to < 0 else to + 1
+        elif m := LOOSE.match(html, at):
+            at = m.end()
+        else:
+            yield "<", "", False, ""
+            at += 1
+
+
 ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -114,8 +191,7 @@ def to_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
         now.clear()
         linked = 0
 
-    for m in TOKEN.finditer(html):
-        text = m["text"]
+    for text, name, closing, attrs in tokens(html):
         if text is not None:
             if not skip:
                 text = unescape(text)
@@ -123,11 +199,6 @@ def to_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
                 if in_link:
                     linked += len(text)
             continue
-        name = m["name"]
-        if name is None:
-            continue
-        name = name.lower()
-        closing = m["close"] == "/"
         if skip:
             if name == skip:
                 depth += -1 if closing else 1
@@ -151,7 +222,7 @@ def to_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
             if name in ROOT:
                 roots = max(0, roots - 1)
             continue
-        if name not in VOID and beside(name, m["attrs"]):
+        if name not in VOID and beside(name, attrs):
             if now:
                 flush()
             skip, depth = name, 1
