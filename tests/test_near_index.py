@@ -10,7 +10,7 @@ from millrace.operators.dedup import all_near_dup_pairs
 WORDS = [f"w{i}" for i in range(400)]
 
 
-def copies(seed, n=160):
+def copies(seed, n=80):
     """(doc_id, text, effective_date): groups of near copies, one of them with a third of all rows; some differ in a digit only."""
     rng = random.Random(seed)
     bases = [rng.sample(WORDS, 60) for _ in range(12)]
@@ -66,20 +66,20 @@ def test_arrivals_in_stretches_equal_the_rule(spark, monkeypatch):
     assert {r[2] for r in want} == {"CONFLICT", "MERGED"}
     assert rows_of(near_index.arrivals(texts, dates)) == want
     monkeypatch.setattr(near_index, "FIRST", 20)
-    monkeypatch.setattr(near_index, "GROWTH", 3)
+    monkeypatch.setattr(near_index, "GROWTH", 4)
     assert rows_of(near_index.arrivals(texts, dates)) == want
 
 
 def test_three_batches_equal_all_at_once_and_a_replay_changes_nothing(spark, tmp_path):
-    texts, dates = tables(spark, copies(2, 90))
+    texts, dates = tables(spark, copies(2, 60))
     want = expected(spark, texts, dates)
     index = near_index.NearIndex(spark, str(tmp_path / "index"), buckets=8)
-    parts = [texts.where(f"doc_id >= {lo} and doc_id < {hi}") for lo, hi in ((0, 20), (20, 55), (55, 90))]
+    parts = [texts.where(f"doc_id >= {lo} and doc_id < {hi}") for lo, hi in ((0, 15), (15, 40), (40, 60))]
     got = [rows_of(index.add(i, p, dates)) for i, p in enumerate(parts)]
     assert sorted(sum(got, [])) == want
     kept = lambda: sorted(r.doc_id for r in index.part("documents", 9, texts.select("doc_id")).join(index.part("lost", 9, texts.select("doc_id")), "doc_id", "left_anti").collect())
     before = kept()
-    assert before == sorted(set(range(90)) - {r[3] for r in want})
+    assert before == sorted(set(range(60)) - {r[3] for r in want})
     for i in (1, 2):
         assert rows_of(index.add(i, parts[i], dates)) == got[i]
     assert kept() == before
