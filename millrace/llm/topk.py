@@ -8,7 +8,7 @@ at the depth reached, the bound for all vectors not met, is below the k-th score
 are merged by a ranked window.
 
 Vectors that are null or empty or hold null or non-finite components take no part, nor do rows with
-a null id; vectors of another length than the query's are no candidates. Rows with the same id and
+a null id; vectors of another length than the query's are no candidates. Scores of 2^62 or more raise an error. Rows with the same id and
 vector are one row. Ties go to the smaller id. Empty tables give an empty table.
 """
 
@@ -25,6 +25,8 @@ from .common import arrow_schema
 
 SCALE = 256
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
+#: Below this bound no sum of products can pass 64 bits.
+SAFE = 1 << 62
 #: At least so many vector blocks, so that small tables spread too.
 LEAST_BLOCKS = 24
 
@@ -45,6 +47,7 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        self.most = int(np.abs(self.vectors).max(initial=0))
         self.order = np.argsort(self.vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.vectors, self.order, 0)
 
@@ -55,6 +58,11 @@ class Lists:
         seen = (self.ids == query_id) & (self.vectors == q).all(1)
         at, scores = np.zeros(0, int), np.zeros(0, np.int64)
         begin, depth = 0, max(k, n // (4 * max(1, len(q))))
+        if self.most * int(np.abs(q).max(initial=0)) * len(q) >= SAFE:
+            # sums along the lists may pass 64 bits, so no bound is taken; a score that does so has no place in the result
+            if np.abs(self.vectors.astype("float64") @ q.astype("float64")).max(initial=0) >= SAFE:
+                raise OverflowError(f"scores of vector {query_id} pass 64 bits")
+            depth = n
         while True:
             depth = min(n, depth)
             met = np.zeros(n, bool)

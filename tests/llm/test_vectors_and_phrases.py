@@ -8,7 +8,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from millrace.llm import collocations, embedding_dedup, fill_middle
+from millrace.llm import collocations, embedding_dedup, fill_middle, topk
 
 SF = "/root/testdata/sf0.001"
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -176,3 +176,20 @@ def test_bit_maps_have_all_their_hashes(spark):
     hashes = rng.integers(-(2**63), 2**63, 20000)
     found = bit_map(spark.createDataFrame([(int(h),) for h in hashes], "h long"), len(hashes))
     assert found.has(hashes).all() and found.has(rng.integers(-(2**63), 2**63, 20000)).mean() < 0.1
+
+
+def test_top_k_of_large_components(spark):
+    """Scores are exact where sums along the lists would pass 64 bits, and an error where a score itself does; odd tables."""
+    kind = "vec_id long, embedding array<double>, score int"
+    big = 3e6
+    rows = [(i, [big if j == i % 16 else float(i - j) for j in range(16)], 0) for i in range(64)] + [(100, None, 0), (101, [], 0)]
+    rows.append((5, rows[5][1], 0))
+    df = spark.createDataFrame(rows, kind)
+    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id = 3"), 3).collect()]
+    v = {i: [int(np.floor(256 * x)) for x in e] for i, e, _ in rows if e}
+    want = sorted((-sum(a * b for a, b in zip(v[3], v[i], strict=True)), i) for i in v if i != 3)[:3]
+    assert [(r[2], r[3]) for r in sorted(got, key=lambda r: r[1])] == [(i, -s) for s, i in want]
+    with pytest.raises(Exception, match="64 bits"):
+        huge = spark.createDataFrame([(i, [1e15, 1e15], 0) for i in range(3)], kind)
+        topk.top_k(huge, huge, 2).collect()
+    assert topk.top_k(df.limit(0), df, 3).count() == 0 and topk.top_k(df, df.limit(0), 3).count() == 0
