@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from millrace.operators import dedup
+from millrace.operators import dedup, verdicts
 
 
 def keys_of(sets, threshold):
@@ -29,3 +29,15 @@ def test_similar_sets_always_share_a_part_and_others_hardly_ever():
         assert len(shared[0]) > 400 and all(shared[0])
         # a third of both sets is the same: bands of four minima met in a quarter of such pairs
         assert threshold < 0.9 or np.mean(shared[1]) < 0.02
+
+
+def test_conflict_groups_of_short_lists_store_nothing_and_long_ones_agree(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(q, rng.randrange(12), rng.randrange(12), rng.choice("xyX"), None) for q in range(20) for _ in range(rng.randrange(1, 12))]
+    said = spark.createDataFrame(rows, "query_id long, a long, b long, entity string, attribute string")
+    found = lambda: sorted(map(tuple, verdicts.conflict_groups(said).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(verdicts, "cut", None)  # no rounds are stored
+        short = found()
+    monkeypatch.setattr(verdicts, "LINKS_AT_ONCE", 3)
+    assert found() == short and len({(r[0], r[1]) for r in short}) > 20
