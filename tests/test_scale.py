@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from millrace.operators import dedup, verdicts
+from millrace.operators import dedup, retrieval, verdicts
 
 
 def keys_of(sets, threshold):
@@ -41,3 +41,21 @@ def test_conflict_groups_of_short_lists_store_nothing_and_long_ones_agree(spark,
         short = found()
     monkeypatch.setattr(verdicts, "LINKS_AT_ONCE", 3)
     assert found() == short and len({(r[0], r[1]) for r in short}) > 20
+
+
+def test_keyword_search_equals_a_plain_search_and_returns_only_the_best(spark):
+    rng = random.Random(4)
+    bits = ["ab", "abc", "c", "x_1", "K\u212a", "\u4e2d\u6587", "Zab", "-", "\u00e9"]
+    texts = [(i, None if i == 7 else " ".join(rng.choice(bits) + rng.choice(bits) for _ in range(6))) for i in range(60)]
+    asks = [(1, "ab abc x_1"), (2, "\u4e2d\u6587 zab"), (3, "\u00e9"), (4, "kk nothere"), (5, ""), (6, "1a")]
+    docs, queries = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asks, "query_id long, text string")
+    terms = {r.query_id: r.t for r in queries.select("query_id", retrieval.query_terms("text").alias("t")).collect()}
+    low = {r.doc_id: r.x for r in docs.selectExpr("doc_id", "lower(text) AS x").collect() if r.x is not None}
+    want = []
+    for q, t in terms.items():
+        best = sorted((-round(n / len(t), 6), d) for d, x in low.items() if (n := sum(w in x for w in t)))[:5]
+        want += [(q, d, -s, i) for i, (s, d) in enumerate(best, 1)]
+    assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in retrieval.keyword_search(queries, docs, 5).collect()) == sorted(want)
+    run = retrieval.holding(queries.select("query_id", retrieval.query_terms("text").alias("t")).toArrow(), 2)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["ab abc"] * 50)], ["doc_id", "low"])
+    assert sum(b.num_rows for b in run(iter([rows, rows]))) == 2
