@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from millrace.operators import dedup, retrieval, verdicts
+from millrace.operators import dedup, graph_search, retrieval, verdicts
 
 
 def keys_of(sets, threshold):
@@ -59,3 +59,12 @@ def test_keyword_search_equals_a_plain_search_and_returns_only_the_best(spark):
     run = retrieval.holding(queries.select("query_id", retrieval.query_terms("text").alias("t")).toArrow(), 2)
     rows = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["ab abc"] * 50)], ["doc_id", "low"])
     assert sum(b.num_rows for b in run(iter([rows, rows]))) == 2
+
+
+def test_equal_names_are_indexed_only_as_often_as_a_probe_returns_them(spark, monkeypatch):
+    names = spark.createDataFrame([(i, ("Red ring", "red RING", "bolt")[i % 3]) for i in range(300)], "id long, name string")
+    whole, seen = graph_search.name_index, []
+    monkeypatch.setattr(graph_search, "name_index", lambda few: seen.append(few.count()) or whole(few))
+    found = graph_search.find_names(spark.createDataFrame([("D R",), ("r",), ("BOLT",)], "probe string"), names)
+    assert sorted((r.probe, r.id) for r in found.collect()) == [("BOLT", i) for i in (2, 5, 8, 11, 14)] + [(p, i) for p in ("D R", "r") for i in (0, 1, 3, 4, 6)]
+    assert seen == [10]
