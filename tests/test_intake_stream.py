@@ -72,3 +72,14 @@ def test_stream_equals_ingest_of_all_and_survives_a_kill(spark, tmp_path, monkey
     library.add(spark.createDataFrame(docs[:5], "doc_id long, version long, text string"), 3)
     again = library.read("outcomes").where("batch = 3").collect()
     assert {r.outcome for r in again} <= {"SKIPPED", "REJECTED"} and rows_of(library)[0] == got[0]
+
+
+def test_ingest_stores_texts_once(spark, monkeypatch):
+    stored, keep = [], C.stash
+    monkeypatch.setattr(C, "stash", lambda df: stored.append(set(df.columns) & {"text", "content"}) or keep(df))
+    docs = spark.createDataFrame([(1, 1, "alpha beta"), (1, 1, "alpha beta"), (2, None, "gamma"), (None, 1, "delta"), (3, 1, "-"), (4, 1, "---"), (5, 1, "x")], "doc_id long, version int, text string")
+    kept, outcomes = C.ingest(docs, docs.select("doc_id").where("doc_id = 5"))
+    got = sorted(((r.doc_id, r.outcome, r.chunks) for r in outcomes.collect()), key=str)
+    assert got == [(1, "INGESTED", 2), (1, "INGESTED", 2), (2, "MERGED", 0), (3, "INGESTED", 1), (4, "REJECTED", 0), (5, "SKIPPED", 0), (None, "MERGED", 0)]
+    assert sorted(r.content for r in kept.collect()) == ["-", "alpha beta", "alpha beta"]
+    assert [s for s in stored if s] == [{"content"}]
