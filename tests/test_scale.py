@@ -68,3 +68,29 @@ def test_equal_names_are_indexed_only_as_often_as_a_probe_returns_them(spark, mo
     found = graph_search.find_names(spark.createDataFrame([("D R",), ("r",), ("BOLT",)], "probe string"), names)
     assert sorted((r.probe, r.id) for r in found.collect()) == [("BOLT", i) for i in (2, 5, 8, 11, 14)] + [(p, i) for p in ("D R", "r") for i in (0, 1, 3, 4, 6)]
     assert seen == [10]
+
+
+def test_graph_expand_works_out_equal_questions_once_and_leaves_no_row_out(spark, monkeypatch):
+    rng = random.Random(6)
+    names = ["red box", "blue box", "red can"]
+    part = [(i, rng.choice(names), 900 + i, i % 5 > 0) for i in range(1, 30)]
+    line = [(i, rng.randrange(1, 30), rng.randrange(1, 30), rng.randrange(120), rng.random() < 0.8) for i in range(400)]
+    asks = [(q, rng.choice([" red box", "blue box", "can", None])) for q in range(60)] + [(0, "blue box"), (1, "red can")]
+    hits = [(rng.randrange(60), rng.randrange(120)) for _ in range(1500)]
+    live = [(c, c % 7 > 0) for c in range(950)]
+    stored, keep = [], graph_search.stash
+    monkeypatch.setattr(graph_search, "stash", lambda df: stored.append(keep(df)) or stored[-1])
+    tables = [spark.createDataFrame(asks, "query_id long, text string"), spark.createDataFrame(hits, "query_id long, chunk_id long"), spark.createDataFrame(part, "id long, name string, chunk_id long, active boolean"), spark.createDataFrame(line, "relation_id long, source long, target long, chunk_id long, active boolean"), spark.createDataFrame(live, "chunk_id long, active boolean")]
+    got = sorted((r.query_id, r.place, r.chunk_id) for r in graph_search.graph_expand(*tables, most=4).collect())
+    want, seen = [], set(hits)
+    for q in range(60):
+        first = {}
+        for text in (t.strip() for i, t in asks if i == q and t):
+            for at, probe in enumerate([text, *dict.fromkeys(text.split())]):
+                found = [p for p in sorted(part) if p[3] and probe in p[1]][:5]
+                for c in {p[2] for p in found} | {x[3] for x in line if x[4] and x[1] in {p[0] for p in found}}:
+                    first[c] = min(at, first.get(c, at))
+        rows = sorted((at, c) for c, at in first.items() if c % 7 and (q, c) not in seen)[:4]
+        want += [(q, i, c) for i, (_, c) in enumerate(rows, 1)]
+    assert got == want and len(want) > 150
+    assert max(df.count() for df in stored if "probe" in df.columns and "at" in df.columns) <= 4 * 4
