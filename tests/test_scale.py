@@ -94,3 +94,16 @@ def test_graph_expand_works_out_equal_questions_once_and_leaves_no_row_out(spark
         want += [(q, i, c) for i, (_, c) in enumerate(rows, 1)]
     assert got == want and len(want) > 150
     assert max(df.count() for df in stored if "probe" in df.columns and "at" in df.columns) <= 4 * 4
+
+
+def test_conflict_scan_deals_products_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(verdicts, "PRODUCTS_AT_ONCE", 2)
+    rng = random.Random(8)
+    rows = [("a", "b", i, [rng.gauss(0, 1) for _ in range(4)], "x") for i in range(200)]
+    chunks = spark.createDataFrame(rows, "domain string, sub_domain string, chunk_id long, embedding array<float>, content string")
+    found = verdicts.conflict_scan(chunks, least=0.9, block=10)
+    # 20 blocks make 210 products, two for a task
+    assert "hashpartitioning(domain" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 105), REPARTITION_BY_NUM" in plan
+    v = np.array([np.float32(r[3]) for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(zip(*(n.tolist() for n in np.nonzero(np.triu(v @ v.T > 0.9, 1)))))
