@@ -107,3 +107,12 @@ def test_conflict_scan_deals_products_to_as_many_tasks_as_they_need(spark, monke
     v = np.array([np.float32(r[3]) for r in rows], float)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     assert sorted((r.a, r.b) for r in found.collect()) == sorted(zip(*(n.tolist() for n in np.nonzero(np.triu(v @ v.T > 0.9, 1)))))
+
+
+def test_replies_are_parsed_once_for_each_row(spark):
+    rows = [(1, "a", "b", 'x {"conflict": true, "entity": "e", "valueA": "1", "valueB": "2", "chunkIdA": "b", "chunkIdB": "a", "entities": [{"name": " n "}, {"name": " "}], "relations": [{"source": "n", "target": "n"}, {"source": "n", "target": "m"}]} {'), (2, "a", "b", "{}"), (3, "a", "b", None)]
+    replies = spark.createDataFrame(rows, "chunk_id long, a string, b string, reply string")
+    entities, relations = verdicts.parse_extractions(replies)
+    for df, want in ((verdicts.parse_verdicts(replies).select("chunk_id", "entity", "value_a", "value_b"), [(1, "e", "2", "1")]), (entities.select("chunk_id", "name"), [(1, "n")]), (relations.select("chunk_id", "source", "target"), [(1, "n", "n")])):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+        assert [tuple(r) for r in df.collect()] == want
