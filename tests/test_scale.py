@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from millrace.operators import dedup, graph_search, retrieval, verdicts
+from millrace import session
+from millrace.operators import chunks, dedup, graph_search, retrieval, verdicts
 
 
 def keys_of(sets, threshold):
@@ -116,3 +117,11 @@ def test_replies_are_parsed_once_for_each_row(spark):
     for df, want in ((verdicts.parse_verdicts(replies).select("chunk_id", "entity", "value_a", "value_b"), [(1, "e", "2", "1")]), (entities.select("chunk_id", "name"), [(1, "n")]), (relations.select("chunk_id", "source", "target"), [(1, "n", "n")])):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
         assert [tuple(r) for r in df.collect()] == want
+
+
+def test_pages_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_AT_ONCE", 10)
+    cells = spark.range(800).selectExpr("id div 40 AS doc_id", "id div 4 % 10 AS page_no", "id div 2 % 2 AS row", "id % 2 AS col", "CAST(id AS STRING) AS text")
+    for df in (chunks.stitch_tables(cells), chunks.stitch_tables(cells, 800)):
+        assert ", 20), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 800
