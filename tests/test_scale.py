@@ -125,3 +125,13 @@ def test_pages_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
     for df in (chunks.stitch_tables(cells), chunks.stitch_tables(cells, 800)):
         assert ", 20), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
         assert df.count() == 800
+
+
+def test_bands_of_known_number_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_AT_ONCE", 10)
+    dealt, keep = [], dedup.dealt
+    monkeypatch.setattr(dedup, "dealt", lambda df, n, *keys: dealt.append(keep(df, n, *keys)) or dealt[-1])
+    bands = spark.range(400).selectExpr("id AS doc_id", "id % 150 AS band")
+    got = sorted(map(tuple, dedup.lsh_candidates(bands, n=400).collect()))
+    assert got == sorted(map(tuple, dedup.lsh_candidates(bands).collect())) and len(got) == 350
+    assert [df.rdd.getNumPartitions() for df in dealt] == [40]
