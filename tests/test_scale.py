@@ -1,12 +1,14 @@
 """Steps whose work must grow no faster than the input."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from millrace import session
-from millrace.operators import chunks, dedup, graph_search, retrieval, verdicts
+from millrace.operators import chunks, dedup, graph_search, retrieval, search_index, verdicts
 
 
 def keys_of(sets, threshold):
@@ -135,3 +137,25 @@ def test_bands_of_known_number_are_dealt_by_rows(spark, monkeypatch):
     got = sorted(map(tuple, dedup.lsh_candidates(bands, n=400).collect()))
     assert got == sorted(map(tuple, dedup.lsh_candidates(bands).collect())) and len(got) == 350
     assert [df.rdd.getNumPartitions() for df in dealt] == [40]
+
+
+def test_an_index_counts_words_within_each_text_and_deals_the_texts_by_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(search_index, "DOCS_A_TASK", 4)
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice(["ab", "AB", "cd", "\u4e2d\u6587", "e"]) for _ in range(rng.randrange(30))), rng.choice("xy")) for i in range(60)]
+    # rows of one id count as one document where length and columns are equal
+    docs += [(7, docs[7][1], docs[7][2]), (8, "ab ab", "z"), (None, "ab cd", "x"), (None, "cd cd", "x"), (60, None, "x"), (61, "", "y")]
+    want = Counter()
+    for i, text, tag in docs:
+        low = (text or "").lower()
+        words = re.findall("[a-z0-9_]{2,}", low) + re.findall("(?=([\u4e00-\u9fff]{2}))", low)
+        want.update((w, i, len(words), tag) for w in words)
+    plans, keep = [], search_index.postings_of
+    monkeypatch.setattr(search_index, "postings_of", lambda rows, *c: plans.append((rows.rdd.getNumPartitions(), keep(rows, *c))) or plans[-1][1])
+    schema = "doc_id long, text string, tag string"
+    index = search_index.TextIndex(spark, str(tmp_path / "all"), 4).build(spark.createDataFrame(docs, schema), "tag")
+    assert Counter({(r.term, r.doc_id, r.len, r.tag): r.tf for r in index.table("postings").collect()}) == want
+    assert index.table("postings").count() == len(want) and plans[0][0] == 17
+    once = search_index.TextIndex(spark, str(tmp_path / "once"), 4).build(spark.createDataFrame(docs[:60], schema), "tag")
+    assert "Aggregate" not in plans[1][1]._jdf.queryExecution().executedPlan().toString()
+    assert {(r.term, r.df) for r in once.table("frequencies").collect()} == set(Counter(r.term for r in once.table("postings").collect()).items())
