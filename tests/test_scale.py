@@ -159,3 +159,23 @@ def test_an_index_counts_words_within_each_text_and_deals_the_texts_by_rows(spar
     once = search_index.TextIndex(spark, str(tmp_path / "once"), 4).build(spark.createDataFrame(docs[:60], schema), "tag")
     assert "Aggregate" not in plans[1][1]._jdf.queryExecution().executedPlan().toString()
     assert {(r.term, r.df) for r in once.table("frequencies").collect()} == set(Counter(r.term for r in once.table("postings").collect()).items())
+
+
+def test_splitting_counts_a_word_once_and_deals_few_files_to_all_cores(spark, monkeypatch, tmp_path):
+    rng = random.Random(10)
+    plain = lambda text: sum(-(-(n := len(re.findall("[0-9A-Za-z]", run))) // 4) + len(run) - n for run in re.findall(r"[\x00-\x08\x0e-\x1b!-\x7f]+", text)) + len(chunks._single.findall(text))
+    bits = ["word", "a,b", "x" * 30, "!" * 40, "\u4e16", "\u00e9", " ", "\n", "\t", "\x00", ". "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(400))) for _ in range(300)]
+    monkeypatch.setattr(chunks, "RUNS_HELD", 5)  # emptied over and over
+    assert [chunks.tokens(t) for t in texts] == [plain(t) for t in texts] and len(chunks._costs) <= 5
+    monkeypatch.setattr(chunks, "RUNS_HELD", 1 << 16)
+    counted, keep = [], chunks._word
+    chunks._costs.clear()
+    monkeypatch.setattr(chunks, "_word", type("W", (), {"findall": lambda self, run: counted.append(run) or keep.findall(run)})())
+    chunks.split_text("some, words. " * 3000, 100, 10)
+    assert sorted(counted) == ["some,", "words."]
+    docs = spark.createDataFrame([(i, 0, "one two") for i in range(40)], "doc_id long, version int, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    for df in (chunks.parent_child_chunks(one), chunks.split_chunks(one)):
+        assert df.rdd.getNumPartitions() == 4 and df.count() == 40
