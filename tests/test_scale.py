@@ -179,3 +179,21 @@ def test_splitting_counts_a_word_once_and_deals_few_files_to_all_cores(spark, mo
     one = spark.read.parquet(str(tmp_path / "one"))
     for df in (chunks.parent_child_chunks(one), chunks.split_chunks(one)):
         assert df.rdd.getNumPartitions() == 4 and df.count() == 40
+
+
+def test_versions_are_dealt_by_rows_and_sorted_once(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_AT_ONCE", 5)
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), rng.choice([None, 1, 2, 3, 4, 5]), rng.choice(["ACTIVE", "SUPERSEDED", None])) for _ in range(390)]
+    rows += [(None, 3, "ACTIVE"), (90, None, "ACTIVE"), (91, 7, "ACTIVE"), (91, 7, "ACTIVE")]
+    ids = [*range(0, 40, 3), 0, 3, 3, None, 77, 90, 91]
+    versions = spark.createDataFrame(rows, "doc_id long, version int, status string")
+    found = chunks.reparse(versions, spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    asks = {i for i in ids if i is not None}
+    last = {d: max((v for i, v, _ in rows if i == d and v is not None), default=None) for d in asks & {r[0] for r in rows}}
+    want = [(d, v, "SUPERSEDED" if d in asks and s == "ACTIVE" else s, None) for d, v, s in rows] + [(d, None if p is None else p + 1, "ACTIVE", p) for d, p in last.items()]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert found.dtypes == [("doc_id", "bigint"), ("version", "int"), ("status", "string"), ("parent", "int")]
+    # 414 rows, of which eight count as one
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ", 11), REPARTITION_BY_NUM" in plan and "Join" not in plan and "Aggregate" not in plan
