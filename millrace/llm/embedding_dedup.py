@@ -12,7 +12,10 @@ Residents within half the angle of their centroid, the core of a cell, are all l
 counted, not compared, so a large group of near copies costs no square of its size. Other residents visit their
 own cell. Cells are packed into bins of bounded size, and larger ones are dealt to several; the visitors of a bin
 are dealt to blocks of bounded size, each of which meets the whole bin. A task returns for each vector the number
-of its links and one edge to the least of its group, so no list of all pairs is ever made.
+of its links and one edge to the least of its group, so no list of all pairs is ever made. The cells that a vector
+visits are a bit for each cell, and copies are handed on a few at a time: a task takes as much memory however many
+cells, bins and vectors there are. Products are taken in single precision, and what comes near the threshold again
+in double precision.
 
 Vectors that are null, empty or zero or hold null or non-finite components link with nothing and stay. Vectors
 of different lengths are never linked. Repeated rows are copies, linked with each other. Rows with a null id count
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +43,11 @@ SAMPLE, ROUNDS = 16384, 8
 #: At most so many cells, whose centroids every task gets.
 MOST_CELLS = 4096
 #: Rows of a bin and visitors of a block; small tables have at least so many bins, to spread too.
-BIN_ROWS, BLOCK_ROWS, LEAST_BINS = 8192, 65536, 24
+BIN_ROWS, BLOCK_ROWS, LEAST_BINS = 32768, 65536, 24
 #: Visitors that are multiplied at once, and how close to the threshold a cosine is summed again, exactly.
 AT_ONCE, CLOSE = 1024, 1e-11
+#: Copies of rows that are handed on at once, and cosines that are taken at once, at most.
+COPIES_AT_ONCE, COSINES_AT_ONCE = 4096, 1 << 23
 
 
 def normed(v: np.ndarray) -> np.ndarray:
@@ -50,9 +56,23 @@ def normed(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray, kind: str | None = "float64") -> np.ndarray:
+    """The vectors as rows; of their own kind of number if kind is None."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return (flat if kind is None else flat.astype(kind)).reshape(len(column), -1)
+
+
+def bit_rows(mask: np.ndarray) -> pa.Array:
+    """Each row of a mask as bytes, a bit for each column."""
+    bits = np.packbits(mask, axis=1, bitorder="little")
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits.shape[1]), len(bits), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+
+
+def bits_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The bytes of bit_rows, a row for each value; all are of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def exact_cosine(x: np.ndarray, y: np.ndarray) -> float:
@@ -122,25 +142,47 @@ def fitted(distinct: DataFrame, least: float) -> dict[int, np.ndarray]:
     return out
 
 
+def by_length(batch: pa.RecordBatch, rows: int | None = None) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of a batch by the length of their vectors, so many at once."""
+    table = pa.Table.from_batches([batch])
+    for dims in sorted(set(table["dims"].to_pylist())):
+        part = table.filter(pc.equal(table["dims"], dims)).combine_chunks()
+        for at in range(0, len(part), rows or len(part)):
+            yield dims, part.slice(at, rows)
+
+
 def assigned(distinct: DataFrame, centroids: dict[int, np.ndarray], least: float) -> DataFrame:
-    """distinct with home, core, and visits, the cells it must be compared in as a visitor. Lengths without centroids have one cell each."""
+    """distinct with home, core, and visits, a bit for each cell it must be compared in as a visitor. Lengths without centroids have one cell each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for dims in sorted(set(table["dims"].to_pylist())):
-                part = table.filter(pa.compute.equal(table["dims"], dims))
+            for dims, part in by_length(batch, AT_ONCE):
                 if dims in centroids:
                     home, core, mask = assign(normed(matrix(part["v"])), centroids[dims], least)
                     mask[np.flatnonzero(~core), home[~core]] = True
                 else:
                     home, core, mask = np.zeros(len(part), int), np.zeros(len(part), bool), np.ones((len(part), 1), bool)
-                bounds = np.concatenate(([0], np.cumsum(mask.sum(1))))
-                visits = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.nonzero(mask)[1], pa.int32()))
-                made = part.append_column("home", pa.array(home, pa.int32())).append_column("core", pa.array(core)).append_column("visits", visits)
+                made = part.append_column("home", pa.array(home, pa.int32())).append_column("core", pa.array(core)).append_column("visits", bit_rows(mask))
                 yield from made.combine_chunks().to_batches()
 
-    return distinct.mapInArrow(run, f"key string, dims int, v {dict(distinct.dtypes)['v']}, m long, home int, core boolean, visits array<int>")
+    return distinct.mapInArrow(run, f"key string, dims int, v {dict(distinct.dtypes)['v']}, m long, home int, core boolean, visits binary")
+
+
+def visitors_of(homes: DataFrame) -> DataFrame:
+    """(dims, cell, visitors): counted within each task, then added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for dims, part in by_length(batch, COPIES_AT_ONCE):
+                n = np.unpackbits(bits_of(part["visits"]), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                counts[dims] = counts[dims] + n if dims in counts else n
+        for dims, n in counts.items():
+            cell = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), dims), pa.int32()), pa.array(cell, pa.int32()), pa.array(n[cell])], ["dims", "cell", "visitors"])
+
+    found = homes.select("dims", "visits").mapInArrow(run, "dims int, cell int, visitors long")
+    return found.groupBy("dims", "cell").agg(F.sum("visitors").alias("visitors"))
 
 
 class Plan:
@@ -168,24 +210,38 @@ class Plan:
 
 
 def dealt(rows: DataFrame, plan: Plan) -> DataFrame:
-    """A copy of each row for every bin, part and block where it is a resident or a visitor."""
+    """A copy of each row for every bin, part and block where it is a resident or a visitor; COPIES_AT_ONCE are handed on together."""
+    homes: dict[int, list[tuple[int, int]]] = {}
+    for (dims, cell), b in sorted(plan.bins.items()):
+        homes.setdefault(dims, []).append((cell, b))
+    # for each length its cells and their bins, which are in one order
+    cells_of = {dims: np.array(some).T for dims, some in homes.items()}
+    parts, blocks = np.array(plan.parts, np.int64), np.array(plan.blocks, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, role, place = [], [], []
-            columns = (batch.column(n).to_pylist() for n in ("key", "dims", "home", "visits"))
-            for i, (key, dims, home, visits) in enumerate(zip(*columns, strict=True)):
-                number = int(key[:15], 16)
-                own = plan.bins[dims, home]
-                for block in range(plan.blocks[own]):
-                    at.append(i), role.append(True), place.append((own, number % plan.parts[own], block))
-                for b in {plan.bins[dims, c] for c in visits if (dims, c) in plan.bins}:
-                    for part in range(plan.parts[b]):
-                        at.append(i), role.append(False), place.append((b, part, number % plan.blocks[b]))
-            out = batch.take(pa.array(at, pa.int64()))
-            named = zip(("bin", "part", "block"), zip(*place, strict=True) if place else ((), (), ()), strict=True)
-            extra = [pa.array(role, pa.bool_()), *(pa.array(x, pa.int32()) for _, x in named)]
-            yield pa.RecordBatch.from_arrays([*out.columns, *extra], [*batch.schema.names, "resident", "bin", "part", "block"])
+            for dims, some in by_length(batch, AT_ONCE):
+                cells, bins = cells_of[dims]
+                key = np.array([int(k[:15], 16) for k in some["key"].to_pylist()], np.int64)
+                own = bins[np.searchsorted(cells, some["home"].to_numpy())]
+                known, starts = np.unique(bins, return_index=True)
+                mask = np.unpackbits(bits_of(some["visits"]), axis=1, bitorder="little")[:, cells]
+                guest, to = np.nonzero(np.logical_or.reduceat(mask, starts, axis=1))
+                to = known[to]
+                # residents: once for each block of their bin; visitors: once for each part of each bin
+                host = np.repeat(np.arange(len(some)), blocks[own])
+                block = np.arange(len(host)) - np.repeat(np.cumsum(blocks[own]) - blocks[own], blocks[own])
+                times = parts[to]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                guest, to = np.repeat(guest, times), np.repeat(to, times)
+                at = np.concatenate((host, guest))
+                role = np.arange(len(at)) < len(host)
+                place = [np.concatenate(x) for x in ((own[host], to), (key[host] % parts[own[host]], part), (block, key[guest] % blocks[to]))]
+                batch_of = some.to_batches()[0]
+                for i in range(0, len(at), COPIES_AT_ONCE):
+                    here = slice(i, i + COPIES_AT_ONCE)
+                    extra = [pa.array(role[here]), *(pa.array(x[here], pa.int32()) for x in place)]
+                    yield pa.RecordBatch.from_arrays([*batch_of.take(pa.array(at[here])).columns, *extra], [*batch.schema.names, "resident", "bin", "part", "block"])
 
     kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
     return rows.mapInArrow(run, f"{kinds}, resident boolean, bin int, part int, block int")
@@ -203,30 +259,49 @@ def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
+def near_pairs(raw: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows left and right, those of pairs near the threshold or above it, by a mask of such pairs, and their cosines in double precision."""
+    some_left, some_right = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    a, b = (normed(raw[rows].astype("float64")) for rows in (left[some_left], right[some_right]))
+    if len(a) * len(b) <= 8 * (n := np.count_nonzero(near)):
+        cosine = a @ b.T
+        i, j = np.nonzero(cosine >= least - CLOSE)
+        return left[some_left[i]], right[some_right[j]], cosine[i, j]
+    i, j = (index[places] for index, places in zip((np.cumsum(near.any(1)) - 1, np.cumsum(near.any(0)) - 1), np.nonzero(near), strict=True))
+    cosine = np.concatenate([np.einsum("ij,ij->i", a[i[at : at + COPIES_AT_ONCE]], b[j[at : at + COPIES_AT_ONCE]]) for at in range(0, n, COPIES_AT_ONCE)])
+    kept = cosine >= least - CLOSE
+    return left[some_left[i[kept]]], right[some_right[j[kept]]], cosine[kept]
+
+
 def block_links(table: pa.Table, least: float) -> pa.Table:
     """(key, n, other): for each vector of a block that has links found here their number, and the least vector of its group."""
     resident = table["resident"].to_numpy()
     order = np.lexsort((table["key"].to_numpy(zero_copy_only=False), ~resident))
     table = table.take(pa.array(order)).combine_chunks()
     resident, count = resident[order], int(resident.sum())
-    raw, m = matrix(table["v"]), table["m"].to_numpy()
-    v, home, core = normed(raw), table["home"].to_numpy(), table["core"].to_numpy()
+    raw, m = matrix(table["v"], None), table["m"].to_numpy()
+    home, core, bits = table["home"].to_numpy(), table["core"].to_numpy(), bits_of(table["visits"])
+    v = np.empty(raw.shape, np.float32)
+    for at in range(0, len(raw), AT_ONCE):
+        v[at : at + AT_ONCE] = normed(raw[at : at + AT_ONCE].astype("float64"))
     names, node = np.unique(table["key"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-    lists = table["visits"].combine_chunks()
-    owner, cell = np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
-    guest = np.unique(owner * (MOST_CELLS + 1) + cell)
+    visits = lambda row, cell: (bits[row, cell >> 3] >> (cell & 7)) & 1 == 1
+    # rounding of products in single precision, at most
+    slack = (raw.shape[1] + 8) * 2.0**-23
     found, labels, touched = np.zeros(len(table), np.int64), np.arange(len(names)), np.zeros(len(names), bool)
     for c in np.unique(home[:count]):
         right = np.flatnonzero(home[:count] == c)
-        left = owner[(cell == c) & (owner >= count)]
-        for at in range(0, len(left), AT_ONCE):
-            mine = left[at : at + AT_ONCE]
-            cosine = v[mine] @ v[right].T
-            i, j = np.nonzero(cosine >= least - CLOSE)
-            x, y, near = mine[i], right[j], cosine[i, j]
+        left = count + np.flatnonzero(visits(slice(count, None), c))
+        columns, step = np.ascontiguousarray(v[right].T), max(1, min(AT_ONCE, COSINES_AT_ONCE // len(right)))
+        for at in range(0, len(left), step):
+            mine = left[at : at + step]
+            near = v[mine] @ columns >= least - slack
+            if not near.any():
+                continue
+            x, y, near = near_pairs(raw, mine, right, near, least)
             linked = node[x] != node[y]
             for k in np.flatnonzero(linked & (near < least + CLOSE)):
-                linked[k] = exact_cosine(raw[x[k]], raw[y[k]]) >= least
+                linked[k] = exact_cosine(raw[x[k]].astype("float64"), raw[y[k]].astype("float64")) >= least
             x, y = x[linked], y[linked]
             if not len(x):
                 continue
@@ -234,9 +309,7 @@ def block_links(table: pa.Table, least: float) -> pa.Table:
             labels = merge(labels, node[x], node[y])
             # a pair that meets in both its homes counts in the lower cell; two residents outside the core visit each other
             stranger = home[x] != c
-            asked = y * (MOST_CELLS + 1) + home[x]
-            back = guest[np.minimum(np.searchsorted(guest, asked), len(guest) - 1)] == asked
-            counts = ~stranger | ~back | (c < home[x])
+            counts = ~stranger | ~visits(y, home[x]) | (c < home[x])
             both = np.where(stranger, counts, core[y])
             np.add.at(found, x[counts], m[y[counts]])
             np.add.at(found, y[both], m[x[both]])
@@ -255,9 +328,8 @@ def near_duplicates(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
     homes = stash(assigned(distinct, fitted(distinct, least), least))
     core = F.when(F.col("core"), F.col("m"))
     residents = homes.groupBy("dims", F.col("home").alias("cell")).agg(F.count("*").alias("residents"), F.sum(core).alias("core"), F.min(F.when(F.col("core"), F.col("key"))).alias("pivot"))
-    visitors = homes.select("dims", F.explode("visits").alias("cell")).groupBy("dims", "cell").agg(F.count("*").alias("visitors"))
     # at most MOST_CELLS rows for each length of vectors
-    cells = stash(residents.join(visitors, ["dims", "cell"], "left").na.fill(0, ["visitors"]).coalesce(1))
+    cells = stash(residents.join(visitors_of(homes), ["dims", "cell"], "left").na.fill(0, ["visitors"]).coalesce(1))
     plan = Plan(cells.select("dims", "cell", "residents", "visitors").collect())
 
     spread = dealt(homes, plan).groupBy("bin", "part", "block")

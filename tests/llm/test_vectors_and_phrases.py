@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 from hashlib import sha256
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import collocations, embedding_dedup, fill_middle, topk
@@ -95,6 +97,33 @@ def test_visits_reach_every_linked_pair():
     assert ((hx == hy) | vx[rows, hy] | vy[rows, hx]).all()
 
 
+def test_copies_are_handed_on_a_few_at_a_time_and_visits_are_bits():
+    """What a task holds grows neither with the bins that a vector visits nor, but for a bit each, with the cells."""
+
+    class Rows:
+        dtypes = [("v", "array<float>")]
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    rng = np.random.default_rng(9)
+    v = embedding_dedup.normed(rng.normal(size=(3000, 8))).astype("float32")
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 8), pa.int32()), pa.array(v.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i:032x}" for i in range(len(v))]), pa.array(np.full(len(v), 8), pa.int32()), lists, pa.array(np.ones(len(v), "int64"))], ["key", "dims", "v", "m"])
+    centroids = embedding_dedup.fit_cells(v[:500].astype("float64"), 200, 0.9)
+    homes = pa.Table.from_batches(embedding_dedup.assigned(Rows(), {8: centroids}, 0.9)(iter([batch]))).combine_chunks().to_batches()[0]
+    assert {len(x) for x in homes["visits"].to_pylist()} == {-(-len(centroids) // 8)}
+    residents = np.bincount(homes["home"].to_numpy(), minlength=len(centroids))
+    plan = embedding_dedup.Plan([SimpleNamespace(dims=8, cell=c, residents=int(n), visitors=len(v)) for c, n in enumerate(residents) if n])
+    out = list(embedding_dedup.dealt(Rows(), plan)(iter([homes])))
+    assert max(len(b) for b in out) <= embedding_dedup.COPIES_AT_ONCE < sum(len(b) for b in out)
+    # each visitor is in the bins of the cells it visits, once
+    _, _, mask = embedding_dedup.assign(v.astype("float64"), centroids, 0.9)
+    mask[np.flatnonzero(~homes["core"].to_numpy(zero_copy_only=False)), homes["home"].to_numpy()[~homes["core"].to_numpy(zero_copy_only=False)]] = True
+    want = sorted((i, b) for i in range(len(v)) for b in {plan.bins[8, c] for c in np.flatnonzero(mask[i]) if (8, c) in plan.bins})
+    assert sorted((int(k, 16), b) for x in out for k, b, r in zip(x["key"].to_pylist(), x["bin"].to_pylist(), x["resident"].to_pylist(), strict=True) if not r) == want
+
+
 # fill in the middle
 def plain_fim(i, text):
     t = text or ""
