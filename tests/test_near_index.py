@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators import governance, near_index
+from millrace.operators import dedup, governance, near_index
 from millrace.operators.dedup import all_near_dup_pairs
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -89,3 +89,41 @@ def test_three_batches_equal_all_at_once_and_a_replay_changes_nothing(spark, tmp
 def test_no_texts(spark):
     texts, dates = tables(spark, [(1, None, None), (2, "", None), (3, "a", None)])
     assert near_index.arrivals(texts, dates).count() == 0
+
+
+def test_size_estimates_do_not_grow_with_the_rounds(spark, monkeypatch):
+    """A chain in which each pair waits for the one before it; every second one is void."""
+    sizes, keep = [], governance.stash
+
+    def known(df):
+        sizes.append((out := keep(df))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(governance, "stash", known)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long").select("a", "b", F.struct("b", "a").alias("at"), F.col("b").alias("loser"))
+    assert rows_of(governance.settled(chain)) == [(i, i + 1, "MERGED", i + 1) for i in range(0, 9, 2)]
+    assert len(sizes) >= 8 and max(sizes) <= 64
+
+
+def test_only_texts_that_share_a_band_are_kept_and_others_are_read_for_their_bands_alone(spark, monkeypatch):
+    texts, dates = tables(spark, [*copies(4, 30), *((100 + i, " ".join(f"x{i}y{j}" for j in range(50)), None) for i in range(40))])
+    kept, keep = [], near_index.rows_of
+    monkeypatch.setattr(near_index, "rows_of", lambda *args: kept.append(keep(*args)) or kept[-1])
+    assert rows_of(near_index.arrivals(texts, dates)) == expected(spark, texts, dates)
+    assert all(r.doc_id < 100 for df in kept for r in df.collect())
+    # `only` by what it leaves out, and by a join where that is too much; rows are also picked in parts
+    some = texts.select("doc_id").where("doc_id % 3 > 0")
+    want = expected(spark, texts.join(some, "doc_id", "left_semi"), dates)
+    assert rows_of(near_index.arrivals(texts, dates, only=some)) == want
+    monkeypatch.setattr(near_index, "BROADCAST_IDS", 3)
+    monkeypatch.setattr(dedup, "BROADCAST_IDS", 9)
+    assert rows_of(near_index.arrivals(texts, dates, only=some)) == want
+
+
+def test_critical_differences_of_pairs_equal_the_expression(spark):
+    words = ["a", "b", "7", "\u0661", "\u4e0d", "\U0001f600", "x%", "", "e\u0301", "\u5143"]
+    rng = random.Random(7)
+    made = lambda: None if rng.random() < 0.05 else " ".join(rng.choice(words) for _ in range(rng.randrange(6)))
+    rows = spark.createDataFrame([(i, made(), made()) for i in range(400)], "id long, a_text string, b_text string").withColumn("want", governance.critical_diff(F.col("a_text"), F.col("b_text")))
+    got = governance.told_critical(rows).collect()
+    assert len(got) == 400 and all(r.want == r.critical for r in got) and len({r.want for r in got}) == 2
