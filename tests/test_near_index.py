@@ -127,3 +127,18 @@ def test_critical_differences_of_pairs_equal_the_expression(spark):
     rows = spark.createDataFrame([(i, made(), made()) for i in range(400)], "id long, a_text string, b_text string").withColumn("want", governance.critical_diff(F.col("a_text"), F.col("b_text")))
     got = governance.told_critical(rows).collect()
     assert len(got) == 400 and all(r.want == r.critical for r in got) and len({r.want for r in got}) == 2
+
+
+def test_pieces_of_documents_arrive_in_stretches_too_and_fewer_pairs_meet(spark, monkeypatch):
+    texts, dates = tables(spark, copies(5))
+    place = F.struct((F.col("doc_id") / 2).cast("long").alias("d"), F.col("doc_id").alias("i"))
+    texts, dates = texts.withColumn("doc_id", place), dates.withColumn("doc_id", place)
+    met, keep = [], near_index.similar
+    monkeypatch.setattr(near_index, "similar", lambda pairs, *rest: met.append(pairs.count()) or keep(pairs, *rest))
+    whole = rows_of(near_index.arrivals(texts, dates, own="d"))
+    once = sum(met)
+    met.clear()
+    monkeypatch.setattr(near_index, "FIRST", 20)
+    monkeypatch.setattr(near_index, "GROWTH", 4)
+    assert rows_of(near_index.arrivals(texts, dates, own="d")) == whole and len(whole) > 20
+    assert sum(met) < 0.8 * once
