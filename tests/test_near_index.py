@@ -142,3 +142,13 @@ def test_pieces_of_documents_arrive_in_stretches_too_and_fewer_pairs_meet(spark,
     monkeypatch.setattr(near_index, "GROWTH", 4)
     assert rows_of(near_index.arrivals(texts, dates, own="d")) == whole and len(whole) > 20
     assert sum(met) < 0.8 * once
+
+
+def test_the_first_batch_of_an_index_meets_no_empty_one(spark, tmp_path, monkeypatch):
+    texts, dates = tables(spark, copies(6, 30))
+    old, keep = [], near_index.meet
+    monkeypatch.setattr(near_index, "meet", lambda bands, old_bands, *rest: old.append(old_bands) or keep(bands, old_bands, *rest))
+    index = near_index.NearIndex(spark, str(tmp_path / "index"), buckets=4)
+    rows = [rows_of(index.add(i, texts.where(f"doc_id % 30 >= {15 * i} and doc_id % 30 < {15 * i + 15}"), dates)) for i in range(2)]
+    assert sorted(sum(rows, [])) == expected(spark, texts, dates)
+    assert old[0] is None and old[1] is not None
